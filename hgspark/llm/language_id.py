@@ -31,6 +31,9 @@ FLOOR = 1e-9
 SMOOTHING = 0.01
 SEED = 5
 MARK = "▁"
+SHORT = 32
+_SLOTS = 19
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _CACHE = 300_000
 
 
@@ -121,14 +124,113 @@ class LanguageModel:
         return LanguageModel(sorted(samples), pieces, np.concatenate(columns, axis=1) if columns else np.zeros((len(pieces) + 1, 0)))
 
 
+def _hashes(codes: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of each row of character codes."""
+    out = np.full(len(codes), seed, dtype=np.uint64)
+    for k in range(codes.shape[1]):
+        out = (out ^ codes[:, k]) * _STEP
+        out ^= out >> np.uint64(29)
+    return out
+
+
+class PieceTable:
+    """Pieces by hash: a table of slots, and a second one for pieces whose slot another piece has."""
+
+    def __init__(self, pieces: list[str]):
+        self.none, self.longest = len(pieces), max(map(len, pieces), default=1)
+        by_length: dict[int, list[int]] = {}
+        for k, piece in enumerate(pieces):
+            by_length.setdefault(len(piece), []).append(k)
+        for seed in range(1, 100):
+            keys = np.empty(len(pieces), dtype=np.uint64)
+            for where in by_length.values():
+                keys[where] = _hashes(_codes([pieces[k] for k in where]), seed)
+            if len(np.unique(keys)) < len(keys):
+                continue
+            slot = keys >> np.uint64(64 - _SLOTS)
+            first = np.unique(slot, return_index=True)[1]
+            rest = np.setdiff1d(np.arange(len(keys)), first)
+            again = (keys[rest] & np.uint64((1 << _SLOTS) - 1))
+            if len(np.unique(again)) == len(again):
+                break
+        else:
+            raise ValueError("no seed places all pieces")
+        self.seed = seed
+        self.keys, self.ids = np.zeros((2, 1 << _SLOTS), dtype=np.uint64), np.full((2, 1 << _SLOTS), self.none, dtype=np.int32)
+        self.keys[0, slot[first]], self.ids[0, slot[first]] = keys[first], first
+        self.keys[1, again], self.ids[1, again] = keys[rest], rest
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Piece numbers, `none` where there is no such piece."""
+        slot = hashes >> np.uint64(64 - _SLOTS)
+        out = np.where(self.keys[0][slot] == hashes, self.ids[0][slot], self.none)
+        slot = hashes & np.uint64((1 << _SLOTS) - 1)
+        return np.where(self.keys[1][slot] == hashes, self.ids[1][slot], out)
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    """Character codes of words of one length, a row a word."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), -1).astype(np.uint64)
+
+
+def totals_of_length(words: list[str], table: PieceTable, p: np.ndarray) -> np.ndarray:
+    """Log sums over all cuts of words that have one length of at most SHORT characters, so that a product of their
+    pieces' probabilities p (pieces, and a row of zeros, x languages) can't vanish."""
+    codes = _codes(words)
+    n = codes.shape[1]
+    ahead = np.zeros((n + 1, len(words), p.shape[1]))
+    ahead[0] = 1
+    running = [np.full(len(words), table.seed, dtype=np.uint64) for _ in range(n)]
+    found: list[list[np.ndarray | None]] = [[None] * (n + 1) for _ in range(n)]
+    single = np.zeros((n, len(words)), dtype=bool)
+    for start in range(n):
+        h = running[start]
+        for size in range(1, min(table.longest, n - start) + 1):
+            h = (h ^ codes[:, start + size - 1]) * _STEP
+            h ^= h >> np.uint64(29)
+            ids = table.find(h)
+            if size == 1:
+                single[start] = ids != table.none
+                found[start][start + 1] = ids
+            elif (ids != table.none).any():
+                found[start][start + size] = ids
+    for stop in range(1, n + 1):
+        for start in range(max(0, stop - table.longest), stop):
+            ids = found[start][stop]
+            if ids is None:
+                continue
+            if stop == start + 1:
+                ahead[stop] += ahead[start] * np.where(single[start][:, None], p[ids], FLOOR)
+            else:
+                some = np.flatnonzero(ids != table.none)
+                ahead[stop][some] += ahead[start][some] * p[ids[some]]
+    return np.log(ahead[n])
+
+
 class Scorer:
     """Texts' log probabilities by language."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
         self.number, self.longest = {p: i for i, p in enumerate(model.pieces)}, max(map(len, model.pieces), default=1)
+        self.pieces = PieceTable(model.pieces)
+        self.p = np.exp(model.logp)
+        self.p[-1] = 0
         self.clear()
 
+    def totals(self, words: list[str]) -> np.ndarray:
+        """Log sums over all cuts of words: arithmetic on probabilities for short ones, on logarithms for others."""
+        out = np.empty((len(words), len(self.model.languages)))
+        by_length: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by_length.setdefault(len(w) if len(w) <= SHORT else 0, []).append(k)
+        for length, where in by_length.items():
+            part = [words[k] for k in where]
+            for a in range(0, len(part), 8192):
+                few = part[a : a + 8192]
+                out[where[a : a + 8192]] = totals_of_length(few, self.pieces, self.p) if length else Lattices(few, self.number, self.longest).totals(self.model.logp)
+        return out
+
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.table = np.empty((0, len(self.model.languages)))
@@ -144,7 +246,7 @@ class Scorer:
         if fresh:
             for w in fresh:
                 known[w] = len(known)
-            self.table = np.concatenate([self.table, Lattices([MARK + w for w in fresh], self.number, self.longest).totals(self.model.logp)])
+            self.table = np.concatenate([self.table, self.totals([MARK + w for w in fresh])])
         ids = np.fromiter((known[w] for s in split for w in s), dtype=np.int64, count=int(lengths.sum()))
         out, some = np.zeros((len(texts), len(self.model.languages))), np.flatnonzero(lengths)
         if len(some):
@@ -171,8 +273,10 @@ def identify_language(docs: DataFrame, model: LanguageModel | None = None, *, id
     kind = pa.struct([("language", pa.string()), ("log_probability", pa.float64()), ("margin", pa.float64())])
 
     def make():
-        scorer = Scorer(shared.value)
-        names = shared.value.languages
+        model = shared.value
+        if not hasattr(model, "scorer"):  # kept with the model while the worker lives
+            model.scorer = Scorer(model)
+        scorer, names = model.scorer, model.languages
 
         def kernel(texts: list) -> pa.Array:
             if not texts or not names:
