@@ -18,6 +18,7 @@ Defined results: null, empty and wordless texts have no fingerprint and no partn
 repeated id counts once; columns besides the two that are read don't matter.
 """
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,18 +32,17 @@ from .common import WordHashes, cut, slices, text_udf, words_of
 RADIUS = 3
 SPARE = 2
 DF_BITS = 18
+#: Distinct words up to which sums of weights are exact in single precision.
+EXACT_TERMS = 16_000
 SEED = 3
 
 
 def _terms(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text number, word hash) with occurrences, by text."""
-    split = [words_of(t) if t else [] for t in texts]
-    words = hashes.of([w for s in split for w in s])
-    owner = np.repeat(np.arange(len(texts)), [len(s) for s in split])
-    order = np.lexsort((words, owner))
-    words, owner = words[order], owner[order]
-    first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])])) if len(words) else np.empty(0, np.int64)
-    return owner[first], words[first], np.diff(np.append(first, len(words)))
+    """Numbers of distinct words by text, hashes of the words and how often each occurs in its text."""
+    found = [Counter(words_of(t)) if t else {} for t in texts]
+    sizes = np.array([len(c) for c in found], dtype=np.int64)
+    words = hashes.of([w for c in found for w in c])
+    return sizes, words, np.fromiter((n for c in found for n in c.values()), dtype=np.int64, count=len(words))
 
 
 def term_rarities(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -67,19 +67,22 @@ def term_rarities(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def simhash(texts: list[str | None], rarity: np.ndarray, hashes: WordHashes) -> list[int | None]:
     """Signed 64-bit fingerprints; None for a text without words."""
-    owner, word, times = _terms(texts, hashes)
-    out: list[int | None] = [None] * len(texts)
-    if not len(owner):
-        return out
+    sizes, word, times = _terms(texts, hashes)
     weight = (1 + np.log2(times)) * rarity[(word >> np.uint64(64 - DF_BITS)).astype(np.int64)]
-    weight = np.maximum(1, np.rint(weight * 16)).astype(np.uint16)
-    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    bits = np.unpackbits(word.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    votes = np.add.reduceat(bits * weight[:, None], heads, axis=0, dtype=np.int64)
-    total = np.add.reduceat(weight.astype(np.int64), heads)
-    prints = np.packbits(2 * votes > total[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
-    for k, value in zip(owner[heads].tolist(), prints.tolist(), strict=True):
-        out[k] = value
+    # whole numbers, so that sums don't depend on their order
+    weight = np.maximum(1, np.rint(weight * 4)).astype(np.float32)
+    out: list[int | None] = []
+    start = 0
+    for n in sizes.tolist():
+        if not n:
+            out.append(None)
+            continue
+        own = weight[start : start + n]
+        if n > EXACT_TERMS:
+            own = own.astype(np.float64)
+        bits = np.unpackbits(word[start : start + n].astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little").astype(own.dtype)
+        out.append(int(np.packbits(2 * (own @ bits) > own.sum(), bitorder="little").view("<i8")[0]))
+        start += n
     return out
 
 
