@@ -18,6 +18,9 @@ row; null labels are left out; with no labels at all only the fixed voters vote;
 """
 
 import re
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import bounded_sample, text_udf, words_of
+from .common import WordHashes, bounded_sample, mix64, text_udf, words_of
 
 LEXICONS = {
     "wits": "idiot idiots idiotic moron morons moronic stupid stupidity imbecile imbeciles dumb dumbass dimwit halfwit cretin nitwit",
@@ -52,43 +55,57 @@ _THREATS = (b"kill yourself", b"go die", b"shut up", b"i will kill", b"i will hu
 VOTERS = [*LEXICONS, "addressed", "threat", "disguised", "piled", *(f"induced{k}" for k in range(INDUCED_VOTERS))]
 
 
+@lru_cache(maxsize=100_000)
 def terms_of(word: bytes) -> tuple[bytes, ...]:
     """A word and its starts: a term that ends in * is a start."""
     text = word.decode("utf-8", "replace")
     return (word, *(text[:n].encode("utf-8", "replace") + b"*" for n in PREFIXES if len(text) > n))
 
 
-def _evidence(texts: list[str], terms) -> list[set]:
-    """Each text's terms, those left out whose words occur only between neighbours that an earlier text had around them:
-    copies of a text, exact or near, are evidence once."""
-    seen: set[tuple[bytes, bytes, bytes]] = set()
-    out = []
+def _new_places(texts: list[str]) -> list[np.ndarray]:
+    """For each text, which of its words stand between neighbours that no earlier text had around the same word: copies of
+    a text, exact or near, are evidence once."""
+    hashes, parts = WordHashes(SEED), []
     for text in texts:
-        words = [b"", *words_of(text), b""]
-        new = {t for t in zip(words, words[1:], words[2:], strict=False) if t not in seen}
-        seen |= new
-        out.append({t for w in {w for _, w, _ in new} for t in terms(w)})
-    return out
+        h = hashes.of([b"", *words_of(text), b""])
+        parts.append(mix64(mix64(mix64(h[:-2]) + h[1:-1]) + h[2:]))
+    flat = np.concatenate([*parts, np.empty(0, np.uint64)])
+    first = np.zeros(len(flat), dtype=bool)
+    first[np.unique(flat, return_index=True)[1]] = True
+    return np.split(first, np.cumsum([len(p) for p in parts])[:-1]) if parts else []
+
+
+def _evidence(texts: list[str], places: list[np.ndarray], terms) -> Iterator[set]:
+    """Each text's terms, of words in new places only."""
+    for text, new in zip(texts, places, strict=True):
+        yield {t for w in set(compress(words_of(text), new)) for t in terms(w)}
 
 
-def _telling(rows: list[set], weight: np.ndarray) -> dict:
+def _telling(texts: list[str], terms, weight: np.ndarray) -> dict:
     """Terms that occur in toxic rows (weight 1) far more often than in others (0), by a likelihood-ratio test whose
-    threshold grows with the number of terms, so that hardly one term of all would pass by chance."""
+    threshold grows with the number of terms, so that hardly one term of all would pass by chance. A first pass over
+    hashed counts leaves out the many terms that too few toxic rows have, so that exact counts are kept for few."""
+    places = _new_places(texts)
+    rough = np.zeros(1 << 22, dtype=np.float32)
+    for row, y in zip(_evidence(texts, places, terms), weight.tolist(), strict=True):
+        if y > 0 and row:
+            np.add.at(rough, np.fromiter((hash(t) & (len(rough) - 1) for t in row), dtype=np.int64, count=len(row)), y)
+    enough = rough >= LEAST_SUPPORT - 0.01
     counts: dict = {}
-    for row, y in zip(rows, weight.tolist(), strict=True):
+    for row, y in zip(_evidence(texts, places, terms), weight.tolist(), strict=True):
         for t in row:
-            c = counts.get(t)
-            if c is None:
-                counts[t] = [1 - y, y]
-            else:
-                c[0] += 1 - y
-                c[1] += y
+            if enough[hash(t) & (len(rough) - 1)]:
+                c = counts.get(t)
+                if c is None:
+                    counts[t] = [1 - y, y]
+                else:
+                    c[0] += 1 - y
+                    c[1] += y
     total = np.array([(1 - weight).sum(), weight.sum()])
-    share, needed = min(0.999, max(1e-6, total[1] / total.sum())), 4 * np.log(max(2, len(counts)))
+    counts = {t: c for t, c in counts.items() if c[1] >= LEAST_SUPPORT}
+    share, needed = min(0.999, max(1e-6, total[1] / total.sum())), 4 * np.log(max(1000, len(counts)))
     out = {}
     for term, (clean, bad) in counts.items():
-        if bad < LEAST_SUPPORT:
-            continue
         # rates by class, so that the sample's balance doesn't matter
         good_rate, bad_rate = (clean + 0.1) / (total[0] + 1), bad / (total[1] + 1)
         n = bad + clean
@@ -100,7 +117,7 @@ def _telling(rows: list[set], weight: np.ndarray) -> dict:
 
 def induce_lexicon(texts: list[str], toxic: list[int]) -> list[bytes]:
     """Terms that tell toxic rows from others in a labelled sample."""
-    return sorted(t for t, precision in _telling(_evidence(texts, terms_of), np.array(toxic, dtype=np.float64)).items() if precision >= LEAST_PRECISION)
+    return sorted(t for t, precision in _telling(texts, terms_of, np.array(toxic, dtype=np.float64)).items() if precision >= LEAST_PRECISION)
 
 
 class Voters:
@@ -220,8 +237,9 @@ class LabelModel:
         return [c for k in range(len(VOTERS)) if (c := [i for i in range(len(VOTERS)) if top(i) == k])]
 
 
-def _buckets(word: bytes) -> list[int]:
-    return [xxh3_64_intdigest(t, SEED) % BUCKETS for t in terms_of(word)]
+@lru_cache(maxsize=100_000)
+def _buckets(word: bytes) -> tuple[int, ...]:
+    return tuple(xxh3_64_intdigest(t, SEED) % BUCKETS for t in terms_of(word))
 
 
 class Linear:
@@ -234,7 +252,7 @@ class Linear:
     def train(texts: list[str], labels: np.ndarray, *, passes: int = 60, rate: float = 0.5, decay: float = 1e-4) -> "Linear":
         # only features that tell the classes apart in the sample get a weight
         useful = np.zeros(BUCKETS, dtype=bool)
-        useful[list(_telling(_evidence(texts, _buckets), np.asarray(labels, dtype=np.float64)))] = True
+        useful[list(_telling(texts, _buckets, np.asarray(labels, dtype=np.float64)))] = True
         rows = [np.array(sorted({b for w in set(words_of(t)) for b in _buckets(w) if useful[b]}), dtype=np.int64) for t in texts]
         flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
         used, flat = np.unique(flat, return_inverse=True)
