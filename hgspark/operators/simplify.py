@@ -55,7 +55,10 @@ def greedy_one_task(pairs: DataFrame) -> DataFrame:
     """The merge history from pairs with degrees, in one task."""
 
     def scan(batches):
-        held = pd.concat(list(batches), ignore_index=True)
+        parts = list(batches)
+        if not parts:
+            return
+        held = pd.concat(parts, ignore_index=True)
         held = held.sort_values(["similarity", "i", "j"], ascending=[False, True, True])
         removed, rows = set(), []
         for i, j, s, di, dj in held[["i", "j", "similarity", "degree_i", "degree_j"]].itertuples(index=False):
