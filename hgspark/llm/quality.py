@@ -1,6 +1,7 @@
 """Quality classifier: supervised subword embeddings with a softmax output.
 
-A text's features are its white-space tokens as written, pairs of neighbouring tokens, and the character 3- and 4-grams
+A text's features are its white-space tokens as written, pairs of neighbouring tokens (a repeated token is one feature,
+whichever it is), and the character 3- and 4-grams
 of every token with its ends marked. Each is hashed to a bucket that has a learned vector; a text is the mean of its
 features' vectors; a linear layer and softmax give class probabilities. Vectors and layer are trained by stochastic
 gradient descent (Adagrad steps) in numpy on the driver, on a bounded sample of labelled rows (TRAIN_ROWS, those with the
@@ -30,6 +31,7 @@ BATCH = 32
 SEED = 7
 THRESHOLD = 0.5
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+_AGAIN = np.uint64(zlib.crc32(b"the same token again") % BUCKETS)
 _CACHE = 300_000
 
 
@@ -44,9 +46,9 @@ def _token(token: str) -> int:
 
 
 def _pairs(tokens: np.ndarray) -> np.ndarray:
-    """Buckets of neighbouring tokens' pairs."""
+    """Buckets of neighbouring tokens' pairs; a token that follows itself is one feature, whichever it is."""
     t = tokens.astype(np.uint64)
-    return (((t[:-1] * _PAIR) ^ t[1:]) * _PAIR >> np.uint64(64 - 17)).astype(np.int64)
+    return np.where(t[:-1] == t[1:], _AGAIN, ((t[:-1] * _PAIR) ^ t[1:]) * _PAIR >> np.uint64(64 - 17)).astype(np.int64)
 
 
 def features(text: str | None, known: dict | None = None) -> np.ndarray:
