@@ -1,7 +1,7 @@
 """Personal data and secrets by bootstrapped extraction: seeds induce patterns, patterns find further identifiers.
 
 Candidates are all tokens of a text with a digit or an @, without the punctuation around them; neighbouring numeric tokens
-are one (telephone and card numbers with spaces). A candidate that passes a type's strict test is a seed. Every candidate
+are one (telephone and card numbers with spaces), until they pass a strict test. A candidate that passes a type's strict test is a seed. Every candidate
 has patterns: its shape, its shape with runs of one length, its first characters with its length and kind of characters,
 the key it is assigned to, and the words before and after it with its kind.
 
@@ -107,7 +107,7 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
             continue
         if spans and spans[-1][1] + 1 == start and text[start - 1] == " " and text[start] != "+":
             before, own = text[spans[-1][0] : spans[-1][1]], text[start:stop]
-            if all(_NUMERIC.fullmatch(p) for p in before.split(" ")) and _NUMERIC.fullmatch(own) and before.count(".") < 2 and own.count(".") < 2:
+            if all(_NUMERIC.fullmatch(p) for p in before.split(" ")) and _NUMERIC.fullmatch(own) and before.count(".") < 2 and own.count(".") < 2 and seed_type(before) is None:
                 spans[-1][1] = stop
                 continue
         spans.append([start, stop])
