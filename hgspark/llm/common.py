@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 from xxhash import xxh3_64_intdigest
 
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 2_000_000
 CACHE_ENTRIES = 400_000
 
 #: ASCII bytes that are neither letters nor digits become spaces.
