@@ -3,6 +3,7 @@
 Column expressions for one pair of vectors; matrix blocks in Arrow batches where every vector meets every other.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 BLOCK_ROWS = 4096
+#: Blocks that one task may hold of either side.
+BAND_BLOCKS = 32
 
 
 def _sum(column: Column) -> Column:
@@ -99,8 +102,8 @@ def _blocks(frame: DataFrame, name: str) -> DataFrame:
 def similar_pairs(embeddings: DataFrame, threshold: float, *, strict: bool = True, zero_undefined: bool = True) -> DataFrame:
     """(i, j, similarity), i < j: all pairs above the threshold (`strict`) or at least at it.
 
-    Vectors are gathered into blocks, every two blocks of one dimension meet in one task as a matrix product, and only
-    pairs that pass leave it. Each task holds two blocks, so nothing grows with the table but the number of tasks.
+    Vectors are gathered into blocks, every two blocks of one dimension meet once as a matrix product, and only pairs
+    that pass leave the task.
     Vectors of length zero are similar to nothing (their similarity counts as 0 with `zero_undefined`, which matters
     for thresholds below 0); vectors of different dimension aren't compared.
     """
@@ -108,16 +111,22 @@ def similar_pairs(embeddings: DataFrame, threshold: float, *, strict: bool = Tru
 
     kind = embeddings.schema["node"].dataType
     blocks = cut(_blocks(embeddings, "node").select("*", F.monotonically_increasing_id().alias("block")))
-    a, b = (blocks.select(F.col("names").alias(f"names_{x}"), F.col("numbers").alias(f"numbers_{x}"), F.col("dimension").alias(f"dimension_{x}"), F.col("block").alias(f"block_{x}")) for x in "ab")
-    meet = a.join(b, (F.col("dimension_a") == F.col("dimension_b")) & (F.col("block_a") <= F.col("block_b"))).repartition("block_a", "block_b")
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                names_a, numbers_a, size, block_a, names_b, numbers_b, _, block_b = (batch.column(k)[row].as_py() for k in range(8))
-                if not size:
+    # A grid of about as many cells as blocks, or more so that a band has few enough for a task's memory: each block goes
+    # to one row and one column of it, and no task sees all of them.
+    n = blocks.count()
+    grid = max(1, math.isqrt(n), -(-n // BAND_BLOCKS))
+    placed = blocks.select("*", F.pmod(F.hash("block"), F.lit(grid)).alias("band"))
+    a = placed.select(*placed.columns, F.col("band").alias("row"), F.explode(F.sequence(F.col("band"), F.lit(grid - 1))).alias("column"))
+    b = placed.select(*placed.columns, F.explode(F.sequence(F.lit(0), F.col("band"))).alias("row"), F.col("band").alias("column"))
+    own = embeddings.sparkSession.createDataFrame([], T.StructType([T.StructField("i", kind)])).toArrow().schema.field(0).type
+
+    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = [[(names, np.frombuffer(numbers, dtype="<f8").reshape(-1, size) if size else None, size, block, band) for names, numbers, size, block, band in zip(*(t.column(c).to_pylist() for c in ("names", "numbers", "dimension", "block", "band")), strict=True)] for t in (left, right)]
+        out_i, out_j, out_s = [], [], []
+        for names_a, x, size_a, block_a, band_a in sides[0]:
+            for names_b, y, size_b, block_b, band_b in sides[1]:
+                if not size_a or size_a != size_b or band_a == band_b and block_a > block_b:
                     continue
-                x, y = (np.frombuffer(n, dtype="<f8").reshape(-1, size) for n in (numbers_a, numbers_b))
                 lengths = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
                 with np.errstate(invalid="ignore", divide="ignore"):
                     sim = np.where(lengths > 0, x @ y.T / lengths, 0.0 if zero_undefined else np.nan)
@@ -125,15 +134,14 @@ def similar_pairs(embeddings: DataFrame, threshold: float, *, strict: bool = Tru
                 if block_a == block_b:
                     passed = np.triu(passed, 1)
                 i, j = np.nonzero(passed)
-                left, right = [names_a[k] for k in i], [names_b[k] for k in j]
-                swap = [p > q for p, q in zip(left, right, strict=True)]
-                first = [q if s else p for p, q, s in zip(left, right, swap, strict=True)]
-                second = [p if s else q for p, q, s in zip(left, right, swap, strict=True)]
-                own = batch.schema.field(0).type.value_type
-                yield pa.RecordBatch.from_arrays([pa.array(first, own), pa.array(second, own), pa.array(sim[i, j])], names=["i", "j", "similarity"])
+                for p, q in zip([names_a[k] for k in i], [names_b[k] for k in j], strict=True):
+                    out_i.append(min(p, q))
+                    out_j.append(max(p, q))
+                out_s.append(sim[i, j])
+        return pa.table({"i": pa.array(out_i, own), "j": pa.array(out_j, own), "similarity": pa.array(np.concatenate([*out_s, np.empty(0)]))})
 
     schema = T.StructType([T.StructField("i", kind), T.StructField("j", kind), T.StructField("similarity", T.DoubleType())])
-    return meet.mapInArrow(multiply, schema).where("i <> j")
+    return a.groupBy("row", "column").cogroup(b.groupBy("row", "column")).applyInArrow(multiply, schema).where("i <> j")
 
 
 def similarity_matrix(embeddings: DataFrame) -> DataFrame:
@@ -181,8 +189,10 @@ def top_k_batch(queries: DataFrame, embeddings: DataFrame, k: int, threshold: fl
                     sim = np.where(lengths > 0, q @ x.T / lengths, np.nan)
                 out_q, out_n, out_s = [], [], []
                 for r in range(len(asked)):
-                    passed = [c for c in np.flatnonzero(sim[r] >= threshold)]
-                    passed.sort(key=lambda c: (-sim[r, c], names[c]))
+                    passed = np.flatnonzero(sim[r] >= threshold)
+                    if len(passed) > k > 0:  # with all that tie with the last
+                        passed = passed[sim[r, passed] >= np.partition(sim[r, passed], -k)[-k]]
+                    passed = sorted(passed.tolist(), key=lambda c: (-sim[r, c], names[c]))
                     for c in passed[:k]:
                         out_q.append(asked[r])
                         out_n.append(names[c])
