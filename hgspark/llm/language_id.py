@@ -94,6 +94,8 @@ class Lattices:
     def expected(self, logp: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected counts of pieces (in one language) in words that occur `weight` times."""
         e, ahead = self.edges, self.forward(logp)
+        if not len(e):
+            return np.zeros(len(logp))
         back = np.full_like(ahead, -np.inf)
         back[self.start + self.lengths] = 0
         order = np.lexsort((e[:, 0], -e[:, 1]))

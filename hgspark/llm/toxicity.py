@@ -7,8 +7,8 @@ or disguised abuse, and piled-up abuse.
 
 Label model. One pass over all rows counts how often each combination of votes occurs: at most 2 ** voters counts,
 whatever the number of rows. Expectation maximisation on them estimates the toxic share and every voter's firing rates
-on toxic and on other rows (its accuracy). From the posteriors come correlations of voters given the class; voters that
-correlate beyond CORRELATED form a clique that is modelled by its joint table, and the estimation is repeated.
+on toxic and on other rows (its accuracy). Voters that correlate beyond what the class explains (first judged by triples
+of covariances, then given the posteriors) by more than CORRELATED form a clique, which is modelled by its joint table.
 
 Classifier. Logistic regression over hashed words and word starts (present or not), trained by gradient descent in numpy
 on the posterior labels of the bounded sample. It then scores every row's whole text.
@@ -38,26 +38,32 @@ LEXICONS = {
     "profane": "fuck fucking fucker shit bullshit bitch bastard asshole crap damn dick whore slut cunt",
 }
 _ABUSE = frozenset(w.encode() for words in LEXICONS.values() for w in words.split())
-_DISGUISE = bytes.maketrans(b"013457@$!", b"oleastasi")
+#: A 1 stands for an i or an l.
+_DISGUISES = [bytes.maketrans(b"013457@$!", b"o" + one + b"eastasi") for one in (b"i", b"l")]
 _SPELT = re.compile(rb"(?:\b[a-z0-9@$!][ .*_-]){3,}[a-z0-9@$!]\b")
 INDUCED_VOTERS = 4
 PREFIXES = (4, 5, 6)
 SAMPLE_ROWS = 4000
 LEAST_SUPPORT = 3
 LEAST_PRECISION = 0.9
-CORRELATED = 0.25
-ROUNDS = 40
+CORRELATED = 0.2
+ROUNDS = 300
 BUCKETS = 1 << 18
 THRESHOLD = 0.5
 SEED = 11
 _CACHE = 300_000
 _THREATS = (b"kill yourself", b"go die", b"shut up", b"i will kill", b"i will hurt", b"hate you", b"drop dead", b"get lost")
+_THREAT_WORDS = frozenset({b"kill", b"die", b"shut", b"hate", b"drop", b"hurt", b"lost"})
+_YOU = frozenset({b"you", b"your", b"youre"})
+_DIGIT = re.compile("[013457]")
 VOTERS = [*LEXICONS, "addressed", "threat", "disguised", "piled", *(f"induced{k}" for k in range(INDUCED_VOTERS))]
+_BIT = {v: 1 << k for k, v in enumerate(VOTERS)}
 
 
-@lru_cache(maxsize=100_000)
 def terms_of(word: bytes) -> tuple[bytes, ...]:
     """A word and its starts: a term that ends in * is a start."""
+    if word.isascii():
+        return (word, *(word[:n] + b"*" for n in PREFIXES if len(word) > n))
     text = word.decode("utf-8", "replace")
     return (word, *(text[:n].encode("utf-8", "replace") + b"*" for n in PREFIXES if len(text) > n))
 
@@ -120,6 +126,11 @@ def induce_lexicon(texts: list[str], toxic: list[int]) -> list[bytes]:
     return sorted(t for t, precision in _telling(texts, terms_of, np.array(toxic, dtype=np.float64)).items() if precision >= LEAST_PRECISION)
 
 
+def _undisguised(word: bytes) -> bool:
+    """Whether a word is abuse with signs in place of letters."""
+    return any((plain := word.translate(d)) != word and plain in _ABUSE for d in _DISGUISES)
+
+
 class Voters:
     """Votes of all voters on a text as bits of a number, bit k for VOTERS[k]."""
 
@@ -127,42 +138,39 @@ class Voters:
         self.bit = {w.encode(): 1 << k for k, words in enumerate(LEXICONS.values()) for w in words.split()}
         first = VOTERS.index("induced0")
         self.induced = {t: 1 << (first + xxh3_64_intdigest(t, SEED) % INDUCED_VOTERS) for t in induced}
-        self.known: dict[bytes, int] = {}
+        # most words begin like no term at all
+        self.starts = frozenset(t.rstrip(b"*")[:4] for t in (*self.bit, *self.induced))
 
     def of_word(self, word: bytes) -> int:
         bits = self.bit.get(word, 0)
         for t in terms_of(word):
             bits |= self.induced.get(t, 0)
-        if not bits and (plain := word.translate(_DISGUISE)) != word and plain in _ABUSE:
-            bits = 1 << VOTERS.index("disguised")
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        self.known[word] = bits
         return bits
 
     def __call__(self, text: str | None) -> int:
         words = words_of(text) if text else []
-        bits, known = 0, self.known
-        different = set(words)
-        hits = []
-        for w in different:
-            b = known.get(w)
-            if b is None:
-                b = self.of_word(w)
-            if b:
-                bits |= b
-                hits.append(w)
-        if len(hits) > 1:
-            bits |= 1 << VOTERS.index("piled")
-        if bits and different & {b"you", b"your", b"youre"}:
+        bits = hits = 0
+        starts, different = self.starts, set(words)
+        for w in [w for w in different if w[:4] in starts]:
+            b = self.of_word(w)
+            bits |= b
+            hits += b > 0
+        if hits > 1:
+            bits |= _BIT["piled"]
+        if bits and different & _YOU:
             for k, w in enumerate(words):
-                if w in (b"you", b"your", b"youre") and any(x in _ABUSE for x in words[k + 1 : k + 5]):
-                    bits |= 1 << VOTERS.index("addressed")
+                if w in _YOU and any(x in _ABUSE for x in words[k + 1 : k + 5]):
+                    bits |= _BIT["addressed"]
                     break
-        if different & {b"kill", b"die", b"shut", b"hate", b"drop", b"hurt", b"lost"} and any(t in b" ".join(words) for t in _THREATS):
-            bits |= 1 << VOTERS.index("threat")
-        if text and any(re.sub(rb"[ .*_-]", b"", m).translate(_DISGUISE) in _ABUSE for m in _SPELT.findall(text.lower().encode("utf-8", "replace"))):
-            bits |= 1 << VOTERS.index("disguised")
+        if different & _THREAT_WORDS and any(t in b" ".join(words) for t in _THREATS):
+            bits |= _BIT["threat"]
+        if words and not bits & _BIT["disguised"]:
+            if _DIGIT.search(text) and any(_undisguised(w) for w in different):
+                bits |= _BIT["disguised"]
+            elif list(map(len, words)).count(1) > 3 and b"1111" in bytes(49 if len(w) == 1 else 48 for w in words):
+                raw = text.lower().encode("utf-8", "replace")
+                if any((w := re.sub(rb"[ .*_-]", b"", m)) in _ABUSE or _undisguised(w) for m in _SPELT.findall(raw)):
+                    bits |= _BIT["disguised"]
         return bits
 
 
@@ -172,12 +180,12 @@ class LabelModel:
     def __init__(self, masks: np.ndarray, counts: np.ndarray):
         self.votes = (masks[:, None] >> np.arange(len(VOTERS)) & 1).astype(np.int64)
         self.counts = counts.astype(np.float64)
-        self.cliques = [[k] for k in range(len(VOTERS))]
+        self.cliques = self.group(self.excess())
         posterior = np.where(self.votes.any(axis=1), 0.9, 0.01)
         for _ in range(2):
             posterior = self.estimate(posterior)
             self.correlations = self.correlate(posterior)
-            merged = self.group()
+            merged = self.group(np.maximum(self.excess(), self.correlations))
             if merged == self.cliques:
                 break
             self.cliques = merged
@@ -200,14 +208,34 @@ class LabelModel:
                 cells = 1 << len(c)
                 tables = [np.bincount(s, w, cells) + 0.5 / cells for w in (self.counts - bad, bad)]
                 ratio = np.log(tables[1] / tables[1].sum()) - np.log(tables[0] / tables[0].sum())
-                # a vote may not speak for a clean text, as voters only know abuse
-                logit += np.where(s > 0, np.maximum(ratio[s], 0), np.minimum(ratio[s], 0))
+                # a single vote may not speak for a clean text, as voters only know abuse
+                logit += ratio[s] if len(c) > 1 else np.where(s > 0, np.maximum(ratio[s], 0), np.minimum(ratio[s], 0))
             new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             done, posterior = np.abs(new - posterior).max() < 1e-6, new
             if done:
                 break
         return posterior
 
+    def excess(self) -> np.ndarray:
+        """Correlations beyond those that the class causes. If voters only had the class in common, covariances would be
+        products a_i * a_j, and a_i ** 2 = cov_ij * cov_ik / cov_jk for all j, k; the median over these bears some pairs
+        that break the rule, and what is left of their covariance is their own."""
+        total = self.counts.sum()
+        mean = self.counts @ self.votes / total
+        cov = (self.votes * self.counts[:, None]).T @ self.votes / total - np.outer(mean, mean)
+        n = len(mean)
+        live = [k for k in range(n) if mean[k] * total >= 20]
+        a = np.zeros(n)
+        for i in live:
+            ratios = sorted(cov[i, j] * cov[i, k] / cov[j, k] for j in live for k in live if j < k and i not in (j, k) and cov[j, k] > 0)
+            if ratios:
+                a[i] = np.sqrt(max(0.0, ratios[(len(ratios) - 1) // 2]))
+        spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
+        out = (cov - np.outer(a, a)) / np.outer(spread, spread)
+        out[[k for k in range(n) if not a[k]], :] = 0
+        out[:, [k for k in range(n) if not a[k]]] = 0
+        return out
+
     def correlate(self, posterior: np.ndarray) -> np.ndarray:
         """Correlations given the class, averaged over the classes by their shares."""
         total = np.zeros((len(VOTERS), len(VOTERS)))
@@ -219,10 +247,11 @@ class LabelModel:
             total += (second - np.outer(mean, mean)) / np.outer(spread, spread) * w.sum()
         return total / max(1.0, self.counts.sum())
 
-    def group(self) -> list[list[int]]:
+    def group(self, correlations: np.ndarray) -> list[list[int]]:
+        """Cliques of at most four voters, strongest pairs first."""
         root = list(range(len(VOTERS)))
         size = dict.fromkeys(root, 1)
-        pairs = sorted(((self.correlations[i, j], i, j) for i in root for j in range(i)), reverse=True)
+        pairs = sorted(((correlations[i, j], i, j) for i in root for j in range(i)), reverse=True)
 
         def top(i: int) -> int:
             while root[i] != i:
@@ -237,7 +266,7 @@ class LabelModel:
         return [c for k in range(len(VOTERS)) if (c := [i for i in range(len(VOTERS)) if top(i) == k])]
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=200_000)
 def _buckets(word: bytes) -> tuple[int, ...]:
     return tuple(xxh3_64_intdigest(t, SEED) % BUCKETS for t in terms_of(word))
 
@@ -273,28 +302,44 @@ class Linear:
 
 
 class _Scorer:
-    def __init__(self, model: Linear):
-        self.model, self.known = model, {}
+    """Scores texts; weights of words and of their starts are kept while there is room."""
 
-    def learn(self, word: bytes) -> float:
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        self.known[word] = tuple((b, float(v)) for b in _buckets(word) if (v := self.model.weights[b]))
-        return self.known[word]
+    def __init__(self, model: Linear):
+        self.weights, self.bias = model.weights, model.bias
+        self.known: dict[bytes, tuple] = {}
+        self.starts: dict[bytes, tuple] = {}
+
+    def of_term(self, term: bytes) -> tuple:
+        b = xxh3_64_intdigest(term, SEED) % BUCKETS
+        return ((b, float(self.weights[b])),) if self.weights[b] else ()
+
+    def of_word(self, word: bytes) -> tuple:
+        terms, starts = terms_of(word), self.starts
+        out = self.of_term(word)
+        for t in terms[1:]:
+            v = starts.get(t)
+            if v is None:
+                v = self.of_term(t)
+                if len(starts) < _CACHE:
+                    starts[t] = v
+            out += v
+        if len(self.known) < _CACHE:
+            self.known[word] = out
+        return out
 
     def __call__(self, text: str | None) -> float:
         words = set(words_of(text)) if text else ()
         if not words:
             return 0.0
+        get = self.known.get
         found: dict[int, float] = {}
-        known = self.known
         for w in words:
-            v = known.get(w)
+            v = get(w)
             if v is None:
-                v = self.learn(w)
+                v = self.of_word(w)
             if v:
                 found.update(v)
-        z = sum(found[k] for k in sorted(found)) + self.model.bias
+        z = sum(found[k] for k in sorted(found)) + self.bias
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
@@ -331,7 +376,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        score = _Scorer(shared.value) if shared.value is not None else lambda _: 0.0
+        model = shared.value
+        if model is None:
+            return lambda batch: pa.array([0.0] * len(batch), pa.float64())
+        if not hasattr(model, "scorer"):  # kept with the model while the worker lives
+            model.scorer = _Scorer(model)
+        score = model.scorer
         return lambda batch: pa.array([score(t) for t in batch], pa.float64())
 
     scored = docs.select(id_col, text_udf(make, "double")(F.col(text_col)).alias("toxicity"))

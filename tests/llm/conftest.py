@@ -14,7 +14,7 @@ def odd_rows():
     """(doc_id, text, lang, source, n_chars) with nulls in every column, empty, blank and very long texts, repeated rows."""
     rng = random.Random(7)
     base = sentence(rng, 80)
-    rows = [(1, base, "en", "a"), (2, base, "en", "a"), (2, base, "en", "a"), (3, None, "en", "b"), (4, "", None, "b"), (5, " \n\t ", "fr", None), (None, base, "en", None), (None, None, None, None), (6, sentence(rng, 60_000), "en", "c"), (7, "one", "en", "c"), (8, "...!!!", "de", "a"), (9, "x" * 50_000, "de", "a")]
+    rows = [(1, base, "en", "a"), (2, base, "en", "a"), (2, base, "en", "a"), (3, None, "en", "b"), (4, "", None, "b"), (5, " \n\t ", "fr", None), (None, base, "en", None), (None, None, None, None), (6, sentence(rng, 60_000), "en", "c"), (7, "qwq", "en", "c"), (8, "...!!!", "de", "a"), (9, "x" * 50_000, "de", "a")]
     rows += [(i, sentence(rng, 30), "en", "abc"[i % 3]) for i in range(20, 30)]
     return [(*r, len(r[1]) if r[1] is not None else None) for r in rows]
 

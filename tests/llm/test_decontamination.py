@@ -78,7 +78,7 @@ def test_several_tables_give_the_same(spark, monkeypatch):
 
 def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     base = odd_rows[0][1]
-    b = spark.createDataFrame([(1, base), (2, None), (3, "one")], "item_id int, text string")
+    b = spark.createDataFrame([(1, base), (2, None), (3, "QWQ!")], "item_id int, text string")
     got = {(r.doc_id, r.item_id) for r in D.benchmark_overlaps(odd_docs, b).collect()}
     assert got == {(1, 1), (2, 1), (None, 1), (7, 3)}
     clean = D.drop_contaminated(odd_docs, b)

