@@ -109,7 +109,7 @@ def _telling(texts: list[str], terms, weight: np.ndarray) -> dict:
                     c[1] += y
     total = np.array([(1 - weight).sum(), weight.sum()])
     counts = {t: c for t, c in counts.items() if c[1] >= LEAST_SUPPORT}
-    share, needed = min(0.999, max(1e-6, total[1] / total.sum())), 4 * np.log(max(1000, len(counts)))
+    share, needed = min(0.999, max(1e-6, total[1] / total.sum())), 4 * np.log(max(10, len(counts)))
     out = {}
     for term, (clean, bad) in counts.items():
         # rates by class, so that the sample's balance doesn't matter
@@ -279,9 +279,10 @@ class Linear:
 
     @staticmethod
     def train(texts: list[str], labels: np.ndarray, *, passes: int = 60, rate: float = 0.5, decay: float = 1e-4) -> "Linear":
-        # only features that tell the classes apart in the sample get a weight
+        # only features that tell the classes apart in the sample, and the lexicons' words, get a weight
         useful = np.zeros(BUCKETS, dtype=bool)
         useful[list(_telling(texts, _buckets, np.asarray(labels, dtype=np.float64)))] = True
+        useful[[xxh3_64_intdigest(w, SEED) % BUCKETS for w in _ABUSE]] = True
         rows = [np.array(sorted({b for w in set(words_of(t)) for b in _buckets(w) if useful[b]}), dtype=np.int64) for t in texts]
         flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
         used, flat = np.unique(flat, return_inverse=True)
