@@ -116,12 +116,14 @@ def similar_pairs(embeddings: DataFrame, threshold: float, *, strict: bool = Tru
     n = blocks.count()
     grid = max(1, math.isqrt(n), -(-n // BAND_BLOCKS))
     placed = blocks.select("*", F.pmod(F.hash("block"), F.lit(grid)).alias("band"))
-    a = placed.select(*placed.columns, F.col("band").alias("row"), F.explode(F.sequence(F.col("band"), F.lit(grid - 1))).alias("column"))
-    b = placed.select(*placed.columns, F.explode(F.sequence(F.lit(0), F.col("band"))).alias("row"), F.col("band").alias("column"))
+    a = placed.select(*placed.columns, F.lit(0).alias("side"), F.col("band").alias("row"), F.explode(F.sequence(F.col("band"), F.lit(grid - 1))).alias("column"))
+    b = placed.select(*placed.columns, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("band"))).alias("row"), F.col("band").alias("column"))
     own = embeddings.sparkSession.createDataFrame([], T.StructType([T.StructField("i", kind)])).toArrow().schema.field(0).type
 
-    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
-        sides = [[(names, np.frombuffer(numbers, dtype="<f8").reshape(-1, size) if size else None, size, block, band) for names, numbers, size, block, band in zip(*(t.column(c).to_pylist() for c in ("names", "numbers", "dimension", "block", "band")), strict=True)] for t in (left, right)]
+    def multiply(cell: pa.Table) -> pa.Table:
+        sides: list[list] = [[], []]
+        for names, numbers, size, block, band, side in zip(*(cell.column(c).to_pylist() for c in ("names", "numbers", "dimension", "block", "band", "side")), strict=True):
+            sides[side].append((names, np.frombuffer(numbers, dtype="<f8").reshape(len(names), size), size, block, band))
         out_i, out_j, out_s = [], [], []
         for names_a, x, size_a, block_a, band_a in sides[0]:
             for names_b, y, size_b, block_b, band_b in sides[1]:
@@ -141,7 +143,7 @@ def similar_pairs(embeddings: DataFrame, threshold: float, *, strict: bool = Tru
         return pa.table({"i": pa.array(out_i, own), "j": pa.array(out_j, own), "similarity": pa.array(np.concatenate([*out_s, np.empty(0)]))})
 
     schema = T.StructType([T.StructField("i", kind), T.StructField("j", kind), T.StructField("similarity", T.DoubleType())])
-    return a.groupBy("row", "column").cogroup(b.groupBy("row", "column")).applyInArrow(multiply, schema).where("i <> j")
+    return a.unionByName(b).groupBy("row", "column").applyInArrow(multiply, schema).where("i <> j")
 
 
 def similarity_matrix(embeddings: DataFrame) -> DataFrame:
