@@ -19,8 +19,9 @@ all links, by label propagation that alternates with pointer jumping; each round
 smallest id of a group stays.
 
 Defined results: null, empty and wordless texts have no tokens and are never in a group; a text of fewer words than a
-shingle is one token; rows with a null id are never removed or kept for others; a repeated row is one row of its id, and
-drop_near_duplicates leaves one row of those with equal id and text; an empty table gives no groups.
+shingle is one token; rows with a null id are never removed or kept for others; an id is taken to name
+one text, so rows that share it go or stay together, and drop_near_duplicates leaves one row of those with equal id and
+text; an empty table gives no groups.
 """
 
 from collections.abc import Iterator

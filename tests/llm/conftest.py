@@ -1,14 +1,11 @@
 import random
 
 import pytest
+from helpers import sentence
 
 CLASHING = ["shard", "epoch", "block", "block_rank", "vector", "node", "item_id", "fingerprint", "quality_probability", "keep", "toxicity", "is_toxic", "id", "entity", "start", "kept_doc_id", "group_size", "language", "token_ids", "n_windows", "SHARD_2", "bytes", "key"]
 
 
-def sentence(rng: random.Random, n: int) -> str:
-    return " ".join("".join(rng.choice("abdefgiklmnoprstu") for _ in range(rng.randint(2, 7))) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def odd_rows():
     """(doc_id, text, lang, source, n_chars) with nulls in every column, empty, blank and very long texts, repeated rows."""

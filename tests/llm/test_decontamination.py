@@ -1,6 +1,6 @@
 import random
 
-from conftest import sentence
+from helpers import sentence
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

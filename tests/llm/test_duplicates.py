@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import sentence
+from helpers import sentence
 
 from hgspark.llm import fingerprints as P
 from hgspark.llm import near_duplicates as N
