@@ -491,11 +491,11 @@ def evt_relations(spark, d):
 _BAD = "o_orderstatus = 'P'"
 
 
-@_register(f"SELECT o_orderkey, CASE WHEN {_BAD} THEN NULL ELSE 1 END AS n FROM orders")
+@_register(f"SELECT o_orderkey, CASE WHEN {_BAD} THEN -1 ELSE 1 END AS n FROM orders")
 def evt_parse_strict(spark, d):
     target = F.when(F.expr(_BAD), F.lit('"x"')).otherwise(F.lit('["x", "y"]'))
     text = F.concat(F.lit('Here it is:\n```json\n{"events": [{"source": ["a"], "relation": "r", "target": '), target, F.lit("}]}\n```"))
-    return _table(spark, d, "orders").select("o_orderkey", F.size(E.parse_events(E.extract_json(F.concat(F.lit("x "), text)))).alias("n")).select("o_orderkey", F.when(F.col("n") >= 0, F.col("n")).alias("n"))
+    return _table(spark, d, "orders").select("o_orderkey", F.size(E.parse_events(E.extract_json(F.concat(F.lit("x "), text)))).alias("n")).select("o_orderkey", F.coalesce("n", F.lit(-1)).alias("n"))
 
 
 @_register(f"SELECT edge AS edge_id, 'ordered with' AS relation, chunk_id, 'ordered with' AS short FROM {_EVT}")

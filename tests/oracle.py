@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -20,7 +21,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 def _text(v) -> str:
     if isinstance(v, (list, np.ndarray)):
         return str([_text(x) for x in v])
-    if v is None or v != v:
+    if pd.isna(v):
         return ""
     return f"{v:.6g}" if isinstance(v, float) else str(v)
 
