@@ -12,25 +12,27 @@ METADATA = "seq bigint, edge string, nodes array<string>, source array<string>,
 
 def extract_json(response: Column) -> Column:
     """The JSON part of a model's response: no code fences, nothing before its start or after its end."""
-    text = F.regexp_replace(response, r"(?U)^\s+|\s+$", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"^```(json)?", ""), r"```$", "")
-    text = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    start = F.when(F.instr(text, "{") > 0, F.regexp_replace(text, r"(?s)^[^{]*", "")).when(F.instr(text, "[") > 0, F.regexp_replace(text, r"(?s)^[^\[]*", "")).otherwise(text)
-    text = F.when(text.rlike(r"^[{\[]"), text).otherwise(start)
-    end = F.when(F.instr(text, "}") > 0, F.regexp_replace(text, r"(?s)[^}]*$", "")).when(F.instr(text, "]") > 0, F.regexp_replace(text, r"(?s)[^\]]*$", "")).otherwise(text)
-    text = F.when(text.rlike(r"[}\]]$"), text).otherwise(end)
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    text = F.regexp_replace(response, r"(?U)^\s*(?:```(?:json)?)?\s*", "")
+    text = F.regexp_replace(text, r"(?U)\s*(?:```)?\s*$", "")
+    # up to the first { or, without any, the first [
+    text = F.regexp_replace(text, r"(?s)^(?![{\[])(?:[^{]*(?=\{)|[^\[]*(?=\[))", "")
+    # what follows the last } or, without any, the last ]
+    text = F.regexp_replace(text, r"(?s)(?<=\})[^}]*[^}\]]$", "")
+    return F.regexp_replace(text, r"(?s)^([^}]*\])[^}\]]+$", "$1")
 
 
 def parse_events(json: Column) -> Column:
     """The array of events, or null if anything in it is malformed: a list that isn't one, a missing part, a null."""
-    parsed = F.from_json(json, EVENTS)["events"]
 
     def broken(e: Column) -> Column:
         lists = F.exists(e["source"], lambda n: n.isNull()) | F.exists(e["target"], lambda n: n.isNull())
         return e.isNull() | e["source"].isNull() | e["relation"].isNull() | e["target"].isNull() | F.coalesce(lists, F.lit(True))
 
-    return F.when(~F.coalesce(F.exists(parsed, broken), F.lit(True)), parsed)
+    def checked(parsed: Column) -> Column:
+        return F.when(~F.coalesce(F.exists(parsed["events"], broken), F.lit(True)), parsed["events"])
+
+    # within an array of one, so that the text is parsed once and not wherever its value is used
+    return F.get(F.transform(F.array(F.from_json(json, EVENTS)), checked), F.lit(0))
 
 
 def all_nodes(event: Column) -> Column:
