@@ -4,15 +4,17 @@ A text's tokens are its runs of SHINGLE words; its MinHash vector has SIZE coord
 vectors agree in a share of at least `threshold` of the coordinates (an estimate of the Jaccard similarity of their
 tokens; a coordinate is compared by one byte and the share is corrected for bytes that agree by chance).
 
-Each of TREES independent trees starts with all texts at its root. A node chooses coordinates at random, 1 / threshold of
-them on average, by a hash of its own path; for each chosen coordinate a text goes on to the child named by its value
-there. A near pair shares 1 / threshold * similarity >= 1 children on average, so it stays together in some branch with a
-probability that falls only slowly with depth, while others part. The first LEVELS levels need no knowledge of other
+Each of TREES independent trees starts with all texts at its root. A node chooses coordinates at random, `fan` of them on
+average, by a hash of its own path; for each chosen coordinate a text goes on to the child named by its value there. A
+near pair shares fan * similarity children on average. With 1 / threshold coordinates that would be 1 at the threshold,
+and the chance to stay together in some branch would fall towards 0 with depth; `fan` is larger by as much as it takes
+for the chance not to fall below RECALL in all trees together, however deep they are, while others part. The first LEVELS levels need no knowledge of other
 texts and are expanded where the vectors are read. Then nodes are counted; those above NODE_ROWS are split by further
 levels in the same way, up to MOST_LEVELS. Nodes end in a task that goes on recursively: up to LEAF texts are
 compared exhaustively, larger nodes branch, and texts that stay similar to most of their node (which no branching can
 part) are compared with the whole node and removed from it. Equal vectors are put together before, so copies are one
-text here. With the default parameters the trees find at least 0.9 of the pairs at the threshold, more above it.
+text here. The trees find RECALL of the pairs at the threshold at any depth, so more at those that nodes reach, and more
+above it.
 
 A task returns links that connect the near texts of its nodes (a spanning forest). Groups are the connected components of
 all links, by label propagation that alternates with pointer jumping; each round is cut by a checkpoint. The row with the
@@ -25,6 +27,7 @@ text; an empty table gives no groups.
 """
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,7 @@ SHINGLE = 3
 SIZE = 128
 THRESHOLD = 0.6
 TREES = 4
+RECALL = 0.95
 LEVELS = 2
 MOST_LEVELS = 8
 LEAF = 200
@@ -97,13 +101,27 @@ def vectors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(sketch, f"id {kind}, vector long, sketch binary")
 
 
-def children(nodes: np.ndarray, sketches: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child node) for rows that stand at nodes: each node chooses the whole part of 1 / threshold coordinates and
-    one more with the rest's probability, without repetition."""
+@lru_cache
+def fan(threshold: float, trees: int) -> float:
+    """The least mean number of coordinates a node has to choose for a pair at the threshold to stay together in any of
+    the trees with probability RECALL at every depth: the chance in one tree has a fixed point there."""
+    one = 1 - (1 - RECALL) ** (1 / trees)
+    low, high = 1.0, float(SIZE)
+    for _ in range(60):
+        middle = (low + high) / 2
+        least, rest = divmod(middle, 1)
+        kept = 1 - (1 - threshold * one) ** least * (1 - rest * threshold * one)
+        low, high = (low, middle) if kept >= one else (middle, high)
+    return high
+
+
+def children(nodes: np.ndarray, sketches: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child node) for rows that stand at nodes: each node chooses the whole part of 1 / share coordinates and one
+    more with the rest's probability, without repetition."""
     rows, out = [], []
     draw = mix64(nodes ^ np.uint64(0x5851F42D4C957F2D))
-    least, rest = divmod(1 / threshold, 1)
-    most = int(least) + 1
+    least, rest = divmod(1 / share, 1)
+    most = min(SIZE, int(least) + 1)
     chosen = np.where((draw >> np.uint64(40)).astype(np.float64) / (1 << 24) < rest, most, int(least))
     place = draw
     taken: list[np.ndarray] = []
@@ -124,7 +142,7 @@ def sorted_columns(columns: list[np.ndarray]) -> list[np.ndarray]:
     return list(np.sort(np.stack(columns), axis=0)) if columns else []
 
 
-def _level(frame: DataFrame, threshold: float, levels: int) -> DataFrame:
+def _level(frame: DataFrame, share: float, levels: int) -> DataFrame:
     """(node, vector, sketch) rows moved down by some levels."""
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +151,7 @@ def _level(frame: DataFrame, threshold: float, levels: int) -> DataFrame:
             sketch = _matrix(batch.column(2))
             row = np.arange(len(node))
             for _ in range(levels):
-                step, node = children(node, sketch[row], threshold)
+                step, node = children(node, sketch[row], share)
                 row = row[step]
             if len(row):
                 take = pa.array(row)
@@ -178,7 +196,7 @@ def _needed(threshold: float) -> int:
     return int(np.ceil(SIZE * (threshold + (1 - threshold) / 256) - 1e-9))
 
 
-def join_node(sketches: np.ndarray, threshold: float, forest: _Forest, numbers: np.ndarray, node: int, depth: int = 0) -> None:
+def join_node(sketches: np.ndarray, threshold: float, forest: _Forest, numbers: np.ndarray, node: int, trees: int = TREES, depth: int = 0) -> None:
     """Links the near texts of a node; `numbers` are the rows of `sketches` that stand in it."""
     n = len(numbers)
     if n < 2:
@@ -202,16 +220,16 @@ def join_node(sketches: np.ndarray, threshold: float, forest: _Forest, numbers:
     light = numbers[~heavy]
     if len(light) < 2:
         return
-    row, child = children(np.full(len(light), node, dtype=np.uint64), sketches[light], threshold)
+    row, child = children(np.full(len(light), node, dtype=np.uint64), sketches[light], 1 / fan(threshold, trees))
     order = np.argsort(child, kind="stable")
     row, child = row[order], child[order]
     cuts = np.flatnonzero(child[1:] != child[:-1]) + 1
     for part, name in zip(np.split(row, cuts), child[np.concatenate([[0], cuts])] if len(child) else [], strict=False):
         if len(part) > 1:
-            join_node(sketches, threshold, forest, light[part], int(name), depth + 1)
+            join_node(sketches, threshold, forest, light[part], int(name), trees, depth + 1)
 
 
-def _leaves(threshold: float):
+def _leaves(threshold: float, trees: int):
     """Links of rows (node, vector, sketch) that come sorted by node."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +250,7 @@ def _leaves(threshold: float):
             for k in np.flatnonzero(sizes > 5):
                 own = slice(heads[k], heads[k] + sizes[k])
                 forest = _Forest(int(sizes[k]))
-                join_node(sketch[own], threshold, forest, np.arange(sizes[k]), int(node[heads[k]]) & 0xFFFFFFFFFFFFFFFF)
+                join_node(sketch[own], threshold, forest, np.arange(sizes[k]), int(node[heads[k]]) & 0xFFFFFFFFFFFFFFFF, trees)
                 if forest.links:
                     pairs = np.array(forest.links)
                     left.append(vector[own][pairs[:, 0]])
@@ -257,16 +275,17 @@ def _leaves(threshold: float):
 
 def near_links(distinct: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, levels: int = LEVELS, node_rows: int = NODE_ROWS) -> DataFrame:
     """(a, b): links between near vectors, from rows (vector, sketch) of distinct vectors."""
+    share = 1 / fan(threshold, trees)
     roots = F.explode(F.array(*[F.lit(int(mix64(np.array([SEED + t], dtype=np.uint64)).view(np.int64)[0])) for t in range(trees)]))
-    nodes = _level(distinct.select(roots.alias("node"), "vector", "sketch"), threshold, levels)
-    compare, found, level = _leaves(threshold), [], levels
+    nodes = _level(distinct.select(roots.alias("node"), "vector", "sketch"), share, levels)
+    compare, found, level = _leaves(threshold, trees), [], levels
     while True:
         large = cut(nodes.groupBy("node").count().where(F.col("count") > node_rows).select("node")) if level < MOST_LEVELS else None
         ended = nodes if large is None or large.isEmpty() else nodes.join(large, "node", "left_anti")
         found.append(ended.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long"))
         if large is None or large.isEmpty():
             break
-        nodes, level = cut(_level(nodes.join(large, "node", "left_semi").select("node", "vector", "sketch"), threshold, 1)), level + 1
+        nodes, level = cut(_level(nodes.join(large, "node", "left_semi").select("node", "vector", "sketch"), share, 1)), level + 1
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)

@@ -57,6 +57,22 @@ def test_trees_find_pairs_at_the_threshold(spark):
     assert len(deep) > 0.5 * n
 
 
+@pytest.mark.parametrize("levels", [2, 8, 10])
+def test_trees_keep_pairs_at_the_threshold_at_any_depth(spark, levels):
+    rng = np.random.default_rng(14)
+    n, agree = 300, N._needed(N.THRESHOLD)
+    rows = []
+    for i in range(n):
+        a = rng.integers(0, 256, N.SIZE, dtype=np.uint8)
+        b = a + rng.integers(1, 256, N.SIZE, dtype=np.uint8)
+        same = rng.permutation(N.SIZE)[:agree]
+        b[same] = a[same]
+        rows += [(2 * i, bytearray(a.tobytes())), (2 * i + 1, bytearray(b.tobytes()))]
+    df = spark.createDataFrame(rows, "vector long, sketch binary").repartition(4)
+    got = {(r.a, r.b) for r in N.near_links(df, levels=levels).collect()}
+    assert len(got & {(2 * i, 2 * i + 1) for i in range(n)}) / n >= 0.9
+
+
 def test_large_nodes_recurse():
     """One tree's node of many near copies, and far texts among them: a tree may part a few copies from the others."""
     rng = np.random.default_rng(2)
