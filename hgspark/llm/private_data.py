@@ -1,8 +1,11 @@
 """Personal data and secrets by bootstrapped extraction: seeds induce patterns, patterns find further identifiers.
 
 Candidates are all tokens of a text with a digit or an @, without the punctuation around them; neighbouring numeric tokens
-are one (telephone and card numbers with spaces), until they pass a strict test. A candidate that passes a type's strict test is a seed. Every candidate
-has patterns: its shape, its shape with runs of one length, its first characters with its length and kind of characters,
+are one (telephone and card numbers with spaces), until they pass a strict test. The strict expressions are also searched
+within and across candidates, with tests of what stands beside a hit; a hit is a candidate of its own, and so is what is
+left of the candidate it was cut from. A candidate of more than LONGEST characters is cut at separators; a piece that is
+still longer has no separator in it and only the hits of the search. A candidate that passes a type's strict test is a
+seed. Every candidate has patterns: its shape, its shape with runs of one length, its first characters with its length and kind of characters,
 the key it is assigned to, and the words before and after it with its kind.
 
 Spark scores the graph of patterns and distinct candidates in rounds. A pattern's confidence in a type is the summed score
@@ -19,6 +22,7 @@ add support; an empty table gives no rows.
 """
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,10 +47,24 @@ _IP = re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d
 _CARD = re.compile(r"\d(?:[ -]?\d){12,18}")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 _KEY_ID = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}")
-_SECRET = re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?[A-Za-z0-9+/_\-]{8,}={0,2}")
+_SECRET = re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?[A-Za-z0-9+/_\-]{8,}={0,2}(?:\.[A-Za-z0-9+/_\-]{8,}={0,2})*")
 _ASSIGNED = re.compile(r"([\w-]+[\"']?\s?[=:]\s?[\"']?)$")
 _RUN = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
+# The strict expressions within a text: what stands beside a hit mustn't go on with it.
+_LEFT, _RIGHT = r"(?<![A-Za-z0-9])(?<!\d[-./])", r"(?![A-Za-z0-9])(?![-./]\d)"
+_WITHIN = (
+    _SECRET,
+    re.compile(r"(?<![\w.+%-])[\w.+%-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9]|[_.-]+[A-Za-z0-9])"),
+    re.compile(rf"(?<![A-Za-z0-9]){_KEY_ID.pattern}(?![A-Za-z0-9])"),
+    re.compile(rf"(?<![A-Za-z0-9])(?<!\d\.){_IP.pattern}(?![A-Za-z0-9]|\.\d)"),
+    re.compile(_LEFT + _SSN.pattern + _RIGHT),
+    re.compile(_LEFT + _PHONE.pattern + _RIGHT),
+    re.compile(_LEFT + r"(?:[2-6]\d{12,18}|[2-6]\d{3}([ -])\d{6}\1\d{4,5})" + _RIGHT),
+)
+_FOURS = re.compile(_LEFT + r"\d{4}([ -])\d{4}(?:\1\d{4})++" + _RIGHT)
+_SPACED = re.compile(r"[\d ]+")
+_PARTS = re.compile(r"[^\s\"'<>(){}\[\],;&?=|]+")
 TYPES = ("card", "email", "ip", "key_id", "phone", "secret", "ssn")
 
 
@@ -85,12 +103,49 @@ def _kind(text: str) -> str:
     return "alnum" if text.isalnum() else "".join(sorted({c for c in text if not c.isalnum()}))
 
 
+def _hits(text: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Identifiers that the strict expressions find in a part of a text that ends with a token."""
+    for expression in _WITHIN:
+        for m in expression.finditer(text, start, stop):
+            a, b = m.span()
+            if expression is _SECRET:
+                value = re.split(r"[=:]", m.group(), maxsplit=1)[1]
+                if not any(c.isdigit() for c in value):
+                    continue
+            elif "@" in m.group():
+                while text[a] in ".+%-":
+                    a += 1
+            elif _SPACED.fullmatch(m.group()) and (text[a - 2 : a].strip(" ").isdigit() or text[b : b + 2].strip(" ").isdigit()):
+                continue  # some of a row of numbers, none of which is marked as a number of its own
+            if seed_type(text[a:b]):
+                yield a, b
+    for m in _FOURS.finditer(text, start, stop):  # a run of groups of four is one card or several, or none
+        cards = [(a, a + 19) for a in range(m.start(), m.end(), 20)]
+        if all(b <= m.end() and text[a] in "23456" and _luhn(text[a:b]) for a, b in cards):
+            yield from cards
+
+
+def _trimmed(text: str, start: int, stop: int) -> tuple[int, int]:
+    """A token, or a part of one, without the punctuation and space around it."""
+    while start < stop and text[start] in " \"'<[{(,;:!?." and not _NUMERIC.fullmatch(text[start:stop].rstrip(".,;:!?\"'")):
+        start += 1
+    while stop > start and (text[stop - 1] in " \"'>]},;:!?." or (text[stop - 1] == ")" and "(" not in text[start:stop])):
+        stop -= 1
+    return start, stop
+
+
+def _grouped(entity: str) -> bool:
+    """Whether a card number is written without separators or in the usual groups."""
+    return [len(p) for p in re.split("[ -]", entity)] in ([len(entity)], [4, 4, 4, 4], [4, 6, 5], [4, 6, 4], [4, 4, 4, 4, 3])
+
+
 def candidates(text: str | None) -> list[tuple[int, int]]:
     """Spans of candidates, from left to right."""
     spans: list[list[int]] = []
     if not text:
         return []
-    done = 0
+    regions: list[list[int]] = []  # neighbouring marked tokens as they stand, where identifiers are searched
+    done, points = 0, None  # points in the last span if it is known to be a row of numbers, 2 if it is none
     for m in _MARKS.finditer(text):
         if m.start() < done:
             continue
@@ -99,27 +154,57 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
             start -= 1
         space = _SPACE.search(text, m.end())
         done = stop = space.start() if space else len(text)
-        while start < stop and text[start] in "\"'<[{(,;:!?." and not _NUMERIC.fullmatch(text[start:stop].rstrip(".,;:!?\"'")):
-            start += 1
-        while stop > start and (text[stop - 1] in "\"'>]},;:!?." or (text[stop - 1] == ")" and "(" not in text[start:stop])):
-            stop -= 1
+        if regions and regions[-1][1] + 1 == start and text[start - 1] == " ":
+            regions[-1][1] = stop
+        else:
+            regions.append([start, stop])
+        start, stop = _trimmed(text, start, stop)
         if start == stop:
             continue
         if spans and spans[-1][1] + 1 == start and text[start - 1] == " " and text[start] != "+":
-            before, own = text[spans[-1][0] : spans[-1][1]], text[start:stop]
-            if all(_NUMERIC.fullmatch(p) for p in before.split(" ")) and _NUMERIC.fullmatch(own) and before.count(".") < 2 and own.count(".") < 2 and seed_type(before) is None:
+            size = spans[-1][1] - spans[-1][0]
+            if points is None:
+                before = text[spans[-1][0] : spans[-1][1]]
+                points = before.count(".") if all(_NUMERIC.fullmatch(p) for p in before.split(" ")) else 2
+            own = text[start:stop]
+            if points < 2 and _NUMERIC.fullmatch(own) and own.count(".") < 2 and (size > LONGEST or seed_type(text[spans[-1][0] : spans[-1][1]]) is None):
                 spans[-1][1] = stop
+                points += own.count(".")
                 continue
+        points = None
         spans.append([start, stop])
-    out = []
-    for start, stop in spans:
+    for span in spans:
         # a quoted or spaced assignment belongs to the candidate: token = "..."
-        key = _ASSIGNED.search(text[max(0, start - 40) : start])
-        if key and (head := key.group(1)) and _SECRET.fullmatch(head + text[start:stop]):
-            start -= len(head)
-        if stop - start <= LONGEST:
+        key = _ASSIGNED.search(text[max(0, span[0] - 40) : span[0]])
+        if key and (head := key.group(1)) and _SECRET.fullmatch(head + text[span[0] : span[1]]):
+            span[0] -= len(head)
+    found, last = [], 0
+    for start, stop in regions:
+        found += _hits(text, max(last, start - 40), stop)
+        last = stop
+    whole = {(a, b) for a, b in spans if (kind := seed_type(text[a:b])) and (kind != "card" or _grouped(text[a:b]))}
+    hits: list[tuple[int, int]] = []
+    for a, b in sorted(whole.union(found), key=lambda x: (x[0] - x[1], x)):
+        k = bisect_left(hits, (a, b))
+        if (k == 0 or hits[k - 1][1] <= a) and (k == len(hits) or b <= hits[k][0]):
+            hits.insert(k, (a, b))
+    out, k = list(hits), 0
+    for start, stop in spans:
+        while k < len(hits) and hits[k][1] <= start:
+            k += 1
+        inside, j = [], k
+        while j < len(hits) and hits[j][0] < stop:
+            inside.append(hits[j])
+            j += 1
+        if not inside and stop - start <= LONGEST:
             out.append((start, stop))
-    return out
+            continue
+        edges = [start, *[x for h in inside for x in h], stop]
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            a, b = _trimmed(text, a, max(a, b))
+            parts = [(a, b)] if b - a <= LONGEST else [_trimmed(text, *m.span()) for m in _PARTS.finditer(text, a, b)]
+            out += [(a, b) for a, b in parts if b - a <= LONGEST and _MARKS.search(text, a, b)]
+    return sorted(out)
 
 
 def patterns(text: str, start: int, stop: int) -> list[str]:

@@ -23,6 +23,24 @@ def test_candidates_keep_their_places():
     assert D.candidates("9" * 5000) == []
 
 
+def seeds(text):
+    return [text[a:b] for a, b in D.candidates(text) if D.seed_type(text[a:b])]
+
+
+def test_identifiers_are_found_in_long_tokens_and_rows(spark):
+    rest = ",".join(f'"k{i}":{i}' for i in range(60))
+    for text in (f'{{{rest},"mail":"a.1@b.example.com",{rest}}}', f"https://x.example/?{rest}&u=a.1@b.example.com&{rest}"):
+        assert seeds(text) == ["a.1@b.example.com"]
+        assert max(b - a for a, b in D.candidates(text)) <= D.LONGEST
+    row = " ".join(str(i * 37 % 1000) for i in range(200))
+    assert seeds(f"{row} 123-45-6789 {row} 4111 1111 1111 1111 {row}") == ["123-45-6789", "4111 1111 1111 1111"]
+    assert seeds(row) == []
+    secret = "token=" + "a1" * 200
+    assert seeds(f"x;{secret};y") == [secret]
+    text = "x " + "{" + rest + ',"ip":"10.0.0.1"}'
+    assert (0, "ip", "10.0.0.1") in found(frame(spark, [text]))
+
+
 def test_patterns_find_what_no_seed_test_knows(spark):
     rng = random.Random(1)
     texts = [f"write to user{i}@mail{i % 7}.example.com today" for i in range(12)]
