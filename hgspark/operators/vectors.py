@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 BLOCK_ROWS = 4096
 #: Blocks that one task may hold of either side.
 BAND_BLOCKS = 32
+#: Queries that are multiplied with a block at once.
+QUERY_ROWS = 512
 
 
 def _sum(column: Column) -> Column:
@@ -153,20 +155,85 @@ def similarity_matrix(embeddings: DataFrame) -> DataFrame:
     return half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "similarity")).unionByName(diagonal)
 
 
+def _best(asked: list, q: np.ndarray, names: list, x: np.ndarray, k: int, threshold: float) -> tuple[list, list, np.ndarray]:
+    """(queries, nodes, similarities): each query's k most similar of these nodes at or above the threshold, ties by name."""
+    turn = np.empty(len(names), dtype=np.int64)
+    turn[sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i]))] = np.arange(len(names))
+    out_q, out_n, out_s = [], [], [np.empty(0)]
+    long = np.linalg.norm(x, axis=1)
+    for start in range(0, len(asked), QUERY_ROWS):
+        part = q[start : start + QUERY_ROWS]
+        lengths = np.outer(np.linalg.norm(part, axis=1), long)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            sim = np.where(lengths > 0, part @ x.T / lengths, np.nan)
+        passed = sim >= threshold
+        if len(names) > k:  # with all that tie with the last
+            ranked = np.where(passed, sim, -np.inf)
+            passed &= ranked >= np.partition(ranked, -k, axis=1)[:, -k][:, None]
+        r, c = np.nonzero(passed)
+        order = np.lexsort((turn[c], -sim[r, c], r))
+        r, c = r[order], c[order]
+        r_starts = np.searchsorted(r, r)
+        kept = np.arange(len(r)) - r_starts < k
+        r, c = r[kept], c[kept]
+        out_q += [asked[start + i] for i in r.tolist()]
+        out_n += [names[j] for j in c.tolist()]
+        out_s.append(sim[r, c])
+    return out_q, out_n, np.concatenate(out_s)
+
+
+def _best_in_cells(queries: DataFrame, embeddings: DataFrame, k: int, threshold: float, schema: T.StructType) -> DataFrame:
+    """Each query's k best of every cell of a grid of blocks of queries and blocks of nodes."""
+    from ..tables import cut
+
+    def placed(frame: DataFrame, name: str, vector: str) -> tuple[DataFrame, int]:
+        # a name in a struct may be null
+        blocks = cut(_blocks(frame.where(F.size(vector) > 0).select(F.struct(F.col(name).alias("name")).alias("name"), F.col(vector).alias("embedding")), "name").select("*", F.monotonically_increasing_id().alias("block")))
+        n = blocks.count()
+        bands = max(1, math.isqrt(n), -(-n // BAND_BLOCKS))
+        return blocks.select("numbers", "dimension", "names", F.pmod(F.hash("block"), F.lit(bands)).alias("band")), bands
+
+    a, rows = placed(queries, "query", "vector")
+    b, columns = placed(embeddings, "node", "embedding")
+    none_a, none_b = F.lit(None).cast(a.schema["names"].dataType), F.lit(None).cast(b.schema["names"].dataType)
+    a = a.select(F.col("names").alias("asked"), none_b.alias("names"), "numbers", "dimension", F.col("band").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"))
+    b = b.select(none_a.alias("asked"), "names", "numbers", "dimension", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row"), F.col("band").alias("column"))
+    kinds = [f.type for f in queries.sparkSession.createDataFrame([], schema).toArrow().schema]
+
+    def multiply(cell: pa.Table) -> pa.Table:
+        sides: list[list] = [[], []]
+        for asked, names, numbers, size in zip(*(cell.column(c).to_pylist() for c in ("asked", "names", "numbers", "dimension")), strict=True):
+            own = [x["name"] for x in (names if asked is None else asked)]
+            sides[asked is None].append((own, np.frombuffer(numbers, dtype="<f8").reshape(len(own), size), size))
+        parts = []
+        for asked, q, size in sides[0]:
+            for names, x, other in sides[1]:
+                if size == other:
+                    found = _best(asked, q, names, x, k, threshold)
+                    parts.append(pa.table({n: pa.array(v, t) for n, v, t in zip(schema.names, found, kinds, strict=True)}))
+        return pa.concat_tables(parts) if parts else pa.table({n: pa.array([], t) for n, t in zip(schema.names, kinds, strict=True)})
+
+    return a.unionByName(b).groupBy("row", "column").applyInArrow(multiply, schema)
+
+
 def top_k_batch(queries: DataFrame, embeddings: DataFrame, k: int, threshold: float) -> DataFrame:
     """(query, node, similarity) for rows (query, vector): each query's k most similar nodes at or above the threshold.
 
-    Queries are few and collected into a matrix after their number is checked; the embeddings stream past it, each
-    batch keeps its own best k of a query, and a window takes the best of those.
+    Up to BLOCK_ROWS queries are collected into a matrix, past which the embeddings stream; more meet the embeddings
+    block by block, as in similar_pairs, so that their number has no bound. Each batch or cell keeps its own best k of
+    a query, and a window takes the best of those.
     """
-    if queries.limit(100_001).count() > 100_000:
-        raise ValueError("too many queries for one pass: split them")
-    rows = [(r[0], r[1]) for r in queries.select("query", "vector").collect() if r[1]]
     kind, name = queries.schema["query"].dataType, embeddings.schema["node"].dataType
     schema = T.StructType([T.StructField("query", kind), T.StructField("node", name), T.StructField("similarity", T.DoubleType())])
     spark = queries.sparkSession
-    if not rows:
+    turn = Window.partitionBy("query").orderBy(F.desc("similarity"), "node")
+    held = queries.select("query", "vector").limit(BLOCK_ROWS + 1).collect()
+    rows = [(r[0], r[1]) for r in held if r[1]]
+    if k < 1 or not rows and len(held) <= BLOCK_ROWS:
         return spark.createDataFrame([], schema)
+    if len(held) > BLOCK_ROWS:
+        found = _best_in_cells(queries, embeddings, k, threshold, schema)
+        return found.select("*", F.row_number().over(turn).alias("__k")).where(F.col("__k") <= k).drop("__k")
     by_size: dict[int, tuple[list, list]] = {}
     for q, v in rows:
         held = by_size.setdefault(len(v), ([], []))
@@ -186,21 +253,8 @@ def top_k_batch(queries: DataFrame, embeddings: DataFrame, k: int, threshold: fl
             for size, (names, vectors) in held.items():
                 asked, q = shared.value[size]
                 x = np.array(vectors, dtype=np.float64)
-                lengths = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    sim = np.where(lengths > 0, q @ x.T / lengths, np.nan)
-                out_q, out_n, out_s = [], [], []
-                for r in range(len(asked)):
-                    passed = np.flatnonzero(sim[r] >= threshold)
-                    if len(passed) > k > 0:  # with all that tie with the last
-                        passed = passed[sim[r, passed] >= np.partition(sim[r, passed], -k)[-k]]
-                    passed = sorted(passed.tolist(), key=lambda c: (-sim[r, c], names[c]))
-                    for c in passed[:k]:
-                        out_q.append(asked[r])
-                        out_n.append(names[c])
-                        out_s.append(float(sim[r, c]))
+                out_q, out_n, out_s = _best(asked, q, names, x, k, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(out_q, query_type), pa.array(out_n, batch.schema.field(0).type), pa.array(out_s, pa.float64())], names=["query", "node", "similarity"])
 
-    turn = Window.partitionBy("query").orderBy(F.desc("similarity"), "node")
     found = embeddings.select("node", "embedding").mapInArrow(best, schema)
     return found.select("*", F.row_number().over(turn).alias("__k")).where(F.col("__k") <= k).drop("__k")

@@ -76,6 +76,26 @@ def test_search(spark):
     assert [(r.query, r.node) for r in V.top_k_batch(q, e.df, 2, 0.0).orderBy("similarity").collect()] == [("q", "B"), ("q", "A")]
 
 
+def test_any_number_of_queries(spark):
+    e = NodeEmbeddings.from_dict(spark, {"A": [1, 0], "B": [0.9, 0.1], "C": [0, 1], "D": [1, 0]})
+    q = spark.range(100_001).select(F.col("id").alias("query"), F.when(F.col("id") % 2 == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(2.0))).alias("vector"))
+    got = V.top_k_batch(q, e.df, 2, 0.5).groupBy(F.col("query") % 2, "node").count().collect()
+    assert {tuple(r) for r in got} == {(0, "A", 50_001), (0, "D", 50_001), (1, "C", 50_000)}
+
+
+def test_batch_in_cells_is_as_in_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (60, 3)).astype(float).tolist()  # many ties and zero vectors
+    e = spark.createDataFrame([(f"n{i:02}", v) for i, v in enumerate([*x, [], [1.0, 1.0]])] + [(None, [1.0, 2.0, 2.0])], "node string, embedding array<double>").repartition(3)
+    q = e.select(F.col("node").alias("query"), F.col("embedding").alias("vector"))
+    rounded = lambda df: sorted(((r.query or "", r.node or "", round(r.similarity, 6)) for r in df.collect()))
+    want = rounded(V.top_k_batch(q, e, 4, 0.1))
+    monkeypatch.setattr(V, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(V, "BAND_BLOCKS", 2)
+    assert [r[::2] for r in rounded(V.top_k_batch(q, e, 4, 0.1))] == [r[::2] for r in want]
+    assert len(want) > 200
+
+
 def test_table_operations(spark):
     e = NodeEmbeddings.from_dict(spark, {"A": [1, 0], "B": [0, 1]})
     nodes = spark.createDataFrame([("A",), ("X",)], "node string")
