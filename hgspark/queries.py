@@ -380,7 +380,7 @@ def hg_simplify_embeddings(spark, d):
 @_register(None)
 def hg_simplify_documents(spark, d):
     graph, vectors = vector_graph(spark, d)
-    rows = graph.edges().select(F.xxhash64("edge_id").alias("seq"), F.col("edge_id").alias("edge"), "nodes", F.slice("nodes", 1, 1).alias("source"), F.slice("nodes", 2, 1000).alias("target"), F.lit("c").alias("chunk_id"))
+    rows = graph.edges().select(F.xxhash64("edge_id").alias("seq"), F.col("edge_id").alias("edge"), "nodes", F.slice("nodes", 1, 1).alias("source"), F.slice("nodes", F.lit(2), F.greatest(F.size("nodes"), F.lit(1))).alias("target"), F.lit("c").alias("chunk_id"))
     new = S.simplify_documents(graph, rows, vectors, MERGE_AT)[1]
     return new.select("edge", F.array_join("nodes", "|").alias("nodes"), F.array_join("source", "|").alias("source"), F.array_join("target", "|").alias("target"))
 

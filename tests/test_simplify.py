@@ -97,3 +97,13 @@ def test_document_variant_renames_provenance(spark):
     assert got == {"e1": (["B"], ["B"], ["B"]), "e2": (["B", "C"], ["B", "B"], ["C"])}
     assert sorted(r.node for r in vectors.df.collect()) == ["B", "C"]
     assert history.count() == 1
+
+
+def test_documents_query_keeps_all_targets_of_a_large_edge(spark, tmp_path):
+    from hgspark.queries import queries
+
+    rng = random.Random(8)
+    rows = [(20 * i, [rng.gauss(0, 1) for _ in range(64)], 1) for i in range(1102)]  # one edge
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = queries()["hg_simplify_documents"](spark, str(tmp_path)).collect()
+    assert [len(r.target.split("|")) for r in found] == [1101]
