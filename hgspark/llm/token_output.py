@@ -6,13 +6,20 @@ the rest is unary in `ef_upper`: end number i sets bit (end >> l) + i. select(i)
 has, for every 64th end, the position of its bit, and at most the bits up to the next sample are scanned. That takes
 about 2 + log2(u / n) bits a document instead of 64.
 
+The pre-tokenising pattern gives up on very long runs of white space. Such a run is one piece of its own in that pattern
+(but for its last character where more text follows), so it is encoded as that piece and what stands around it as usual:
+the ids are those of the whole text.
+
 Defined results: null and empty texts are documents of no tokens (their ends repeat); repeated rows are written as often
-as they occur; rows keep the order of the input partition; an empty table gives no shards; a document longer than a shard
-has a shard of its own and is never cut; special tokens' names in a text are ordinary text.
+as they occur; ties can't arise, as rows keep the order of the input partition; an empty table gives no shards; a document
+longer than a shard has a shard of its own and is never cut, whatever it consists of; special tokens' names in a text are
+ordinary text; columns besides the two that are read don't matter, whatever their names. The tokenizer's file is read by
+the driver and broadcast (it has a fixed size below 1 MB), so that executors need no copy of it.
 """
 
 import base64
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +34,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHARD_TOKENS = 1 << 22
 SAMPLE = 64
+#: Runs of white space from this length on are encoded on their own.
+LONG_RUN = 10_000
+_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_LONG_WHITE = re.compile(f"(?<![{_WHITE}])[{_WHITE}]{{{LONG_RUN},}}+")
 
 
 @dataclass(frozen=True)
@@ -84,17 +95,42 @@ class EliasFano:
         return ((ones - np.arange(self.n)) << self.low_bits) + low.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
 
-def load_tokenizer(path: str):
+def read_ranks(lines: bytes):
+    """The encoding of a file of ranks, from its content."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
     if len(ranks) > 1 << 16:
         raise ValueError("ids don't fit 16 bits")
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_TOKENIZERS: dict = {}
+def load_tokenizer(path: str):
+    with open(path, "rb") as file:
+        return read_ranks(file.read())
+
+
+def encoder(encoding) -> Callable[[str | None], list[int]]:
+    """Ids of a text of any kind, as the tokenizer has them."""
+    plain = encoding.encode_ordinary
+
+    def encode(text: str | None) -> list[int]:
+        if not text:
+            return []
+        if len(text) < LONG_RUN:
+            return plain(text)
+        out, done = [], 0
+        for m in _LONG_WHITE.finditer(text):
+            stop = m.end() - (m.end() < len(text))
+            out += plain(text[done : m.start()])
+            out += encoding._encode_single_piece(text[m.start() : stop])
+            done = stop
+        return out + plain(text[done:])
+
+    return encode
+
+
+_ENCODERS: dict = {}
 
 _FIELDS = [("doc_ids", T.ArrayType(T.LongType())), ("n_docs", T.LongType()), ("n_tokens", T.LongType()), ("token_ids", T.BinaryType()), ("ef_low_bits", T.IntegerType()), ("ef_lower", T.BinaryType()), ("ef_upper", T.BinaryType()), ("ef_select", T.BinaryType())]
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in _FIELDS])
@@ -104,11 +140,13 @@ def token_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """One row a shard (SCHEMA): ids of its documents, token ids, Elias-Fano ends. Map only: nothing is shuffled."""
     doc_ids = T.ArrayType(docs.schema[id_col].dataType)
     schema = T.StructType([T.StructField("doc_ids", doc_ids), *SCHEMA.fields[1:]])
+    with open(tokenizer_path, "rb") as file:
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _TOKENIZERS:
-            _TOKENIZERS[tokenizer_path] = load_tokenizer(tokenizer_path)
-        tokenize = _TOKENIZERS[tokenizer_path].encode_ordinary
+        if tokenizer_path not in _ENCODERS:  # kept while the worker lives
+            _ENCODERS[tokenizer_path] = encoder(read_ranks(shared.value))
+        tokenize = _ENCODERS[tokenizer_path]
         ids, tokens, sizes, total, kind = [], [], [], 0, None
 
         def shard() -> pa.RecordBatch:
@@ -120,7 +158,7 @@ def token_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             kind = batch.schema.field(0).type
             for a, n in slices(batch.column(1)):
                 for doc, text in zip(batch.column(0).slice(a, n).to_pylist(), batch.column(1).slice(a, n).to_pylist(), strict=True):
-                    found = np.array(tokenize(text) if text else [], dtype="<u2")
+                    found = np.array(tokenize(text), dtype="<u2")
                     if ids and total + len(found) > shard_tokens:
                         yield shard()
                         ids, tokens, sizes, total = [], [], [], 0

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -55,3 +57,29 @@ def test_special_names_are_ordinary_text(spark):
 
 def test_empty_table(no_docs):
     assert K.token_shards(no_docs).count() == 0
+
+
+def test_ids_of_long_runs_are_the_tokenizers():
+    """Held against the tokenizer itself, on runs that it still can read."""
+    enc = K.load_tokenizer(K.TOKENIZER)
+    encode = K.encoder(enc)
+    n = K.LONG_RUN
+    for run in (" " * n, "\n" * (n + 3), " \t\u3000" * n, "\u00a0" * n, " " * (n - 1) + "\n"):
+        for text in (run, run + "word", "word" + run, "a" + run + " b" + run + "9", run + "'s", "x" + run + "?!" + run[:50] + "y", run + "\x1c" + "z"):
+            assert encode(text) == enc.encode_ordinary(text)
+    rng = random.Random(3)
+    for _ in range(30):
+        text = "".join(rng.choice([" ", "\n", "ab", "7", "?", "\u2028"]) * rng.choice([1, 2, n, n + 1]) for _ in range(6))
+        assert encode(text) == enc.encode_ordinary(text)
+
+
+def test_texts_of_one_character(spark):
+    """Ten million of each; equal to the tokenizer where that can read them."""
+    enc = K.load_tokenizer(K.TOKENIZER)
+    texts = [c * 10**7 for c in (" ", "\n", "a")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = K.token_shards(df).collect()
+    got = {d: K.document_tokens(r, i) for r in rows for i, d in enumerate(r.doc_ids)}
+    for k, text in enumerate(texts):
+        assert enc.decode(got[k].tolist()) == text
+    assert got[2].tolist() == enc.encode_ordinary(texts[2])
