@@ -1,16 +1,17 @@
-"""Helpers shared by the text operators: text kernels over Arrow, word caches, shared-folder tables."""
+"""Helpers shared by the text operators: text kernels over Arrow, word caches, bounded samples."""
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 from xxhash import xxh3_64_intdigest
 
+from ..tables import checkpoint_folder, cut
+
 PIECE_BYTES = 2_000_000
 CACHE_ENTRIES = 400_000
 
@@ -23,19 +24,6 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_FOLD).split()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the folder the cluster names in spark.checkpoint.dir; only where none is named, as in tests, sets one."""
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder: lost executors can't lose them, lineage ends here."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def slices(array: pa.Array, budget: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """(start, length) of runs whose texts have about `budget` bytes together; a longer text is a run of its own."""
     if not len(array):
@@ -89,5 +77,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def bounded_sample(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
-    """At most `most` rows, those with the smallest seeded hash of `key`: the same ones however the table is split."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(most)
+    """At most `most` rows, those with the smallest seeded hash of `key`: the same ones however the table is split. Keys
+    are distinct. The rows are counted first, so that only about twice as many as are wanted have to be put in order."""
+    order = F.xxhash64(F.lit(seed), F.col(key))
+    total = rows.count()
+    share = 2 * (most + 100) / max(1, total)
+    near = rows
+    while share < 1:
+        near = rows.where(order < F.lit(int(-(1 << 63) + share * (1 << 64))))
+        if near.count() >= most:
+            break
+        near, share = rows, share * 4
+    return near.orderBy(order, F.col(key)).limit(most)
+
+
+__all__ = ["CACHE_ENTRIES", "PIECE_BYTES", "WordHashes", "bounded_sample", "checkpoint_folder", "cut", "mix64", "slices", "text_udf", "words_of"]

@@ -188,7 +188,8 @@ def quality_probability(docs: DataFrame, model: SubwordModel | None, text_col: s
 
 
 def _has_words(text_col: str):
-    return F.coalesce(F.col(text_col).rlike(r"\S"), F.lit(False))
+    # what separates tokens here is what Python's split() takes for white space
+    return F.coalesce(F.col(text_col).rlike(r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"), F.lit(False))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **training) -> DataFrame:
