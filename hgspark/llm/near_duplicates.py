@@ -10,20 +10,29 @@ near pair shares fan * similarity children on average. With 1 / threshold coordi
 and the chance to stay together in some branch would fall towards 0 with depth; `fan` is larger by as much as it takes
 for the chance not to fall below RECALL in all trees together, however deep they are, while others part. The first LEVELS levels need no knowledge of other
 texts and are expanded where the vectors are read. Then nodes are counted; those above NODE_ROWS are split by further
-levels in the same way, up to MOST_LEVELS. Nodes end in a task that goes on recursively: up to LEAF texts are
-compared exhaustively, larger nodes branch, and texts that stay similar to most of their node (which no branching can
-part) are compared with the whole node and removed from it. Equal vectors are put together before, so copies are one
-text here. The trees find RECALL of the pairs at the threshold at any depth, so more at those that nodes reach, and more
-above it.
+levels in the same way, up to MOST_LEVELS; what is still above then is compared in blocks of NODE_ROWS, two of which are a
+task. Other nodes end in a task that goes on recursively: up to LEAF texts are compared exhaustively, larger nodes branch.
+Equal vectors are put together before, so copies are one text here.
+
+Texts that stay similar to most of their node (copies of a template) can't be parted by branching. They are settled by
+pivots: a pivot is compared with the whole node, and what is near is linked to it. Disagreements are a metric, so a text
+within r of the pivot can only be near to texts within `most + r` of it (`most`: the disagreements of a pair at the
+threshold); it leaves the node once it is compared with those of them that aren't linked to the pivot yet. The same is done
+with PIVOTS pivots for nodes above NODE_ROWS in Spark, where texts leave if there is nothing to compare them with. What
+leaves has lost no link to its node, and a node of copies takes time in proportion to its size.
+
+The trees find RECALL of the pairs at the threshold at any depth, so more at those that nodes reach, and more above it;
+that holds on both sides of NODE_ROWS.
 
 A task returns links that connect the near texts of its nodes (a spanning forest). Groups are the connected components of
 all links, by label propagation that alternates with pointer jumping; each round is cut by a checkpoint. The row with the
 smallest id of a group stays.
 
 Defined results: null, empty and wordless texts have no tokens and are never in a group; a text of fewer words than a
-shingle is one token; rows with a null id are never removed or kept for others; an id is taken to name
-one text, so rows that share it go or stay together, and drop_near_duplicates leaves one row of those with equal id and
-text; an empty table gives no groups.
+shingle is one token, one of any length is read whole; rows with a null id are never removed or kept for others; an id is
+taken to name one text, so rows that share it go or stay together, and drop_near_duplicates leaves one row of those with
+equal id (not null) and text; ties can't arise, as a group keeps its smallest id; an empty table gives no groups; columns
+besides the two that are read don't matter, whatever their names, and drop_near_duplicates keeps them all.
 """
 
 from collections.abc import Iterator
@@ -34,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import sized
 from .common import WordHashes, cut, mix64, slices, words_of
 
 SHINGLE = 3
@@ -45,6 +55,9 @@ LEVELS = 2
 MOST_LEVELS = 8
 LEAF = 200
 NODE_ROWS = 20_000
+PIVOTS = 8
+#: Nodes (each with its pivots, about 1 kB) up to which pivots are broadcast.
+PIVOT_NODES = 10_000
 SEED = 13
 _PRIMES = np.random.default_rng(SEED).integers(1, 1 << 31, SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = np.random.default_rng(SEED + 1).integers(0, 1 << 32, SIZE, dtype=np.uint32)
@@ -196,6 +209,41 @@ def _needed(threshold: float) -> int:
     return int(np.ceil(SIZE * (threshold + (1 - threshold) / 256) - 1e-9))
 
 
+def _settle(here: np.ndarray, heavy: np.ndarray, threshold: float, forest: _Forest, numbers: np.ndarray) -> np.ndarray:
+    """Takes heavy texts, and others around them, out of a node: the places of those that are left. No link is lost. A
+    pivot's radius is the one that costs the fewest comparisons for each text that goes."""
+    most, alive = SIZE - _needed(threshold), np.ones(len(here), dtype=bool)
+    for k in heavy.tolist():
+        if not alive[k]:
+            continue
+        at = np.flatnonzero(alive)
+        rows = here[at]
+        apart = (rows != here[k]).sum(axis=1)
+        near = at[apart <= most]
+        forest.join(np.full(len(near), numbers[k]), numbers[near])
+        within = np.bincount(apart, minlength=2 * SIZE + 1).cumsum()
+        radius = min((0, most // 8, most // 4, most // 2, most * 3 // 4, most), key=lambda r: len(at) / within[r] + within[most + r] - within[most])
+        inner = np.flatnonzero(apart <= radius)
+        shell = np.flatnonzero((apart > most) & (apart <= most + radius))
+        if len(shell):
+            own = forest.top(int(numbers[k]))
+            shell = shell[[forest.top(i) != own for i in numbers[at[shell]].tolist()]]
+        if len(shell) < len(inner):
+            for z in shell.tolist():
+                found = np.flatnonzero(_near(rows[z], rows[inner], threshold))
+                if len(found):
+                    forest.join(numbers[at[[z]]], numbers[at[inner[found[:1]]]])
+        else:
+            for y in inner.tolist():
+                if not len(shell):
+                    break
+                hit = _near(rows[y], rows[shell], threshold)
+                forest.join(np.full(int(hit.sum()), numbers[at[y]]), numbers[at[shell[hit]]])
+                shell = shell[~hit]  # linked to all of `inner` by now
+        alive[at[inner]] = False
+    return np.flatnonzero(alive)
+
+
 def join_node(sketches: np.ndarray, threshold: float, forest: _Forest, numbers: np.ndarray, node: int, trees: int = TREES, depth: int = 0) -> None:
     """Links the near texts of a node; `numbers` are the rows of `sketches` that stand in it."""
     n = len(numbers)
@@ -213,12 +261,9 @@ def join_node(sketches: np.ndarray, threshold: float, forest: _Forest, numbers:
     total = np.zeros(n)
     for j in range(SIZE):
         total += np.bincount(here[:, j], minlength=256)[here[:, j]] - 1
-    heavy = total / (n - 1) / SIZE >= 0.9 * threshold
-    for k in np.flatnonzero(heavy):
-        near = numbers[_near(sketches[numbers[k]], here, threshold)]
-        forest.join(np.full(len(near), numbers[k]), near)
-    light = numbers[~heavy]
-    if len(light) < 2:
+    left = _settle(here, np.flatnonzero(total / (n - 1) / SIZE >= 0.9 * threshold), threshold, forest, numbers)
+    light = numbers[left]
+    if len(light) < 2 or len({forest.top(i) for i in light.tolist()}) == 1:
         return
     row, child = children(np.full(len(light), node, dtype=np.uint64), sketches[light], 1 / fan(threshold, trees))
     order = np.argsort(child, kind="stable")
@@ -273,19 +318,78 @@ def _leaves(threshold: float, trees: int):
     return compare
 
 
-def near_links(distinct: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, levels: int = LEVELS, node_rows: int = NODE_ROWS) -> DataFrame:
+def _pivot_rows(nodes: DataFrame) -> DataFrame:
+    """(node, pivots): up to PIVOTS texts of each node, the one of the smallest hash in each of PIVOTS parts of it."""
+    picked = nodes.groupBy("node", F.pmod(F.xxhash64("vector"), F.lit(PIVOTS)).alias("part")).agg(F.min("vector").alias("vector")).select("node", "vector")
+    held = nodes.join(sized(cut(picked), PIVOTS * PIVOT_NODES), ["node", "vector"], "left_semi").groupBy("node", "vector").agg(F.first("sketch").alias("sketch"))
+    return cut(held.groupBy("node").agg(F.collect_list(F.struct("vector", "sketch")).alias("pivots")))
+
+
+def _settled(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links of large nodes' texts to pivots, and the rows (node, vector, sketch) that have to go on."""
+    most = SIZE - _needed(threshold)
+    radius = most // 2
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, sketch = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(2))
+            names, first, own = np.unique(node, return_index=True, return_inverse=True)
+            apart = np.full((len(node), PIVOTS), 2 * SIZE, dtype=np.int16)
+            vector = np.zeros((len(node), PIVOTS), dtype=np.int64)
+            for k, pivots in enumerate(batch.column(3).take(pa.array(first)).to_pylist()):
+                at = np.flatnonzero(own == k)
+                for j, p in enumerate(sorted(pivots, key=lambda p: p["vector"])):
+                    apart[at, j] = (sketch[at] != np.frombuffer(p["sketch"], np.uint8)).sum(axis=1)
+                    vector[at, j] = p["vector"]
+            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), PIVOTS).cast(pa.list_(t)) for x, t in ((apart, pa.int16()), (vector, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], names=["node", "vector", "sketch", "apart", "pivot"])
+
+    together = nodes.join(sized(_pivot_rows(nodes), PIVOT_NODES), "node").select("node", "vector", "sketch", "pivots")
+    table = cut(together.mapInArrow(measure, "node long, vector long, sketch binary, apart array<short>, pivot array<long>"))
+    each = table.select("vector", F.explode(F.arrays_zip("apart", "pivot")).alias("p")).where((F.col("p.apart") <= most) & (F.col("vector") != F.col("p.pivot")))
+    links = each.select(F.least("vector", "p.pivot").alias("a"), F.greatest("vector", "p.pivot").alias("b"))
+    between = [(F.col("apart")[j] > most) & (F.col("apart")[j] <= most + radius) for j in range(PIVOTS)]
+    shells = cut(table.groupBy("node").agg(F.array(*[F.max(x) for x in between]).alias("shell")))
+    away = F.lit(False)
+    for j in range(PIVOTS):
+        away = away | ((F.col("apart")[j] <= radius) & ~F.col("shell")[j])
+    rest = table.join(sized(shells, PIVOTS * PIVOT_NODES), "node").where(~away).select("node", "vector", "sketch")
+    return links, rest
+
+
+def _blocks(nodes: DataFrame, node_rows: int) -> DataFrame:
+    """Nodes cut into blocks of about `node_rows`; every two blocks of a node are a node of their own."""
+    sizes = cut(nodes.groupBy("node").agg(F.ceil(F.count("*") / F.lit(node_rows)).cast("int").alias("n")))
+    own = nodes.join(sized(sizes, PIVOTS * PIVOT_NODES), "node").withColumn("c", F.pmod(F.xxhash64("vector"), F.col("n")).cast("int"))
+    others = F.explode(F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: k != F.col("c"))))
+    pairs = own.select("node", "vector", "sketch", "c", others.alias("d"))
+    return pairs.select(F.xxhash64("node", F.least("c", "d"), F.greatest("c", "d")).alias("node"), "vector", "sketch")
+
+
+def near_links(distinct: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, levels: int = LEVELS, node_rows: int = NODE_ROWS, most_levels: int = MOST_LEVELS) -> DataFrame:
     """(a, b): links between near vectors, from rows (vector, sketch) of distinct vectors."""
     share = 1 / fan(threshold, trees)
     roots = F.explode(F.array(*[F.lit(int(mix64(np.array([SEED + t], dtype=np.uint64)).view(np.int64)[0])) for t in range(trees)]))
     nodes = _level(distinct.select(roots.alias("node"), "vector", "sketch"), share, levels)
     compare, found, level = _leaves(threshold, trees), [], levels
+
+    def ended(rows: DataFrame) -> None:
+        found.append(rows.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long"))
+
     while True:
-        large = cut(nodes.groupBy("node").count().where(F.col("count") > node_rows).select("node")) if level < MOST_LEVELS else None
-        ended = nodes if large is None or large.isEmpty() else nodes.join(large, "node", "left_anti")
-        found.append(ended.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long"))
-        if large is None or large.isEmpty():
+        large = cut(nodes.groupBy("node").count().where(F.col("count") > node_rows).select("node"))
+        if large.isEmpty():
+            ended(nodes)
+            break
+        ended(nodes.join(large, "node", "left_anti"))
+        links, rest = _settled(nodes.join(large, "node", "left_semi").select("node", "vector", "sketch"), threshold)
+        found.append(links)
+        if level >= most_levels:
+            ended(_blocks(rest, node_rows))
             break
-        nodes, level = cut(_level(nodes.join(large, "node", "left_semi").select("node", "vector", "sketch"), share, 1)), level + 1
+        nodes, level = cut(_level(rest, share, 1)), level + 1
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
@@ -321,7 +425,10 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     """The rows that stay, all columns kept: of each group those with the smallest id, of equal id and text one row."""
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("__gone"))
     kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).count().where("count > 1").select("__again")
+    repeated = cut(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).count().where("count > 1").select("__again"))
     if repeated.isEmpty():
         return kept
-    return kept.withColumn("__text_hash", F.xxhash64(text_col)).dropDuplicates([id_col, text_col, "__text_hash"]).drop("__text_hash")
+    # only rows of repeated ids can be repetitions; those with a null id are in neither table's keys
+    single = kept.join(repeated, kept[id_col] == repeated["__again"], "left_anti")
+    several = kept.join(repeated, kept[id_col] == repeated["__again"], "left_semi")
+    return single.unionByName(several.dropDuplicates([id_col, text_col]))
