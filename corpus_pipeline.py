@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from hgspark.llm import decontamination, mixing, near_duplicates, quality, token_output
-from hgspark.llm.common import ensure_checkpoint_dir
+from hgspark.tables import checkpoint_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
