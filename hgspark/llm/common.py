@@ -76,6 +76,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hash_bound(share: float) -> int:
+    """The signed 64-bit number at or below which lies about this share of all hashes."""
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+
+
 def bounded_sample(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     """At most `most` rows, those with the smallest seeded hash of `key`: the same ones however the table is split. Keys
     are distinct. The rows are counted first, so that only about twice as many as are wanted have to be put in order."""
@@ -84,11 +89,11 @@ def bounded_sample(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame
     share = 2 * (most + 100) / max(1, total)
     near = rows
     while share < 1:
-        near = rows.where(order < F.lit(int(-(1 << 63) + share * (1 << 64))))
+        near = rows.where(order <= F.lit(hash_bound(share)))
         if near.count() >= most:
             break
         near, share = rows, share * 4
     return near.orderBy(order, F.col(key)).limit(most)
 
 
-__all__ = ["CACHE_ENTRIES", "PIECE_BYTES", "WordHashes", "bounded_sample", "checkpoint_folder", "cut", "mix64", "slices", "text_udf", "words_of"]
+__all__ = ["CACHE_ENTRIES", "PIECE_BYTES", "WordHashes", "bounded_sample", "checkpoint_folder", "cut", "hash_bound", "mix64", "slices", "text_udf", "words_of"]

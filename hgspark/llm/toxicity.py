@@ -10,17 +10,25 @@ whatever the number of rows. Expectation maximisation on them estimates the toxi
 on toxic and on other rows (its accuracy). Voters that correlate beyond what the class explains (first judged by triples
 of covariances, then given the posteriors) by more than CORRELATED form a clique, which is modelled by its joint table.
 
-Classifier. Logistic regression over hashed words and word starts (present or not), trained by gradient descent in numpy
-on the posterior labels of the bounded sample. It then scores every row's whole text.
-
-Defined results: null, empty and wordless texts get probability 0; repeated rows are scored alike and each counts as a
-row; null labels are left out; with no labels at all only the fixed voters vote; if nothing votes, nothing is toxic.
+Classifier. Logistic regression over hashed words, word starts and words of abuse that were written in disguise (present
+or not), trained by gradient descent in numpy on posterior labels. Labels of rows help only to induce terms: the texts
+that are learned from are those of the labelled sample (at most SAMPLE_ROWS a class) and of a sample of the whole table: of
+about POOL_ROWS rows, those with the smallest hash of their id, whose votes come with the counts of the same pass, at most
+SAMPLE_ROWS / 2 on either side of an even posterior. It then scores every row's whole text. Where the posteriors of all
+these texts are on one side there is nothing to tell apart, and every row gets the label model's posterior of its votes.
+
+Defined results: null, empty and wordless texts get probability 0; a text of any length is read whole; repeated rows are
+scored alike, each counts as a row of the label model, and copies of a text are evidence for terms once; an id with several
+texts is learned from by one of them, and a row with a null id by its votes only; null labels are left out, an id labelled
+repeatedly is toxic if one of its labels is; with no labels at all only the fixed voters vote; if nothing votes, nothing is
+toxic; a probability equal to the threshold is toxic; an empty table gives no rows; columns besides those that are read
+don't matter, whatever their names.
 """
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import WordHashes, bounded_sample, mix64, text_udf, words_of
+from .common import bounded_sample, hash_bound, mix64, text_udf, words_of
 
 LEXICONS = {
     "wits": "idiot idiots idiotic moron morons moronic stupid stupidity imbecile imbeciles dumb dumbass dimwit halfwit cretin nitwit",
@@ -40,13 +48,18 @@ LEXICONS = {
 _ABUSE = frozenset(w.encode() for words in LEXICONS.values() for w in words.split())
 #: A 1 stands for an i or an l.
 _DISGUISES = [bytes.maketrans(b"013457@$!", b"o" + one + b"eastasi") for one in (b"i", b"l")]
+_SIGNED = re.compile(rb"[a-z0-9@$!]+")
 _SPELT = re.compile(rb"(?:\b[a-z0-9@$!][ .*_-]){3,}[a-z0-9@$!]\b")
 INDUCED_VOTERS = 4
 PREFIXES = (4, 5, 6)
 SAMPLE_ROWS = 4000
+POOL_ROWS = 64_000
 LEAST_SUPPORT = 3
 LEAST_PRECISION = 0.9
 CORRELATED = 0.2
+#: Rows without votes that the label model takes as seen in the other class, as voters know nothing but abuse: they
+#: decide where a table has no such row.
+CALM_ROWS = 10
 ROUNDS = 300
 BUCKETS = 1 << 18
 THRESHOLD = 0.5
@@ -68,67 +81,109 @@ def terms_of(word: bytes) -> tuple[bytes, ...]:
     return (word, *(text[:n].encode("utf-8", "replace") + b"*" for n in PREFIXES if len(text) > n))
 
 
-def _new_places(texts: list[str]) -> list[np.ndarray]:
-    """For each text, which of its words stand between neighbours that no earlier text had around the same word: copies of
-    a text, exact or near, are evidence once."""
-    hashes, parts = WordHashes(SEED), []
-    for text in texts:
-        h = hashes.of([b"", *words_of(text), b""])
-        parts.append(mix64(mix64(mix64(h[:-2]) + h[1:-1]) + h[2:]))
-    flat = np.concatenate([*parts, np.empty(0, np.uint64)])
-    first = np.zeros(len(flat), dtype=bool)
-    first[np.unique(flat, return_index=True)[1]] = True
-    return np.split(first, np.cumsum([len(p) for p in parts])[:-1]) if parts else []
-
-
-def _evidence(texts: list[str], places: list[np.ndarray], terms) -> Iterator[set]:
-    """Each text's terms, of words in new places only."""
-    for text, new in zip(texts, places, strict=True):
-        yield {t for w in set(compress(words_of(text), new)) for t in terms(w)}
-
-
-def _telling(texts: list[str], terms, weight: np.ndarray) -> dict:
+class _Corpus:
+    """The words of some texts as numbers, and which of them stand between neighbours that no earlier text had around the
+    same word: copies of a text, exact or near, are evidence once."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        parts = [np.fromiter(map(number.__getitem__, (b"", *words_of(t), b"")), dtype=np.int32) for t in texts]
+        self.sizes = np.array([len(x) for x in parts], dtype=np.int64)
+        self.flat = np.concatenate([*parts, np.empty(0, np.int32)])
+        self.words = list(number)
+        h = np.fromiter((xxh3_64_intdigest(w, SEED) for w in self.words), dtype=np.uint64, count=len(self.words))[self.flat]
+        self.new = np.zeros(len(h), dtype=bool)
+        if len(h):
+            place = mix64(mix64(mix64(h[:-2]) + h[1:-1]) + h[2:])
+            self.new[1 + np.unique(place, return_index=True)[1]] = True
+        self.new[self.flat == number[b""]] = False  # the ends of texts
+
+    def terms(self, terms: Callable[[bytes], tuple], new: bool, extra: list[set] | None = None) -> tuple[list, Iterator[tuple[np.ndarray, np.ndarray]]]:
+        """All terms, and runs of texts as distinct (text, term number) pairs, of words in new places only if `new`; `extra`
+        has further words by text."""
+        number: dict = defaultdict()
+        number.default_factory = number.__len__
+        held = [[number[t] for t in set(terms(w))] if w else [] for w in self.words]
+        more = [sorted({number[t] for w in x for t in terms(w)}) for x in extra] if extra else None
+        count = np.array([len(x) for x in held], dtype=np.int64)
+        start = np.cumsum(count) - count
+        flat = np.fromiter((t for x in held for t in x), dtype=np.int64, count=int(count.sum()))
+        names = list(number)
+
+        def runs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            ends = np.cumsum(self.sizes)
+            for a in range(0, len(ends), 256):
+                b = min(len(ends), a + 256)
+                first = ends[a] - self.sizes[a]
+                words = self.flat[first : ends[b - 1]]
+                text = np.repeat(np.arange(a, b), self.sizes[a:b])
+                if new:
+                    some = self.new[first : ends[b - 1]]
+                    words, text = words[some], text[some]
+                pairs = np.unique(text * len(self.words) + words)
+                text, words = pairs // max(1, len(self.words)), pairs % max(1, len(self.words))
+                each = count[words]
+                term = flat[np.repeat(start[words] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
+                text = np.repeat(text, each)
+                if more:
+                    text = np.concatenate([text, np.repeat(np.arange(a, b), [len(x) for x in more[a:b]])])
+                    term = np.concatenate([term, np.array([t for x in more[a:b] for t in x], dtype=np.int64)])
+                pairs = np.unique(text * len(names) + term)
+                yield pairs // max(1, len(names)), pairs % max(1, len(names))
+
+        return names, runs()
+
+
+def _telling(corpus: _Corpus, terms: Callable[[bytes], tuple], weight: np.ndarray) -> dict:
     """Terms that occur in toxic rows (weight 1) far more often than in others (0), by a likelihood-ratio test whose
-    threshold grows with the number of terms, so that hardly one term of all would pass by chance. A first pass over
-    hashed counts leaves out the many terms that too few toxic rows have, so that exact counts are kept for few."""
-    places = _new_places(texts)
-    rough = np.zeros(1 << 22, dtype=np.float32)
-    for row, y in zip(_evidence(texts, places, terms), weight.tolist(), strict=True):
-        if y > 0 and row:
-            np.add.at(rough, np.fromiter((hash(t) & (len(rough) - 1) for t in row), dtype=np.int64, count=len(row)), y)
-    enough = rough >= LEAST_SUPPORT - 0.01
-    counts: dict = {}
-    for row, y in zip(_evidence(texts, places, terms), weight.tolist(), strict=True):
-        for t in row:
-            if enough[hash(t) & (len(rough) - 1)]:
-                c = counts.get(t)
-                if c is None:
-                    counts[t] = [1 - y, y]
-                else:
-                    c[0] += 1 - y
-                    c[1] += y
+    threshold grows with the number of terms, so that hardly one term of all would pass by chance."""
+    names, runs = corpus.terms(terms, new=True)
+    bad, clean = np.zeros(len(names)), np.zeros(len(names))
+    for text, term in runs:
+        bad += np.bincount(term, weight[text], len(names))
+        clean += np.bincount(term, 1 - weight[text], len(names))
+    some = np.flatnonzero(bad >= LEAST_SUPPORT - 1e-9)
+    bad, clean = bad[some], np.maximum(clean[some], 0)
     total = np.array([(1 - weight).sum(), weight.sum()])
-    counts = {t: c for t, c in counts.items() if c[1] >= LEAST_SUPPORT}
-    share, needed = min(0.999, max(1e-6, total[1] / total.sum())), 4 * np.log(max(10, len(counts)))
-    out = {}
-    for term, (clean, bad) in counts.items():
-        # rates by class, so that the sample's balance doesn't matter
-        good_rate, bad_rate = (clean + 0.1) / (total[0] + 1), bad / (total[1] + 1)
-        n = bad + clean
-        ratio = bad * np.log(bad / (n * share)) + (clean * np.log(clean / (n * (1 - share))) if clean > 1e-9 else 0)
-        if bad_rate > good_rate and 2 * ratio >= needed:
-            out[term] = bad_rate / (bad_rate + good_rate)
-    return out
+    share, needed = min(0.999, max(1e-6, total[1] / max(1, total.sum()))), 4 * np.log(max(10, len(some)))
+    # rates by class, so that the sample's balance doesn't matter
+    good_rate, bad_rate = (clean + 0.1) / (total[0] + 1), bad / (total[1] + 1)
+    n = bad + clean
+    ratio = bad * np.log(bad / (n * share)) + clean * np.log(np.maximum(clean, 1e-300) / (n * (1 - share)))
+    passed = (bad_rate > good_rate) & (2 * ratio >= needed)
+    return {names[some[k]]: bad_rate[k] / (bad_rate[k] + good_rate[k]) for k in np.flatnonzero(passed)}
 
 
 def induce_lexicon(texts: list[str], toxic: list[int]) -> list[bytes]:
     """Terms that tell toxic rows from others in a labelled sample."""
-    return sorted(t for t, precision in _telling(texts, terms_of, np.array(toxic, dtype=np.float64)).items() if precision >= LEAST_PRECISION)
-
-
-def _undisguised(word: bytes) -> bool:
-    """Whether a word is abuse with signs in place of letters."""
-    return any((plain := word.translate(d)) != word and plain in _ABUSE for d in _DISGUISES)
+    return sorted(t for t, precision in _telling(_Corpus(texts), terms_of, np.array(toxic, dtype=np.float64)).items() if precision >= LEAST_PRECISION)
+
+
+def _plain(word: bytes) -> set[bytes]:
+    """The abuse that a word is with signs in place of letters."""
+    return {plain for d in _DISGUISES if (plain := word.translate(d)) != word and plain in _ABUSE}
+
+
+def disguised(text: str, words: list[bytes], different: set[bytes]) -> set[bytes]:
+    """Words of abuse that a text has in disguise: digits or signs for letters, or letters set apart."""
+    out: set[bytes] = set()
+    if _DIGIT.search(text):
+        for w in different:
+            if not w.isalpha():
+                out |= _plain(w)
+    raw = None
+    if "@" in text or "$" in text or "!" in text:
+        raw = text.lower().encode("utf-8", "replace")
+        for w in set(_SIGNED.findall(raw)):
+            for form in (w, w.rstrip(b"!")):  # a last ! may be just that
+                if not form.isalnum():
+                    out |= _plain(form)
+    if list(map(len, words)).count(1) > 3 and b"1111" in bytes(49 if len(w) == 1 else 48 for w in words):
+        for m in _SPELT.findall(raw or text.lower().encode("utf-8", "replace")):
+            w = re.sub(rb"[ .*_-]", b"", m)
+            out |= {w} & _ABUSE | _plain(w)
+    return out
 
 
 class Voters:
@@ -164,13 +219,8 @@ class Voters:
                     break
         if different & _THREAT_WORDS and any(t in b" ".join(words) for t in _THREATS):
             bits |= _BIT["threat"]
-        if words and not bits & _BIT["disguised"]:
-            if _DIGIT.search(text) and any(_undisguised(w) for w in different):
-                bits |= _BIT["disguised"]
-            elif list(map(len, words)).count(1) > 3 and b"1111" in bytes(49 if len(w) == 1 else 48 for w in words):
-                raw = text.lower().encode("utf-8", "replace")
-                if any((w := re.sub(rb"[ .*_-]", b"", m)) in _ABUSE or _undisguised(w) for m in _SPELT.findall(raw)):
-                    bits |= _BIT["disguised"]
+        if words and disguised(text, words, different):
+            bits |= _BIT["disguised"]
         return bits
 
 
@@ -207,6 +257,7 @@ class LabelModel:
             for c, s in zip(self.cliques, state, strict=True):
                 cells = 1 << len(c)
                 tables = [np.bincount(s, w, cells) + 0.5 / cells for w in (self.counts - bad, bad)]
+                tables[0][0] += CALM_ROWS
                 ratio = np.log(tables[1] / tables[1].sum()) - np.log(tables[0] / tables[0].sum())
                 # a single vote may not speak for a clean text, as voters only know abuse
                 logit += ratio[s] if len(c) > 1 else np.where(s > 0, np.maximum(ratio[s], 0), np.minimum(ratio[s], 0))
@@ -280,18 +331,20 @@ class Linear:
     @staticmethod
     def train(texts: list[str], labels: np.ndarray, *, passes: int = 60, rate: float = 0.5, decay: float = 1e-4) -> "Linear":
         # only features that tell the classes apart in the sample, and the lexicons' words, get a weight
+        corpus = _Corpus(texts)
         useful = np.zeros(BUCKETS, dtype=bool)
-        useful[list(_telling(texts, _buckets, np.asarray(labels, dtype=np.float64)))] = True
+        useful[list(_telling(corpus, _buckets, np.asarray(labels, dtype=np.float64)))] = True
         useful[[xxh3_64_intdigest(w, SEED) % BUCKETS for w in _ABUSE]] = True
-        rows = [np.array(sorted({b for w in set(words_of(t)) for b in _buckets(w) if useful[b]}), dtype=np.int64) for t in texts]
-        flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
+        names, runs = corpus.terms(_buckets, new=False, extra=[disguised(t, (w := words_of(t)), set(w)) for t in texts])
+        bucket = np.array(names, dtype=np.int64)
+        parts = [(text[some], term[some]) for text, term in runs for some in [useful[bucket[term]]]]
+        owner, flat = np.concatenate([x for x, _ in parts]), bucket[np.concatenate([x for _, x in parts])]
         used, flat = np.unique(flat, return_inverse=True)
-        owner = np.repeat(np.arange(len(rows)), sizes)
         y = np.asarray(labels)
         balance = np.where(y > 0.5, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())) * len(y)
         w, b, seen = np.zeros(len(used)), -1.0, np.full(len(used), 1e-6)
         for _ in range(passes):
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[flat], len(rows)) + b, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[flat], len(texts)) + b, -30, 30)))
             error = (p - y) * balance
             grad = np.bincount(flat, error[owner], len(used)) / len(y) + decay * w
             seen += grad**2
@@ -329,9 +382,11 @@ class _Scorer:
         return out
 
     def __call__(self, text: str | None) -> float:
-        words = set(words_of(text)) if text else ()
-        if not words:
+        split = words_of(text) if text else []
+        if not split:
             return 0.0
+        words = set(split)
+        words |= disguised(text, split, words)
         get = self.known.get
         found: dict[int, float] = {}
         for w in words:
@@ -344,15 +399,36 @@ class _Scorer:
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> tuple[Linear | None, LabelModel | None]:
-    """The classifier and the label model; at most `sample_rows` labelled rows of either class are gathered."""
+def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> pa.Table:
+    """(__id, ..., __t) of a bounded table of distinct ids: one text an id, in the order of ids."""
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).where("__t is not null").join(F.broadcast(ids), "__id")
+    columns = [F.first(c).alias(c) for c in ids.columns if c != "__id"]
+    return texts.groupBy("__id").agg(F.min_by("__t", F.xxhash64("__t")).alias("__t"), *columns).toArrow().sort_by("__id")
+
+
+class Toxicity:
+    """What scores texts: the classifier or, where there is none, the voters with the label model's posteriors."""
+
+    def __init__(self, linear: Linear | None, model: LabelModel | None, induced: list[bytes]):
+        self.linear, self.model, self.induced = linear, model, induced
+
+    def scorer(self) -> Callable[[str | None], float]:
+        if self.linear is not None:
+            return _Scorer(self.linear)
+        if self.model is None:
+            return lambda text: 0.0
+        voters, by_mask = Voters(self.induced), self.model.by_mask
+        return lambda text: by_mask.get(voters(text), 0.0) if text and words_of(text) else 0.0
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, pool_rows: int = POOL_ROWS, seed: int = SEED) -> Toxicity:
+    """The classifier and the label model. Gathered are at most `sample_rows` labelled rows of either class, the ids and
+    votes of about `pool_rows` rows, and the texts of at most half of `sample_rows` of these on either side."""
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).where("__id is not null and __y is not null").groupBy("__id").agg((F.max("__y") > 0).cast("int").alias("__y"))
     sample = bounded_sample(known.where("__y = 1"), "__id", sample_rows, seed).unionByName(bounded_sample(known.where("__y = 0"), "__id", sample_rows, seed))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(sample), "__id").where("__t is not null").dropDuplicates(["__id", "__t"]).toArrow().sort_by([("__id", "ascending"), ("__t", "ascending")])
+    rows = _texts_of(docs, sample, id_col, text_col)
     texts, gold = rows["__t"].to_pylist(), rows["__y"].to_pylist()
-    if not texts:
-        texts = [r[0] for r in bounded_sample(docs.select(F.col(text_col).alias("__t")).where("__t is not null"), "__t", sample_rows, seed).collect()]
     induced = induce_lexicon(texts, gold) if len(set(gold)) == 2 else []
     shared = spark.sparkContext.broadcast(induced)
 
@@ -360,29 +436,38 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         voters = Voters(shared.value)
         return lambda batch: pa.array([voters(t) for t in batch], pa.int32())
 
-    votes = docs.select(text_udf(make, "int")(F.col(text_col)).alias("v")).groupBy("v").count().toArrow()
-    if not votes.num_rows or not texts:
-        return None, None
-    model = LabelModel(votes["v"].to_numpy(), votes["count"].to_numpy())
+    place = F.xxhash64(F.lit(seed), F.col(id_col))
+    pooled = place <= F.lit(hash_bound(min(1.0, pool_rows / max(1, docs.count()))))
+    votes = docs.select(F.when(pooled, F.col(id_col)).alias("__id"), text_udf(make, "int")(F.col(text_col)).alias("v")).groupBy("__id", "v").count().toArrow()
+    if not votes.num_rows:
+        return Toxicity(None, None, induced)
+    v = votes["v"].to_numpy()
+    masks, where = np.unique(v, return_inverse=True)
+    model = LabelModel(masks, np.bincount(where, votes["count"].to_numpy()))
+    likely = np.array([model.by_mask[m] for m in masks.tolist()])[where] >= 0.5
+    taken, picked = set(rows["__id"].to_pylist()), votes["__id"].to_pylist()
+    # `picked` is sorted by a hash of its own, as the rows of a result come in any order
+    order = sorted((k for k, i in enumerate(picked) if i is not None and i not in taken), key=lambda k: (xxh3_64_intdigest(str(picked[k]), seed), str(picked[k]), v[k]))
+    chosen = dict.fromkeys(picked[k] for side in (True, False) for k in [k for k in order if likely[k] == side][: sample_rows // 2])
+    if chosen:
+        kind = docs.select(F.col(id_col).alias("__id")).schema
+        more = _texts_of(docs, spark.createDataFrame([(i,) for i in chosen], kind), id_col, text_col)
+        texts += more["__t"].to_pylist()
     voters = Voters(induced)
     posterior = np.array([model.by_mask.get(voters(t), 0.0) for t in texts])
-    if posterior.max() < 0.5 or posterior.min() > 0.5:
-        return None, model
-    return Linear.train(texts, posterior), model
+    told = len(posterior) and posterior.max() >= 0.5 and posterior.min() <= 0.5
+    return Toxicity(Linear.train(texts, posterior) if told else None, model, induced)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **training) -> DataFrame:
     """(id, toxicity, is_toxic) for every row."""
-    model, _ = fit_toxicity(docs, labels, id_col=id_col, text_col=text_col, **training)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, id_col=id_col, text_col=text_col, **training))
 
     def make():
-        model = shared.value
-        if model is None:
-            return lambda batch: pa.array([0.0] * len(batch), pa.float64())
-        if not hasattr(model, "scorer"):  # kept with the model while the worker lives
-            model.scorer = _Scorer(model)
-        score = model.scorer
+        fitted = shared.value
+        if not hasattr(fitted, "held"):  # kept with the model while the worker lives
+            fitted.held = fitted.scorer()
+        score = fitted.held
         return lambda batch: pa.array([score(t) for t in batch], pa.float64())
 
     scored = docs.select(id_col, text_udf(make, "double")(F.col(text_col)).alias("toxicity"))

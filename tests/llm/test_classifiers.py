@@ -97,6 +97,71 @@ def test_copies_do_not_make_a_lexicon():
     assert X.induce_lexicon(texts, [1] * 30 + [0] * 60) == []
 
 
+def test_terms_match_plain_counts():
+    """The counts by arrays against sets of terms by text."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["idiotic", "idiots", "a", "house", "zlorbs", "zlorbed", "the"], k=rng.randint(0, 9))) for _ in range(700)]
+    corpus = X._Corpus(texts)
+    seen, want = set(), []
+    for t in texts:
+        w = [b"", *X.words_of(t), b""]
+        fresh = {x for x in zip(w, w[1:], w[2:], strict=False)} - seen
+        seen |= fresh
+        want.append({k for x in fresh for k in X.terms_of(x[1])})
+    for new, sets in ((True, want), (False, [{k for w in X.words_of(t) for k in X.terms_of(w)} for t in texts])):
+        names, runs = corpus.terms(X.terms_of, new)
+        got = [set() for _ in texts]
+        for text, term in runs:
+            for a, b in zip(text.tolist(), term.tolist(), strict=True):
+                assert names[b] not in got[a]
+                got[a].add(names[b])
+        assert got == sets
+
+
+def test_posterior_matches_a_sum_over_classes():
+    """The fixed point of the label model on a small table of votes, with every step written out."""
+    k = len(X.VOTERS)
+    votes = [(0, 900), (0b1, 30), (0b11, 40), (0b111, 25), (0b100, 20)]
+    m = X.LabelModel(np.array([v for v, _ in votes]), np.array([n for _, n in votes]))
+    for mask, _ in votes:
+        bad = sum(n * m.by_mask[v] for v, n in votes)
+        total = sum(n for _, n in votes)
+        share = min(0.5, (bad + 1e-3) / (total + 1))
+        odds = np.log(share / (1 - share))
+        for clique in m.cliques:
+            state = lambda v, c=clique: sum((v >> j & 1) << i for i, j in enumerate(c))
+            cells = 1 << len(clique)
+            tables = []
+            for y in (0, 1):
+                table = [sum(n * (m.by_mask[v] if y else 1 - m.by_mask[v]) for v, n in votes if state(v) == s) + 0.5 / cells for s in range(cells)]
+                table[0] += 0 if y else X.CALM_ROWS
+                tables.append(np.log(np.array(table) / sum(table)))
+            ratio = float(tables[1][state(mask)] - tables[0][state(mask)])
+            if len(clique) == 1:
+                ratio = max(ratio, 0) if state(mask) else min(ratio, 0)
+            odds += ratio
+        assert m.by_mask[mask] == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-3)
+    assert sorted(x for c in m.cliques for x in c) == list(range(k))
+    assert m.by_mask[0] < 0.1 < 0.9 < m.by_mask[0b111]
+
+
+def abusive(rng, n):
+    return [" ".join(words(rng, 15) + ["you", "stupid", "idiot", "go", "die"] + words(rng, 5)) for _ in range(n)]
+
+
+def test_classes_missing_from_labels_do_not_matter(spark):
+    rng = random.Random(4)
+    calm, rude = [" ".join(words(rng, 25)) for _ in range(200)], abusive(rng, 60)
+    table = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    label = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")
+    assert X.find_toxic(table(rude[:40]), label([(i, 1) for i in range(40)])).count() == 40
+    for rows in ([(i, 0) for i in range(20)], []):
+        assert sorted(r.doc_id for r in X.find_toxic(table(calm + rude), label(rows)).collect()) == list(range(200, 260))
+    nameless = table(calm + rude).selectExpr("cast(null as long) as doc_id", "text")
+    assert X.find_toxic(nameless, label([])).count() == 60
+    assert X.find_toxic(table(calm), label([(i, i % 2) for i in range(0)])).count() == 0
+
+
 def test_pattern_voters():
     vote = X.Voters([])
     names = lambda t: {v for k, v in enumerate(X.VOTERS) if vote(t) >> k & 1}
@@ -105,6 +170,9 @@ def test_pattern_voters():
     assert "disguised" in names("such an 1d1ot")
     assert "disguised" in names("what an i.d.i.o.t he is")
     assert "piled" in names("stupid clown")
+    for t in ("what sh!t", "you a$$hole!!", "an @sshole", "1d!ot"):
+        assert "disguised" in names(t), t
+    assert "disguised" not in names("stop! $5 a@b.com !!!! 1 2 3 4")
     assert names("a kind word, you see") == names("") == names(None) == set()
 
 
