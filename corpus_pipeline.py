@@ -46,9 +46,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. A stage's table is deleted once the next one's is written; the last one's input stays, as
     the result reads it."""
-    ensure_checkpoint_dir(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    folder, before = f"{folder}/pipeline-{uuid.uuid4().hex}", None
+    folder, before = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = f"{folder}/{name}"
