@@ -28,7 +28,11 @@ def _llm(args):
 
 
 def _embedder(args):
-    return HashingEmbedder() if args.provider != "local" else LocalServer(args.url or "http://localhost:11434")
+    """Vectors come from a local server also where the chat model is hosted; only offline are they hashed."""
+    if args.provider == "offline":
+        return HashingEmbedder()
+    own = args.url if args.provider == "local" else None
+    return LocalServer(args.embedding_url or own or "http://localhost:11434")
 
 
 def _service(args) -> EmbeddingService:
@@ -139,6 +143,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(*flags, **options)
         p.add_argument("--provider", choices=["local", "cloud", "offline"], default="local")
         p.add_argument("--url")
+        p.add_argument("--embedding-url")
         p.add_argument("--api-key")
         p.add_argument("--chat-model")
         p.add_argument("--embedding-model", "--model", default=config.EMBEDDING_MODEL)

@@ -60,7 +60,8 @@ def edges_from_events(rows: DataFrame, order: tuple[str, ...] = ("chunk_id",)) -
 
 
 def to_hypergraph(rows: DataFrame) -> tuple[Hypergraph, DataFrame]:
-    """The graph of (chunk_id, events) rows and its provenance rows (METADATA)."""
+    """The graph of (chunk_id, events) rows and its provenance rows (METADATA). seq only orders rows: two chunks may share
+    a number, (chunk_id, edge, seq) is unique."""
     edges = edges_from_events(rows)
     # Rows of a chunk follow each other in order; a hash of the chunk places them without a sort over all.
     metadata = edges.select((F.xxhash64("chunk_id").bitwiseAND(F.lit((1 << 36) - 1)) * F.lit(1 << 16) + F.col("pos")).alias("seq"), "edge", "nodes", "source", "target", "chunk_id")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,14 @@ from pyspark.sql.window import Window
 INCIDENCE = T.StructType([T.StructField("edge_id", T.StringType()), T.StructField("node", T.StringType())])
 
 
+def _over_batches(predicate: Callable[[str, list], bool]) -> Callable[..., Column]:
+    @F.arrow_udf("boolean")
+    def test(edge_ids: pa.Array, nodes: pa.Array) -> pa.Array:
+        return pa.array([bool(predicate(e, n)) for e, n in zip(edge_ids.to_pylist(), nodes.to_pylist(), strict=True)], pa.bool_())
+
+    return test
+
+
 class Hypergraph:
     def __init__(self, incidence: DataFrame, edge_ids: DataFrame | None = None):
         """`incidence` must hold each pair once; `edge_ids` (default: those of the pairs) every edge once."""
@@ -121,7 +130,7 @@ class Hypergraph:
 
     def filter_edges(self, predicate: Column | Callable[[str, list], bool]) -> Hypergraph:
         """Whole edges for which a Column over (edge_id, nodes), or a Python function, is true."""
-        test = predicate if isinstance(predicate, Column) else F.udf(lambda e, n: bool(predicate(e, n)), "boolean")("edge_id", "nodes")
+        test = predicate if isinstance(predicate, Column) else _over_batches(predicate)("edge_id", "nodes")
         return self.restrict_to_edges(self.edges().where(test).select("edge_id"))
 
     def filter_by_size(self, least: int) -> Hypergraph:

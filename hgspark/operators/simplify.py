@@ -118,13 +118,19 @@ def rename_nodes(pairs: DataFrame, renames: DataFrame) -> DataFrame:
     return pairs.join(sized(renames), "node", "left").select("edge_id", F.coalesce("new_node", "node").alias("node")).distinct()
 
 
-def rename_in_arrays(rows: DataFrame, renames: DataFrame, key: str, columns: Iterable[str]) -> DataFrame:
-    """Rows with the names in array columns replaced, places kept; `key` is unique."""
-    for c in columns:
-        parts = rows.select(key, F.posexplode(c).alias("__p", "node")).join(sized(renames), "node", "left")
-        held = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__p", F.coalesce("new_node", "node").alias("n")))).alias("__a")).select(key, F.col("__a.n").alias("__new"))
-        rows = rows.join(held, key, "left").withColumn(c, F.coalesce("__new", F.col(c))).drop("__new")
-    return rows
+def rename_in_arrays(rows: DataFrame, renames: DataFrame, key: Iterable[str], columns: Iterable[str]) -> DataFrame:
+    """Rows with the names in array columns replaced, places kept. Together the columns of `key` (nulls are equal there)
+    tell rows apart; rows that are equal in them have to be equal in the arrays too."""
+    key, columns = list(key), list(columns)
+    names = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in columns])
+    each = rows.select(*[F.col(k).alias(f"__{k}") for k in key], F.explode(F.array_distinct(names)).alias("node")).distinct()
+    hit = each.join(sized(renames), "node")  # names that change only: rows without any have no part in the shuffle
+    maps = hit.groupBy(*[f"__{k}" for k in key]).agg(F.map_from_entries(F.collect_list(F.struct("node", "new_node"))).alias("__new"))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    changed = [F.when(F.col("__new").isNull(), F.col(c)).otherwise(F.transform(c, lambda n: F.coalesce(F.try_element_at("__new", n), n))).alias(c) if c in columns else F.col(c) for c in rows.columns]
+    return rows.join(maps, same, "left").select(*changed)
 
 
 def _rebuilt(graph: Hypergraph, renames: DataFrame, least: int) -> Hypergraph:
@@ -167,6 +173,6 @@ def simplify_documents(graph: Hypergraph, metadata: DataFrame, embeddings: NodeE
         return graph, metadata, embeddings, history
     renames = merge_map(history)
     new = _rebuilt(graph, renames, 2)
-    rows = rename_in_arrays(metadata, renames, "seq", ("nodes", "source", "target")).withColumn("nodes", F.sort_array(F.array_distinct("nodes")))
+    rows = rename_in_arrays(metadata, renames, ("chunk_id", "edge", "seq"), ("nodes", "source", "target")).withColumn("nodes", F.sort_array(F.array_distinct("nodes")))
     removed = history.select(F.col("removed_node").alias("node"))
     return new, rows, embeddings.remove(removed).filtered(new.nodes()), history

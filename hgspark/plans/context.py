@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 from ..config import CONTEXT_TOKENS, MAX_SENTENCES
 from ..functions.events import first_metadata, relation_of_edge, short_relation_of_edge
 from ..operators.hypergraph import Hypergraph
+from ..tables import cut
 from .paths import path_steps, step_edges
 
 HEADER = "Relevant knowledge from the graph:"
@@ -36,31 +37,32 @@ def _with_provenance(edges: DataFrame, metadata: DataFrame | None) -> DataFrame:
 
 
 def path_sentences(graph: Hypergraph, paths: DataFrame, metadata: DataFrame | None = None, labels: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, sentence): one for each step of each path, from the first edge that holds both nodes; each once, sorted. An
-    edge with provenance is told from its source to its target, any other from the step's first node to its second."""
+    """(*by, sentence): one for each step of each path, from the first edge that holds both nodes; each once, in no order.
+    An edge with provenance is told from its source to its target, any other from the step's first node to its second."""
     steps = path_steps(paths, by)
     edges = _with_provenance(step_edges(graph, steps), metadata)
     plain = F.concat(F.col("u"), F.lit(" "), F.coalesce(_relation(labels), F.lit("is related to")), F.lit(" "), F.col("v"), F.lit("."))
     told = edges.select("u", "v", F.when(F.col("__s").isNotNull(), _directed(F.col("__s"), F.col("__t"), _relation(labels))).otherwise(plain).alias("sentence"))
-    return steps.join(told, ["u", "v"]).select(*by, "sentence").distinct().orderBy(*by, "sentence")
+    return steps.join(told, ["u", "v"]).select(*by, "sentence").distinct()
 
 
 def graph_sentences(graph: Hypergraph, metadata: DataFrame | None = None, labels: bool = True) -> DataFrame:
-    """(edge_id, sentence) of every edge, sorted by sentence; equal sentences of different edges stay."""
+    """(edge_id, sentence) of every edge, in no order; equal sentences of different edges stay."""
     edges = _with_provenance(graph.edges(), metadata)
     told = F.when(F.col("__s").isNotNull(), _directed(F.col("__s"), F.col("__t"), _relation(labels))).otherwise(_undirected(F.col("nodes"), _relation(labels)))
-    return edges.select("edge_id", told.alias("sentence")).orderBy("sentence", "edge_id")
+    return edges.select("edge_id", told.alias("sentence"))
 
 
 def direct_sentences(graph: Hypergraph, nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(*by, sentence): for each of `nodes` (*by, node) what its first five edges say of it; no full stop. Edges that hold
     nothing else count towards the five and say nothing."""
     asked = nodes.select(*by, "node").distinct()
-    own = Hypergraph(graph.incidence.join(asked.select("node").distinct(), "node", "left_semi"), graph.edge_ids).first_edges(EDGES_PER_NODE)
-    others = own.join(graph.incidence.select("edge_id", F.col("node").alias("other")), "edge_id").where(F.col("other") != F.col("node"))
+    pairs = cut(graph.incidence)  # read twice, and dear where it is made from events
+    own = Hypergraph(pairs.join(asked.select("node").distinct(), "node", "left_semi"), graph.edge_ids).first_edges(EDGES_PER_NODE)
+    others = own.join(pairs.select("edge_id", F.col("node").alias("other")), "edge_id").where(F.col("other") != F.col("node"))
     held = others.groupBy("node", "edge_id").agg(F.array_join(F.sort_array(F.collect_list("other")), ", ").alias("others"))
     told = held.select("node", F.concat("node", F.lit(" "), F.coalesce(short_relation_of_edge(F.col("edge_id")), F.lit("is related to")), F.lit(" "), "others").alias("sentence"))
-    return asked.join(told, "node").select(*by, "sentence").distinct().orderBy(*by, "sentence")
+    return asked.join(told, "node").select(*by, "sentence").distinct()
 
 
 def first_sentences(sentences: DataFrame, most: int = MAX_SENTENCES, by: tuple[str, ...] = ()) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +76,34 @@ class HypergraphExtractor:
         graph, metadata, errors = self.from_chunks(chunks)
         return graph, metadata, ChunkIndex.from_chunks(chunks, (id_col, "seq")), errors
 
+    def by_document(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DocumentTables:
+        """Tables by document. A chunk that several documents have is asked about once and belongs to each of them."""
+        chunks = cut(split_documents(docs, self.splitter, id_col=id_col, text_col=text_col))
+        graph, metadata, errors = self.from_chunks(chunks)
+        held = chunks.select(id_col, "chunk_id").distinct()
+        rows = cut(held.join(metadata, "chunk_id").select(id_col, *metadata.columns))
+        pairs = rows.select(id_col, F.col("edge").alias("edge_id"), F.explode("nodes").alias("node")).distinct()
+        return DocumentTables(pairs, rows.select(id_col, F.col("edge").alias("edge_id")).distinct(), rows, chunks, held.join(errors, "chunk_id").select(id_col, "chunk_id", "error"), id_col)
+
+
+@dataclass
+class DocumentTables:
+    """Results of many documents at once: each table has the document's id as its first column."""
+
+    incidence: DataFrame
+    edge_ids: DataFrame
+    metadata: DataFrame
+    chunks: DataFrame
+    errors: DataFrame
+    id_col: str
+
+    def of(self, document, embeddings: NodeEmbeddings | None = None) -> ProcessingResult:
+        """One document's result; `embeddings` may hold the vectors of all."""
+        own = [t.where(F.col(self.id_col) == document).drop(self.id_col) for t in (self.incidence, self.edge_ids, self.metadata, self.chunks)]
+        graph = Hypergraph(own[0], own[1])
+        vectors = embeddings.filtered(graph.nodes()) if embeddings else NodeEmbeddings.empty(self.incidence.sparkSession)
+        return ProcessingResult(graph, own[2], vectors, ChunkIndex(own[3].select("chunk_id", "text").distinct()), str(document))
+
 
 class DocumentProcessor:
     def __init__(self, provider: LLMProvider, embedder: EmbeddingService | None = None, *, chunk_size: int = CHUNK_SIZE, **options):
@@ -85,6 +115,12 @@ class DocumentProcessor:
         vectors = self.embedder.generate(graph.nodes()) if self.embedder else NodeEmbeddings.empty(spark)
         return ProcessingResult(graph, metadata, vectors, index, document_id)
 
+    def process_each(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DocumentTables, NodeEmbeddings]:
+        """Results by document, and vectors of all their nodes."""
+        tables = self.extractor.by_document(docs, id_col=id_col, text_col=text_col)
+        nodes = tables.incidence.select("node").distinct()
+        return tables, self.embedder.generate(nodes) if self.embedder else NodeEmbeddings.empty(docs.sparkSession)
+
     def process_text(self, spark: SparkSession, text: str, document_id: str | None = None) -> ProcessingResult:
         return self.process_documents(spark.createDataFrame([(0, text)], "doc_id long, text string"), document_id=document_id)
 
@@ -96,16 +132,39 @@ class DocumentProcessor:
         return self.process_documents(docs, id_col="path", document_id=stem)
 
     def process_directory(self, spark: SparkSession, folder: str, recursive: bool = False) -> ProcessingResult:
-        """All markdown files of a folder as one result; none give an empty one."""
-        from ..sources.files import read_markdown_directory
-
-        return self.process_documents(read_markdown_directory(spark, folder, recursive), id_col="path")
+        """All markdown files of a folder as one result; none give an empty one. Files that can't be read as UTF-8 are left
+        out with a warning, and failed requests are counted in one."""
+        from ..sources.files import read_markdown_directory, unreadable_files
+
+        files = read_markdown_directory(spark, folder, recursive)
+        bad = [r.path for r in unreadable_files(spark, folder, recursive).collect()]
+        for path in bad:
+            warnings.warn(f"left out, not UTF-8: {path}", stacklevel=2)
+        graph, metadata, index, errors = self.extractor.from_documents(files, id_col="path")
+        failed = errors.count()
+        if failed:
+            warnings.warn(f"{failed} chunks gave no events", stacklevel=2)
+        vectors = self.embedder.generate(graph.nodes()) if self.embedder else NodeEmbeddings.empty(spark)
+        return ProcessingResult(graph, metadata, vectors, index, None)
 
     def simplify(self, result: ProcessingResult, threshold: float) -> ProcessingResult:
         graph, metadata, vectors, _ = simplify_documents(result.graph, result.metadata, result.embeddings, threshold)
         return ProcessingResult(graph, metadata, vectors, result.chunk_index, result.document_id)
 
 
+def _numbered(metadata: DataFrame) -> DataFrame:
+    """The rows with seq from 0 on without gaps: sorted ranges, numbered from the counts of those before."""
+    names = [c for c in metadata.columns if c != "seq"]
+    ranges = cut(metadata.repartitionByRange("seq", "chunk_id", "edge").sortWithinPartitions("seq", "chunk_id", "edge").select(*names, F.spark_partition_id().alias("__r"), F.monotonically_increasing_id().alias("__i")))
+    sizes = sorted(ranges.groupBy("__r").agg(F.count("*").alias("n"), F.min("__i").alias("i")).collect())
+    before, shifts = 0, []
+    for r, n, i in sizes:
+        shifts.append((r, before - i))
+        before += n
+    shift = metadata.sparkSession.createDataFrame(shifts, "__r int, __shift long")
+    return ranges.join(F.broadcast(shift), "__r").select((F.col("__i") + F.col("__shift")).alias("seq"), *names)
+
+
 def merge_results(spark: SparkSession, results: Iterable[ProcessingResult], embedder: EmbeddingService | None = None) -> ProcessingResult:
     """Graphs merged, provenance one after the other, vectors and chunks of later results winning; then, with a service,
     vectors for nodes that have none and none for nodes that aren't in the graph."""
@@ -119,11 +178,13 @@ def merge_results(spark: SparkSession, results: Iterable[ProcessingResult], embe
     for k, p in enumerate(parts[1:], 1):
         tops = tops.unionByName(p.metadata.agg(F.lit(k).alias("r"), F.max("seq").alias("m")))
     top = {r.r: r.m for r in tops.collect()}
+    wide = sum(1 + (m or 0) for m in top.values()) >= 1 << 62
     rows, offset = None, 0
     for k, p in enumerate(parts):
-        placed = p.metadata.select((F.col("seq") + F.lit(offset)).alias("seq"), *columns)
+        own = _numbered(p.metadata) if wide else p.metadata
+        placed = own.select((F.col("seq") + F.lit(offset)).alias("seq"), *columns)
         rows = placed if rows is None else rows.unionByName(placed)
-        offset += 1 + (top[k] or 0)
+        offset += own.count() if wide else 1 + (top[k] or 0)
 
     def last(tables: list[DataFrame], key: str, value: str) -> DataFrame:
         together = tables[0].select(F.lit(0).alias("r"), key, value)

@@ -53,7 +53,7 @@ class GraphRAG:
         found = cut(shortest_paths(self.graph, table, most)) if len(nodes) > 1 else None
         paths = [list(r.path) for r in found.orderBy(F.size("path"), "path").collect()] if found is not None else []
         told = path_sentences(self.graph, found, self.metadata) if paths else direct_sentences(self.graph, table)
-        sentences = [r.sentence for r in told.collect()]
+        sentences = [r.sentence for r in told.orderBy("sentence").collect()]
         return RAGContext(query, keywords, nodes, paths, sentences, format_context(sentences, max_tokens))
 
     def retrieve_context(self, query: str, top_k: int = TOP_K, max_path_length: int = PATH_NODES, threshold: float = MATCH_THRESHOLD, max_tokens: int = CONTEXT_TOKENS) -> RAGContext:

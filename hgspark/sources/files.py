@@ -29,11 +29,23 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return _texts(spark.read, spark, path)
 
 
+def _markdown_bytes(spark: SparkSession, folder: str, recursive: bool) -> DataFrame:
+    """(path, text) of the folder's markdown files; the text is null where the bytes aren't UTF-8. Files that vanish or
+    can't be opened while they are read are passed over."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][dD]").option("recursiveFileLookup", str(recursive).lower()).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    return reader.load(folder).select(F.col("_metadata.file_path").alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+
+
 def read_markdown_directory(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """(path, document_id, text) of all files with the ending md, whatever its case. Names that start with . or _ are
-    hidden. An empty folder gives no rows."""
-    reader = spark.read.option("pathGlobFilter", "*.[mM][dD]").option("recursiveFileLookup", str(recursive).lower())
-    return _texts(reader, spark, folder).orderBy("path")
+    hidden. An empty folder gives no rows; files that aren't UTF-8 are left out (`unreadable_files` lists them)."""
+    found = _markdown_bytes(spark, folder, recursive).where("text is not null")
+    return found.select("path", file_stem(F.url_decode(F.col("path"))).alias("document_id"), "text").orderBy("path")
+
+
+def unreadable_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+    """(path) of the markdown files that aren't UTF-8."""
+    return _markdown_bytes(spark, folder, recursive).where("text is null").select("path")
 
 
 def _write_text(text: DataFrame | str, path: str) -> None:

@@ -1,7 +1,10 @@
+import http.server
 import json
 import os
+import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from hgspark import cli
 from hgspark.operators.embeddings import EmbeddingService
@@ -157,3 +160,80 @@ def test_streamed_degrees(spark, tmp_path):
     q = stream_degrees(stream).writeStream.format("memory").queryName("degrees").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.node, r.degree) for r in spark.table("degrees").collect()] == [("a", 2)]
+
+
+class _Stub(http.server.BaseHTTPRequestHandler):
+    """Answers like a local and a hosted model server, a part of the answer at a time."""
+
+    def log_message(self, *args):
+        pass
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.server.seen.append((self.path, body))
+        self.send_response(200)
+        self.end_headers()
+        if self.path == "/api/embed":
+            self.wfile.write(json.dumps({"embeddings": [[1.0, len(t)] for t in body["input"]]}).encode())
+        elif self.path == "/api/chat":
+            for part in ("one ", "two ", ""):
+                self.wfile.write(json.dumps({"message": {"content": part}, "done": not part}).encode() + b"\n")
+        elif body.get("stream"):
+            for part in ("three ", "four"):
+                self.wfile.write(b"data: " + json.dumps({"choices": [{"delta": {"content": part}}]}).encode() + b"\n\n")
+            self.wfile.write(b": comment\n\ndata: [DONE]\n\n")
+        else:
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": '{"events": []}'}}]}).encode())
+
+
+@pytest.fixture
+def server():
+    held = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Stub)
+    held.seen = []
+    thread = threading.Thread(target=held.serve_forever, daemon=True)
+    thread.start()
+    yield held, f"http://127.0.0.1:{held.server_address[1]}"
+    held.shutdown()
+
+
+def test_answers_stream_in_parts(server):
+    held, url = server
+    for llm, parts in ((R.LocalServer(url), ["one ", "two "]), (R.CloudServer("k", url, "m"), ["three ", "four"])):
+        told = []
+        assert llm.stream("s", "u", told.append) == "".join(parts)
+        assert told == parts
+    assert all(body["stream"] for _, body in held.seen)
+
+
+def test_hosted_chat_has_vectors_of_the_local_server(spark, folder, server):
+    held, url = server
+    args = cli.parser().parse_args(["embed", "g.json", "--provider", "cloud", "--embedding-url", url])
+    assert cli._embedder(args).embed(["abc"], "m") == [[1.0, 3]]
+    assert isinstance(cli._embedder(cli.parser().parse_args(["embed", "g", "--provider", "cloud"])), R.LocalServer)
+    assert isinstance(cli._embedder(cli.parser().parse_args(["embed", "g", "--provider", "offline"])), R.HashingEmbedder)
+
+
+def test_results_by_document(spark):
+    docs = spark.createDataFrame([(1, "Spiders make silk."), (2, "Worms make silk."), (3, "Spiders make silk."), (4, None)], "doc_id long, text string")
+    tables, vectors = processor().process_each(docs)
+    one, three = tables.of(1, vectors), tables.of(3, vectors)
+    assert one.graph.same_as(three.graph)
+    assert (one.graph.edge_count(), one.metadata.count(), one.embeddings.count(), one.chunk_index.count()) == (1, 1, 2, 1)
+    assert {r.doc_id for r in tables.edge_ids.collect()} == {1, 2, 3}
+    assert tables.of(4).graph.edge_count() == 0
+
+
+def test_unreadable_files_are_left_out_with_a_warning(spark, folder):
+    (folder / "in" / "bad.md").write_bytes(b"Silk \xff\xfe is bad.")
+    with pytest.warns(UserWarning, match=r"not UTF-8: .*bad\.md"):
+        r = processor().process_directory(spark, str(folder / "in"))
+    assert r.chunk_index.count() == 2
+
+
+def test_numbers_of_merged_results_stay_apart(spark):
+    parts = [processor().process_text(spark, t) for t in ("Spiders make silk.", "Worms make silk. Silk holds water.")]
+    for p in parts:
+        p.metadata = p.metadata.withColumn("seq", F.col("seq") + (1 << 62))
+    rows = merge_results(spark, parts).metadata.orderBy("seq").collect()
+    assert [r.seq for r in rows] == [0, 1, 2]
+    assert rows[0].source[0] == "Spiders"

@@ -2,7 +2,7 @@ import random
 
 from hgspark.operators.embeddings import EmbeddingService, NodeEmbeddings
 from hgspark.operators.hypergraph import Hypergraph
-from hgspark.operators.simplify import greedy_one_task, greedy_rounds, merge_map, simplify, simplify_and_reembed, simplify_documents
+from hgspark.operators.simplify import greedy_one_task, greedy_rounds, merge_map, rename_in_arrays, simplify, simplify_and_reembed, simplify_documents
 from hgspark.sources.providers import HashingEmbedder
 
 
@@ -107,3 +107,11 @@ def test_documents_query_keeps_all_targets_of_a_large_edge(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     found = queries()["hg_simplify_documents"](spark, str(tmp_path)).collect()
     assert [len(r.target.split("|")) for r in found] == [1101]
+
+
+def test_provenance_rows_of_one_number_keep_their_names(spark):
+    kind = "seq long, edge string, nodes array<string>, source array<string>, target array<string>, chunk_id string"
+    rows = spark.createDataFrame([(7, "e1", ["A", "X"], ["A"], ["X"], "c1"), (7, "e2", ["B", "Y"], ["B", "A"], [], "c2"), (7, "e3", ["B"], None, ["B", "B"], None), (8, "e4", ["Z"], ["Z"], ["Z"], None)], kind)
+    renames = spark.createDataFrame([("A", "B")], "node string, new_node string")
+    out = {r.edge: (r.nodes, r.source, r.target) for r in rename_in_arrays(rows, renames, ("chunk_id", "edge", "seq"), ("nodes", "source", "target")).collect()}
+    assert out == {"e1": (["B", "X"], ["B"], ["X"]), "e2": (["B", "Y"], ["B", "B"], []), "e3": (["B"], None, ["B", "B"]), "e4": (["Z"], ["Z"], ["Z"])}
