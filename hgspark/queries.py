@@ -242,7 +242,15 @@ def hg_component_summary(spark, d):
     return C.component_summary(customer_orders(spark, d))
 
 
-@_register(None)  # a closure over whole tables is too slow in SQL; tests hold the operator against union-find
+_SPREAD = """WITH RECURSIVE inc AS MATERIALIZED (SELECT DISTINCT 'o' || l_orderkey AS e, 'p' || l_partkey AS n FROM lineitem),
+ spread(i, n, c, moved) AS (
+  SELECT 0, n, n, true FROM (SELECT DISTINCT n FROM inc)
+  UNION ALL
+  SELECT i + 1, n, c2, bool_or(c2 <> c) OVER ()
+  FROM (SELECT s.i, s.n, any_value(s.c) c, min(b.c) c2 FROM spread s JOIN inc x ON x.n = s.n JOIN inc y ON y.e = x.e JOIN spread b ON b.n = y.n WHERE s.moved AND s.i < 30 GROUP BY s.i, s.n))"""
+
+
+@_register(f"{_SPREAD} SELECT n AS node, c AS component FROM spread WHERE i = (SELECT max(i) FROM spread)")
 def hg_components_parts(spark, d):
     return C.connected_components(order_parts(spark, d))
 
@@ -335,23 +343,40 @@ def emb_missing(spark, d):
     return some.missing(e.select(_tagged("v", "vec_id").alias("node")))
 
 
-@_register("SELECT 'v' || vec_id AS node, len(embedding) AS dimension FROM embeddings WHERE label = 3")
+def _values(embeddings: NodeEmbeddings) -> DataFrame:
+    """(node, position, value) of all vectors' numbers that aren't 0."""
+    each = embeddings.df.select("node", F.posexplode("embedding").alias("position", "value"))
+    return each.where("value <> 0").select("node", F.col("position").cast("long").alias("position"), F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+def _values_sql(rows: str) -> str:
+    """The same of (node, e) rows."""
+    return f"SELECT node, position, round(value, 4) + 0.0 AS value FROM (SELECT node, generate_subscripts(e, 1) - 1 AS position, unnest(e) AS value FROM ({rows})) WHERE value <> 0"
+
+
+def _hashed_sql(texts: str) -> str:
+    """(node, position, value) of the offline embedder's vectors of (node) rows: signed counts of trigrams by hash."""
+    grams = f"SELECT node, unnest(list_transform(range(1, length(node) + 2), lambda k: md5(substr('  ' || lower(node) || ' ', k, 3)))) AS h FROM (SELECT DISTINCT node FROM ({texts}))"
+    sums = f"SELECT node, ('0x' || substr(h, 1, 2))::BIGINT % 64 AS position, sum(CASE WHEN ('0x' || substr(h, 15, 2))::BIGINT >= 128 THEN 1 ELSE -1 END)::DOUBLE AS n FROM ({grams}) GROUP BY ALL"
+    return f"SELECT node, position, n / sqrt(sum(n * n) OVER (PARTITION BY node)) AS value FROM ({sums}) WHERE n <> 0"
+
+
+@_register(_values_sql("SELECT 'v' || vec_id AS node, embedding::DOUBLE[] AS e FROM embeddings WHERE label = 3"))
 def emb_prune(spark, d):
     wanted = _table(spark, d, "embeddings").where("label = 3").select(_tagged("v", "vec_id").alias("node"))
-    return vector_graph(spark, d)[1].prune(wanted).df.select("node", F.size("embedding").cast("long").alias("dimension"))
+    return _values(vector_graph(spark, d)[1].prune(wanted))
 
 
-@_register("SELECT 'v' || vec_id AS node, CASE WHEN label >= 5 THEN 1 ELSE len(embedding) END AS dimension FROM embeddings")
+@_register(_values_sql("SELECT 'v' || vec_id AS node, CASE WHEN label >= 5 THEN list_transform(embedding::DOUBLE[], lambda x: -x) ELSE embedding::DOUBLE[] END AS e FROM embeddings"))
 def emb_merge(spark, d):
     e = _table(spark, d, "embeddings").select(_tagged("v", "vec_id").alias("node"), "embedding", "label")
-    new = NodeEmbeddings(e.where("label >= 5").select("node", F.slice("embedding", 1, 1).alias("embedding")))
-    return NodeEmbeddings(e).merge(new).df.select("node", F.size("embedding").cast("long").alias("dimension"))
+    new = NodeEmbeddings(e.where("label >= 5").select("node", F.transform("embedding", lambda x: -x).alias("embedding")))
+    return _values(NodeEmbeddings(e).merge(new))
 
 
-@_register("SELECT p_type AS node, 64::BIGINT AS dimension FROM part GROUP BY p_type")
+@_register(f"SELECT node, position, round(value, 4) AS value FROM ({_hashed_sql('SELECT p_name AS node FROM part')})")
 def emb_generate(spark, d):
-    nodes = _table(spark, d, "part").select(F.col("p_type").alias("node"))
-    return EmbeddingService(HashingEmbedder()).generate(nodes).df.select("node", F.size("embedding").cast("long").alias("dimension"))
+    return _values(EmbeddingService(HashingEmbedder()).generate(_table(spark, d, "part").select(F.col("p_name").alias("node"))))
 
 
 # simplification
@@ -362,22 +387,52 @@ def hg_merge_candidates(spark, d):
     return _rounded(S.merge_candidates(*vector_graph(spark, d), MERGE_AT, ("7",)))
 
 
-@_register(None)  # greedy and order-dependent; tests hold it against a plain scan
+#: The greedy pass, a pair a round: `scan` holds the names removed so far. `pairs` and `degrees` of any graph.
+_GREEDY = f"""WITH RECURSIVE graph AS MATERIALIZED (SELECT DISTINCT edge_id, node FROM {_VEC}),
+ degrees AS MATERIALIZED (SELECT node, count(*) d FROM graph GROUP BY node),
+ pairs AS MATERIALIZED (SELECT i, j, s, x.d di, y.d dj, row_number() OVER (ORDER BY s DESC, i, j) k FROM {_SIM} JOIN degrees x ON x.node = i JOIN degrees y ON y.node = j WHERE s > {MERGE_AT}),
+ scan(k, removed, kept_node, removed_node, s, kept_degree, removed_degree) AS (
+  SELECT 0::BIGINT, []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE, NULL::BIGINT, NULL::BIGINT
+  UNION ALL
+  SELECT p.k, CASE WHEN ok THEN list_append(removed, CASE WHEN di >= dj THEN j ELSE i END) ELSE removed END, CASE WHEN ok THEN CASE WHEN di >= dj THEN i ELSE j END END, CASE WHEN ok THEN CASE WHEN di >= dj THEN j ELSE i END END, p.s, greatest(di, dj), least(di, dj)
+  FROM (SELECT p.*, removed, NOT (list_contains(removed, i) OR list_contains(removed, j)) ok FROM scan JOIN pairs p ON p.k = scan.k + 1) p),
+ history AS MATERIALIZED (SELECT row_number() OVER (ORDER BY k) - 1 AS seq, kept_node, removed_node, s, kept_degree, removed_degree FROM scan WHERE kept_node IS NOT NULL),
+ renamed AS MATERIALIZED (SELECT DISTINCT edge_id, coalesce(kept_node, node) AS node FROM graph LEFT JOIN history ON removed_node = node),
+ rebuilt AS MATERIALIZED (SELECT edge_id, node FROM renamed WHERE NOT EXISTS (FROM history) OR edge_id IN (SELECT edge_id FROM renamed GROUP BY edge_id HAVING count(*) >= 2))"""
+
+
+@_register(f"{_GREEDY} SELECT seq::INTEGER AS seq, kept_node, removed_node, round(s, 6) AS similarity, kept_degree, removed_degree FROM history")
 def hg_simplify_history(spark, d):
     return _rounded(S.simplify(*vector_graph(spark, d), threshold=MERGE_AT).history)
 
 
-@_register(None)
+@_register(f"{_GREEDY} SELECT edge_id, node FROM rebuilt")
 def hg_simplify_edges(spark, d):
     return S.simplify(*vector_graph(spark, d), threshold=MERGE_AT).graph.incidence
 
 
-@_register(None)
+@_register(f"{_GREEDY} {_values_sql(f'SELECT node, e FROM {_VEC} WHERE node IN (SELECT node FROM rebuilt) AND node NOT IN (SELECT removed_node FROM history)')}")
 def hg_simplify_embeddings(spark, d):
-    return S.simplify(*vector_graph(spark, d), threshold=MERGE_AT).embeddings.df.select("node")
+    return _values(S.simplify(*vector_graph(spark, d), threshold=MERGE_AT).embeddings)
 
 
-@_register(None)
+@_register(f"{_GREEDY} SELECT count(*) AS merge_count, count(DISTINCT removed_node) AS nodes_removed, (SELECT count(DISTINCT edge_id) FROM graph) - (SELECT count(DISTINCT edge_id) FROM rebuilt) AS edges_removed FROM history")
+def hg_simplify_counters(spark, d):
+    r = S.simplify(*vector_graph(spark, d), threshold=MERGE_AT)
+    return spark.createDataFrame([(r.merge_count, r.nodes_removed, r.edges_removed)], "merge_count long, nodes_removed long, edges_removed long")
+
+
+@_register(f"""{_GREEDY}, again AS MATERIALIZED (SELECT DISTINCT kept_node AS node FROM history WHERE kept_node IN (SELECT node FROM rebuilt)),
+ made AS ({_hashed_sql('SELECT node FROM again')}),
+ kept AS ({_values_sql(f'SELECT node, e FROM {_VEC} WHERE node IN (SELECT node FROM rebuilt) AND node NOT IN (SELECT removed_node FROM history) AND node NOT IN (SELECT node FROM again)')})
+ SELECT * FROM kept UNION ALL SELECT node, position, round(value, 4) FROM made""")
+def hg_simplify_reembed(spark, d):
+    return _values(S.simplify_and_reembed(*vector_graph(spark, d), EmbeddingService(HashingEmbedder()), threshold=MERGE_AT).embeddings)
+
+
+@_register(f"""{_GREEDY.replace(f"s > {MERGE_AT}", f"s >= {MERGE_AT}")}, rows AS (SELECT edge_id, list_sort(list(node)) n FROM graph GROUP BY edge_id),
+ each AS (SELECT edge_id, k, node, coalesce(kept_node, node) AS new FROM (SELECT edge_id, unnest(n) AS node, generate_subscripts(n, 1) AS k FROM rows) LEFT JOIN history ON removed_node = node)
+ SELECT edge_id AS edge, string_agg(DISTINCT new, '|' ORDER BY new) AS nodes, string_agg(new, '|' ORDER BY k) FILTER (k = 1) AS source, coalesce(string_agg(new, '|' ORDER BY k) FILTER (k > 1), '') AS target FROM each GROUP BY edge_id""")
 def hg_simplify_documents(spark, d):
     graph, vectors = vector_graph(spark, d)
     rows = graph.edges().select(F.xxhash64("edge_id").alias("seq"), F.col("edge_id").alias("edge"), "nodes", F.slice("nodes", 1, 1).alias("source"), F.slice("nodes", F.lit(2), F.greatest(F.size("nodes"), F.lit(1))).alias("target"), F.lit("c").alias("chunk_id"))
@@ -415,12 +470,29 @@ def txt_chunk_index(spark, d):
     return ChunkIndex.from_chunks(docs).df.select("chunk_id", F.length("text").cast("long").alias("n_chars"))
 
 
-@_register("SELECT md5(text) AS chunk_id, CASE WHEN bool_or(lang = 'en') THEN 'new' ELSE 'old' END AS version FROM documents GROUP BY 1")
+@_register("SELECT md5(text) AS chunk_id, md5(CASE WHEN bool_or(lang = 'en') THEN 'new ' || text ELSE text END) AS version FROM documents GROUP BY text")
 def txt_chunk_merge(spark, d):
-    docs = _table(spark, d, "documents").select(content_id(F.col("text")).alias("chunk_id"), "lang")
-    old = ChunkIndex(docs.select("chunk_id", F.lit("old").alias("text")).distinct())
-    new = ChunkIndex(docs.where("lang = 'en'").select("chunk_id", F.lit("new").alias("text")).distinct())
-    return old.merge(new).df.select("chunk_id", F.col("text").alias("version"))
+    docs = _table(spark, d, "documents").select(content_id(F.col("text")).alias("chunk_id"), "text", "lang")
+    old = ChunkIndex(docs.select("chunk_id", "text").distinct())
+    new = ChunkIndex(docs.where("lang = 'en'").select("chunk_id", F.concat(F.lit("new "), "text").alias("text")).distinct())
+    return old.merge(new).df.select("chunk_id", content_id(F.col("text")).alias("version"))
+
+
+#: One level of separators: words, with the blank after each, are glued while they fit.
+_WORDS_SPLIT = """WITH RECURSIVE parts AS MATERIALIZED (
+  SELECT conv_id, turn, list_filter(list_transform(string_split(text, ' '), lambda w, k: CASE WHEN k < len(string_split(text, ' ')) THEN w || ' ' ELSE w END), lambda w: w <> '') AS p FROM conversations),
+ glue(conv_id, turn, k, chunk, held) AS (
+  SELECT conv_id, turn, 1, 0, p[1] FROM parts WHERE len(p) > 0
+  UNION ALL
+  SELECT g.conv_id, g.turn, g.k + 1, CASE WHEN length(held) + length(p[g.k + 1]) <= 40 THEN chunk ELSE chunk + 1 END, CASE WHEN length(held) + length(p[g.k + 1]) <= 40 THEN held || p[g.k + 1] ELSE p[g.k + 1] END
+  FROM glue g JOIN parts x ON x.conv_id = g.conv_id AND x.turn = g.turn WHERE g.k < len(p))"""
+
+
+@_register(f"{_WORDS_SPLIT} SELECT conv_id, turn, chunk::INTEGER AS seq, arg_max(held, k) AS text FROM glue GROUP BY conv_id, turn, chunk")
+def txt_split_words(spark, d):
+    turns = _table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
+    chunks = split_documents(turns, RecursiveSplitter(40, separators=(" ",)), id_col="id")
+    return chunks.select("id.conv_id", "id.turn", "seq", "text")
 
 
 @_register("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE left(text, 200) || '...' END AS preview FROM documents")
@@ -483,26 +555,56 @@ def evt_all_nodes(spark, d):
     return E.event_nodes(order_events(spark, d))
 
 
-@_register("SELECT 'ordered_with' AS relation")
+@_register("SELECT DISTINCT lower(o_orderpriority) AS relation FROM orders")
 def evt_relations(spark, d):
-    return E.event_relations(order_events(spark, d))
+    event = F.struct(F.array(F.lit("a")).alias("source"), F.lower("o_orderpriority").alias("relation"), F.array(F.lit("b")).alias("target"))
+    return E.event_relations(_table(spark, d, "orders").select(F.array(event, event).alias("events")))
 
 
-_BAD = "o_orderstatus = 'P'"
+@_register(f"SELECT edge, chunk_id FROM {_EVT} WHERE chunk_id = md5('7')")
+def evt_of_chunk(spark, d):
+    rows = E.to_hypergraph(order_events(spark, d))[1]
+    return E.of_chunk(rows, "8f14e45fceea167a5a36dedd4bea2543").select("edge", "chunk_id")
 
 
-@_register(f"SELECT o_orderkey, CASE WHEN {_BAD} THEN -1 ELSE 1 END AS n FROM orders")
+@_register("SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 5 THEN 3 WHEN 6 THEN 0 WHEN 8 THEN 1 ELSE -1 END::INTEGER AS n, CASE WHEN o_orderkey % 9 IN (0, 1, 5, 8) THEN o_orderpriority END AS relation FROM orders")
 def evt_parse_strict(spark, d):
-    target = F.when(F.expr(_BAD), F.lit('"x"')).otherwise(F.lit('["x", "y"]'))
-    text = F.concat(F.lit('Here it is:\n```json\n{"events": [{"source": ["a"], "relation": "r", "target": '), target, F.lit("}]}\n```"))
-    return _table(spark, d, "orders").select("o_orderkey", F.size(E.parse_events(E.extract_json(F.concat(F.lit("x "), text)))).alias("n")).select("o_orderkey", F.coalesce("n", F.lit(-1)).alias("n"))
-
-
-@_register(f"SELECT edge AS edge_id, 'ordered with' AS relation, chunk_id, 'ordered with' AS short FROM {_EVT}")
+    good = F.concat(F.lit('{"source": ["a", "b"], "relation": "'), "o_orderpriority", F.lit('", "target": ["c"]}'))
+
+    def told(*events):
+        parts = [F.lit(e) if isinstance(e, str) else e for e in events]
+        return F.concat(F.lit('{"events": ['), F.concat_ws(", ", *parts), F.lit("]}"))
+
+    forms = [
+        F.concat(F.lit("```json\n"), told(good, good), F.lit("\n```")),
+        told(good),
+        told(good, '{"source": "a", "relation": "r", "target": ["c"]}'),
+        told('{"source": ["a"], "target": ["c"]}', good),
+        told(good, '{"source": ["a", null], "relation": "r", "target": ["c"]}'),
+        F.concat(F.lit("Here they are: "), told(good, good, good), F.lit(" That is all.")),
+        told(),
+        F.concat(F.lit("no events in "), "o_orderpriority"),
+        F.concat(F.lit("  ```\n"), told(good), F.lit("```  ")),
+    ]
+    kind, text = F.col("o_orderkey") % 9, F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        text = F.when(kind == k, form).otherwise(text)
+    read = _table(spark, d, "orders").select("o_orderkey", E.parse_events(E.extract_json(text)).alias("events"))
+    return read.select("o_orderkey", F.coalesce(F.size("events"), F.lit(-1)).alias("n"), F.get("events", F.lit(0))["relation"].alias("relation"))
+
+
+@_register("""SELECT CASE p_partkey % 5 WHEN 0 THEN replace(p_name, ' ', '_') || '_chunk' || md5(p_partkey::VARCHAR) || '_' || p_size WHEN 1 THEN p_name || '_CHUNK' || p_partkey || '_3' WHEN 2 THEN p_name || '_x_chunk-' || p_partkey WHEN 3 THEN ' ' || p_name || '_' || p_partkey ELSE '_chunk' || p_partkey || '_1' END AS edge_id,
+ CASE p_partkey % 5 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN p_name WHEN 2 THEN p_name || '_x' WHEN 3 THEN p_name || '_' || p_partkey ELSE '' END AS relation,
+ CASE p_partkey % 5 WHEN 0 THEN md5(p_partkey::VARCHAR) WHEN 1 THEN p_partkey::VARCHAR END AS chunk_id,
+ CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name WHEN 2 THEN p_name || ' x' END AS short FROM part""")
 def rel_extract(spark, d):
-    edges = E.to_hypergraph(order_events(spark, d))[0].edge_ids
+    key, name, kind = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_partkey") % 5
+    full = F.concat(F.regexp_replace(name, " ", "_"), F.lit("_chunk"), content_id(key), F.lit("_"), F.col("p_size").cast("string"))
+    upper, odd = F.concat(name, F.lit("_CHUNK"), key, F.lit("_3")), F.concat(name, F.lit("_x_chunk-"), key)
+    plain, none = F.concat(F.lit(" "), name, F.lit("_"), key), F.concat(F.lit("_chunk"), key, F.lit("_1"))
+    edge = F.when(kind == 0, full).when(kind == 1, upper).when(kind == 2, odd).when(kind == 3, plain).otherwise(none)
     e = F.col("edge_id")
-    return edges.select("edge_id", E.relation_of_edge(e).alias("relation"), E.chunk_of_edge(e).alias("chunk_id"), E.short_relation_of_edge(e).alias("short"))
+    return _table(spark, d, "part").select(edge.alias("edge_id")).select("edge_id", E.relation_of_edge(e).alias("relation"), E.chunk_of_edge(e).alias("chunk_id"), E.short_relation_of_edge(e).alias("short"))
 
 
 @_register(f"SELECT edge AS edge_id, 'Order of ' || c_name AS citation FROM {_EVT}")
@@ -570,11 +672,21 @@ def match_best(spark, d):
     return M.best_matches(_asked(spark, d), vectors, HashingEmbedder())
 
 
-@_register(None)  # keywords without a name match go by vectors of the offline embedder
+_ODD = "(SELECT DISTINCT CASE WHEN k = 1 THEN w ELSE substr(w, 1, 1) || substr(w, 3) END AS keyword FROM (SELECT string_split(p_name, ' ')[1] AS w, p_partkey % 3 AS k FROM part))"
+_VECTORS = f"({_hashed_sql('SELECT p_name AS node FROM part')})"
+
+
+@_register(f"""WITH hits AS (SELECT keyword, node, CASE WHEN lower(node) = keyword THEN 1.0 ELSE greatest(0.8, least(length(keyword), length(node)) / greatest(length(keyword), length(node))) END AS s FROM {_ODD}, {_NAMES} WHERE contains(lower(node), keyword) OR contains(keyword, lower(node))),
+ near AS (SELECT k.node AS keyword, v.node, sum(k.value * v.value) AS s FROM ({_hashed_sql(f'SELECT keyword AS node FROM {_ODD}')}) k JOIN {_VECTORS} v USING (position) WHERE k.node NOT IN (SELECT keyword FROM hits) GROUP BY ALL HAVING sum(k.value * v.value) >= 0.3137)
+ SELECT node, round(max(s), 5) AS similarity, arg_max(t, s) AS match_type FROM (SELECT node, s, 'substring' AS t FROM hits UNION ALL SELECT node, s, 'embedding' FROM near) GROUP BY node""")
 def match_fallback(spark, d):
+    """Keywords as they stand in names, and others that lack a letter and so go by vector."""
     vectors = EmbeddingService(HashingEmbedder()).generate(_names(spark, d)).df
-    asked = M.keyword_table(spark, ["bolt", "smal rng", "zzz"])
-    return _rounded(M.matching_nodes(asked, vectors, HashingEmbedder()).select("node", "keyword", "similarity", "match_type"))
+    word = F.split("p_name", " ")[0]
+    odd = F.when(F.col("p_partkey") % 3 == 1, word).otherwise(F.concat(F.substring(word, 1, 1), F.expr("substring(split(p_name, ' ')[0], 3)")))
+    asked = M.keyword_table(spark, sorted(r.k for r in _table(spark, d, "part").select(odd.alias("k")).distinct().collect()))
+    found = M.matching_nodes(asked, vectors, HashingEmbedder(), top_k=1000, threshold=0.3137)
+    return found.select("node", F.round("similarity", 5).alias("similarity"), "match_type")
 
 
 _ENDS = ["p1", "p2", "p3", "p5", "p8"]
@@ -685,3 +797,6 @@ def rag_context_simple(spark, d):
     asked = lands.select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("How does "), "n_name", F.lit(" belong to "), "r_name", F.lit("?")).alias("query"))
     names = graph.nodes().select("node", F.array(F.lit(0.0)).cast("array<float>").alias("embedding"))
     return contexts_simple(graph, cut(names), asked, metadata, max_path_length=3)
+
+
+from . import queries_services  # noqa: E402,F401  registers the queries of services, files and results
