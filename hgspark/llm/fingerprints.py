@@ -5,22 +5,28 @@ logarithm of rows over rows with the term; rows are counted over the whole table
 that the table of rarities that tasks get doesn't grow with the data. Every bit of a term's hash votes for or against the
 fingerprint's bit with that weight; ties vote against.
 
-Search: the 64 bits are cut into radius + SPARE blocks. Two fingerprints within the radius agree in at least SPARE
-blocks, so for every choice of SPARE blocks there is a table keyed by those blocks' bits (the permuted prefix), and
-distinct fingerprints that share a key are compared. A pair is taken only from the first table in which it agrees. Equal
-fingerprints are put together before, so that copies don't multiply the work.
-
-Result: (fingerprint_a, fingerprint_b, distance, doc_ids_a, doc_ids_b), fingerprint_a < fingerprint_b as signed numbers
-or, with distance 0, equal, for a fingerprint that several rows have (doc_ids_b is empty then). Each pair of rows within
-the radius is in exactly one row of the result. No partner is left out.
-
-Defined results: null, empty and wordless texts have no fingerprint and no partners; rows with a null id are left out; a
-repeated id counts once; columns besides the two that are read don't matter.
+Search: the 64 bits are cut into radius + spare blocks. Two fingerprints within the radius agree in at least `spare`
+blocks, so for every choice of `spare` blocks there is a table keyed by those blocks' bits (the permuted prefix), and
+distinct fingerprints that share a key are compared. A pair is taken only from the first table in which it agrees. Any
+`spare` of at least 1 finds the same pairs; it is chosen from the number of distinct fingerprints, so that keys grow
+longer as these grow more and a key's chance partners stay few. Equal fingerprints are put together before, so that copies
+don't multiply the work.
+
+Result: (fingerprint_a, fingerprint_b, distance, doc_id_a, doc_id_b). A fingerprint stands for the rows that have it, its
+representative is their least id. Rows with fingerprint_a < fingerprint_b (as signed numbers) are the pairs of
+fingerprints within the radius, with their representatives; rows with equal fingerprints and distance 0 are the members:
+doc_id_b has the same fingerprint as its representative doc_id_a. No link is left out, and no list grows with the copies
+of a text.
+
+Defined results: null, empty and wordless texts have no fingerprint and no partners; a text of any length is read whole;
+rows with a null id are left out; a repeated row counts once, an id with several texts has the fingerprint of each; an
+empty table gives no rows; columns besides the two that are read don't matter, whatever their names.
 """
 
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import WordHashes, cut, slices, text_udf, words_of
 
 RADIUS = 3
-SPARE = 2
+#: Comparisons of two fingerprints that cost as much as one more row of a table.
+COMPARISONS = 8
 DF_BITS = 18
 #: Distinct words up to which sums of weights are exact in single precision.
 EXACT_TERMS = 16_000
@@ -97,7 +104,16 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(id_col, text_udf(make, "long")(F.col(text_col)).alias("fingerprint"))
 
 
-def block_masks(radius: int, spare: int = SPARE) -> list[int]:
+def spare_blocks(fingerprints: int, radius: int) -> int:
+    """The number of blocks in a key for which tables and chance partners together cost least."""
+
+    def cost(spare: int) -> float:
+        return comb(radius + spare, spare) * (1 + fingerprints / 2.0 ** (64 * spare // (radius + spare)) / COMPARISONS)
+
+    return min(range(2, 9), key=cost)
+
+
+def block_masks(radius: int, spare: int) -> list[int]:
     """Masks of radius + spare blocks that make up 64 bits, as signed numbers."""
     n = radius + spare
     edges = [64 * i // n for i in range(n + 1)]
@@ -105,7 +121,7 @@ def block_masks(radius: int, spare: int = SPARE) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def hamming_pairs(prints: DataFrame, column: str, radius: int = RADIUS, spare: int = SPARE) -> DataFrame:
+def hamming_pairs(prints: DataFrame, column: str, radius: int = RADIUS, spare: int = 2) -> DataFrame:
     """(fingerprint_a, fingerprint_b, distance) of all pairs of the distinct values of `column` within the radius."""
     if not 0 <= radius < 32 or spare < 1:
         raise ValueError("radius or spare")
@@ -135,12 +151,15 @@ def hamming_pairs(prints: DataFrame, column: str, radius: int = RADIUS, spare: i
     return near.select(F.col("a.__p").alias("fingerprint_a"), F.col("b.__p").alias("fingerprint_b"), F.bit_count(differ).cast("int").alias("distance"))
 
 
-def near_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, spare: int = SPARE) -> DataFrame:
-    """All pairs of rows within the radius, by pairs of fingerprints with lists of ids."""
-    prints = fingerprints(docs, id_col=id_col, text_col=text_col).where(F.col("fingerprint").isNotNull() & F.col(id_col).isNotNull())
-    groups = cut(prints.groupBy("fingerprint").agg(F.sort_array(F.collect_set(id_col)).alias("ids")))
-    pairs = hamming_pairs(groups.select("fingerprint"), "fingerprint", radius, spare)
-    a, b = groups.select(F.col("fingerprint").alias("fingerprint_a"), F.col("ids").alias("doc_ids_a")), groups.select(F.col("fingerprint").alias("fingerprint_b"), F.col("ids").alias("doc_ids_b"))
-    columns = ["fingerprint_a", "fingerprint_b", "distance", "doc_ids_a", "doc_ids_b"]
-    copies = groups.where(F.size("ids") > 1).select(F.col("fingerprint").alias("fingerprint_a"), F.col("fingerprint").alias("fingerprint_b"), F.lit(0).alias("distance"), F.col("ids").alias("doc_ids_a"), F.slice("ids", 1, 0).alias("doc_ids_b"))
-    return pairs.join(a, "fingerprint_a").join(b, "fingerprint_b").select(columns).unionByName(copies.select(columns))
+def near_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, spare: int | None = None) -> DataFrame:
+    """All fingerprints within the radius of each other, and the members of each that several rows have."""
+    found = fingerprints(docs, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("id"), "fingerprint")
+    prints = cut(found.where(F.col("fingerprint").isNotNull() & F.col("id").isNotNull()))
+    groups = cut(prints.groupBy("fingerprint").agg(F.min("id").alias("least"), F.max("id").alias("last")))
+    pairs = hamming_pairs(groups.select("fingerprint"), "fingerprint", radius, spare or spare_blocks(groups.count(), radius))
+    a, b = (groups.select(F.col("fingerprint").alias(f"fingerprint_{x}"), F.col("least").alias(f"doc_id_{x}")) for x in "ab")
+    columns = ["fingerprint_a", "fingerprint_b", "distance", "doc_id_a", "doc_id_b"]
+    copied = groups.where(F.col("least") != F.col("last")).select(F.col("fingerprint").alias("fingerprint_a"), F.col("least").alias("doc_id_a"))
+    held = prints.distinct().join(copied, F.col("fingerprint") == F.col("fingerprint_a")).where(F.col("id") != F.col("doc_id_a"))
+    members = held.select("fingerprint_a", F.col("fingerprint").alias("fingerprint_b"), F.lit(0).alias("distance"), "doc_id_a", F.col("id").alias("doc_id_b"))
+    return pairs.join(a, "fingerprint_a").join(b, "fingerprint_b").select(columns).unionByName(members)

@@ -208,7 +208,7 @@ def hamming(a, b):
     return ((a ^ b) & (2**64 - 1)).bit_count()
 
 
-@pytest.mark.parametrize(("radius", "spare"), [(0, 1), (1, 1), (3, 2), (6, 2)])
+@pytest.mark.parametrize(("radius", "spare"), [(0, 1), (1, 1), (3, 2), (3, 4), (6, 2)])
 def test_search_finds_all_pairs(spark, radius, spare):
     rng = random.Random(radius)
     values = set()
@@ -250,19 +250,32 @@ def test_near_fingerprints_hold_every_pair_once(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
     prints = {r.doc_id: r.fingerprint for r in P.fingerprints(docs).collect()}
     want = {(a, b) for a in prints for b in prints if a < b and hamming(prints[a], prints[b]) <= P.RADIUS}
-    got = []
-    for r in P.near_fingerprints(docs).collect():
-        if r.distance == 0:
-            got += [(a, b) for a in r.doc_ids_a for b in r.doc_ids_a if a < b]
-        else:
-            got += [tuple(sorted((a, b))) for a in r.doc_ids_a for b in r.doc_ids_b]
+    rows = P.near_fingerprints(docs).collect()
+    members = {p: [min(i for i in prints if prints[i] == p)] for p in prints.values()}
+    for r in rows:
+        if r.fingerprint_a == r.fingerprint_b:
+            assert (r.distance, r.doc_id_a, prints[r.doc_id_b]) == (0, members[r.fingerprint_a][0], r.fingerprint_a)
+            members[r.fingerprint_a].append(r.doc_id_b)
+    got = [(a, b) for ids in members.values() for a in ids for b in ids if a < b]
+    for r in rows:
+        if r.fingerprint_a != r.fingerprint_b:
+            assert (r.doc_id_a, r.doc_id_b) == (members[r.fingerprint_a][0], members[r.fingerprint_b][0])
+            got += [tuple(sorted((a, b))) for a in members[r.fingerprint_a] for b in members[r.fingerprint_b]]
     assert len(got) == len(set(got))
     assert set(got) == want
 
 
+def test_keys_grow_with_the_fingerprints():
+    kept = [P.spare_blocks(10**k, P.RADIUS) for k in (0, 5, 8, 10, 12)]
+    assert kept == sorted(kept)
+    assert kept[0] == 2
+    for k, spare in zip((5, 8, 10, 12), kept[1:], strict=True):
+        assert 10**k / 2 ** (64 * spare // (P.RADIUS + spare)) < 20
+
+
 def test_odd_rows_of_fingerprints(odd_docs, no_docs):
     rows = P.near_fingerprints(odd_docs).collect()
-    assert [(r.distance, list(r.doc_ids_a), list(r.doc_ids_b)) for r in rows] == [(0, [1, 2], [])]
+    assert [(r.distance, r.doc_id_a, r.doc_id_b) for r in rows] == [(0, 1, 2)]
     prints = {r.doc_id: r.fingerprint for r in P.fingerprints(odd_docs).collect()}
     assert prints[3] is prints[4] is prints[5] is prints[8] is None
     assert P.near_fingerprints(no_docs).count() == 0
