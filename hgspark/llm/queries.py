@@ -92,17 +92,13 @@ WITH RECURSIVE
   SELECT d.doc_id, d.source, d.n, q // s.n epochs, q % s.n rest,
          ('0x' || substr(md5('{mixing.SEED}|block|' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT % blocks AS block
   FROM docs d JOIN quotas s ON d.source IS NOT DISTINCT FROM s.source),
- passes AS (
-  SELECT source, block, epochs, rest, sum(n)::BIGINT total, unnest(range(0, epochs + 1)) epoch FROM placed GROUP BY source, block, epochs, rest),
- ranked AS (
-  SELECT *, row_number() OVER turn block_rank, sum(total) OVER turn - total AS ahead
-  FROM passes WINDOW turn AS (PARTITION BY source, epoch ORDER BY md5('{mixing.SEED}|' || epoch || '|' || coalesce(source, '') || '|' || block), block ROWS UNBOUNDED PRECEDING)),
- drawn AS (
-  SELECT p.doc_id, p.source, p.block, r.epoch, r.block_rank, r.epoch < p.epochs OR r.ahead + r.total <= p.rest AS whole, p.rest - r.ahead AS room,
-         sum(p.n) OVER (PARTITION BY p.source, r.epoch, p.block ORDER BY md5('{mixing.SEED}|' || r.epoch || '|' || coalesce(p.doc_id::VARCHAR, ''))) upto
-  FROM placed p JOIN ranked r ON p.source IS NOT DISTINCT FROM r.source AND p.block = r.block
-  WHERE r.epoch < p.epochs OR r.ahead + r.total <= p.rest OR r.ahead < p.rest)
-SELECT doc_id, source, epoch, block, block_rank FROM drawn WHERE whole OR upto <= room
+ passes AS (SELECT *, unnest(range(0, epochs + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) epoch FROM placed),
+ keyed AS (
+  SELECT *, ('0x' || substr(md5('{mixing.SEED}|' || epoch || '|' || coalesce(source, '') || '|' || block), 1, 15))::BIGINT block_order,
+         ('0x' || substr(md5('{mixing.SEED}|' || epoch || '|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT turn
+  FROM passes),
+ drawn AS (SELECT *, sum(n) OVER (PARTITION BY source, epoch ORDER BY block_order, turn RANGE UNBOUNDED PRECEDING) upto FROM keyed)
+SELECT doc_id, source, epoch, block, block_order FROM drawn WHERE epoch < epochs OR upto <= rest
 """
 
 _OP8 = f"""

@@ -3,7 +3,7 @@ import random
 import pytest
 from helpers import sentence
 
-CLASHING = ["shard", "epoch", "block", "block_rank", "vector", "node", "item_id", "fingerprint", "quality_probability", "keep", "toxicity", "is_toxic", "id", "entity", "start", "kept_doc_id", "group_size", "language", "token_ids", "n_windows", "SHARD_2", "bytes", "key"]
+CLASHING = ["shard", "epoch", "block", "block_order", "vector", "node", "item_id", "fingerprint", "quality_probability", "keep", "toxicity", "is_toxic", "id", "entity", "start", "kept_doc_id", "group_size", "language", "token_ids", "n_windows", "SHARD_2", "bytes", "key"]
 
 
 @pytest.fixture(scope="session")
