@@ -7,9 +7,14 @@ bytes between neighbouring probes, and the sums narrow the intervals, until each
 the tolerance (a share of a shard's bytes; 0: exact). The rounds read only a table of keys and sizes kept in the shared
 checkpoint folder, not the texts.
 
-Defined results: a null key comes first, in shard 0; rows with equal keys stay together whatever their size; null texts
-have 0 bytes; an empty table, or one without any byte, is one shard; a column of the table that has the shard column's
-name is replaced. Rows of a shard are one partition, sorted by key.
+Splitters are arrays of numbers on the driver, about 40 bytes a shard. Rows of a shard are one partition, sorted by key;
+above MOST_PARTITIONS shards a partition holds several, one after the other.
+
+Defined results: the key has to be of an integer type, any other is a TypeError; a null key comes first, in shard 0, where
+its bytes may fill further shards that stay empty; rows with equal keys (ties, repeated rows) stay together whatever their
+size; null texts have 0 bytes, a text of any length counts whole and is never cut; an empty table, or one without any
+byte, is one shard; other columns are kept whatever their names, but a column that has the shard column's name is
+replaced.
 """
 
 from collections.abc import Iterator
@@ -18,12 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 
 SHARD_BYTES = 32 << 20
 MIN_SHARDS = 16
 PROBES = 16
+#: Probes of a round (8 bytes each, broadcast) and partitions of the exchange, whatever the number of shards.
+MOST_PROBES = 1 << 20
+MOST_PARTITIONS = 50_000
 
 
 def _histogram(sizes: DataFrame, probes: np.ndarray) -> np.ndarray:
@@ -45,8 +54,9 @@ def _histogram(sizes: DataFrame, probes: np.ndarray) -> np.ndarray:
     return np.cumsum(sums)[:-1]
 
 
-def find_splitters(sizes: DataFrame, n_shards: int | None = None, *, shard_bytes: int = SHARD_BYTES, min_shards: int = MIN_SHARDS, tolerance: float = 0.0, probes: int = PROBES) -> np.ndarray:
-    """Splitters for rows (key, bytes), both long; `sizes` is read once a round."""
+def find_splitters(sizes: DataFrame, n_shards: int | None = None, *, shard_bytes: int = SHARD_BYTES, min_shards: int = MIN_SHARDS, tolerance: float = 0.0, probes: int = PROBES, most_probes: int = MOST_PROBES) -> np.ndarray:
+    """Splitters for rows (key, bytes), both long; `sizes` is read once a round. A round has at most `most_probes` probes,
+    or one an open interval where there are more of these."""
     key, size = sizes.columns
     low, high, total, null_bytes = sizes.agg(F.min(key), F.max(key), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col(size))), F.lit(0))).first()
     n = n_shards or max(min_shards, -(-total // shard_bytes))
@@ -54,27 +64,33 @@ def find_splitters(sizes: DataFrame, n_shards: int | None = None, *, shard_bytes
         return np.empty(0, dtype=np.int64)
     keyed = sizes.where(F.col(key).isNotNull())
     target = np.array([-(-i * total // n) for i in range(1, n)], dtype=np.int64) - null_bytes
-    # below(lo) < target <= below(hi); Python's integers, as hi - lo may pass 63 bits
-    lo, hi = [int(low) - 1] * (n - 1), [int(high)] * (n - 1)
-    excess = np.full(n - 1, total, dtype=np.int64)
-    allowed = tolerance * total / n
+    # a splitter lies in lo .. hi, as unsigned distances from the lowest key, which hold any range of 64-bit keys
+    base = np.int64(low).astype(np.uint64)
+    lo, hi = np.zeros(n - 1, dtype=np.uint64), np.full(n - 1, high - low, dtype=np.uint64)
+    excess, allowed = total - null_bytes - target, tolerance * total / n
     while True:
-        left = [i for i in range(n - 1) if hi[i] - lo[i] > 1 and excess[i] > allowed]
-        if not left:
-            return np.array(hi, dtype=np.int64)
-        wanted = {lo[i] + (hi[i] - lo[i]) * j // (probes + 1) for i in left for j in range(1, probes + 1)} | {hi[i] for i in left if excess[i] == total}
-        at = np.array(sorted(p for p in wanted if int(low) <= p <= int(high)), dtype=np.int64)
-        below = _histogram(keyed, at)
-        for i in left:
-            reach = int(np.searchsorted(below, target[i], "left"))  # the first probe that has enough below
-            if reach < len(at) and at[reach] <= hi[i]:
-                hi[i], excess[i] = int(at[reach]), below[reach] - target[i]
-            if reach and at[reach - 1] > lo[i]:
-                lo[i] = int(at[reach - 1])
-
-
-def shard_by_bytes(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard", n_shards: int | None = None, shard_bytes: int = SHARD_BYTES, min_shards: int = MIN_SHARDS, tolerance: float = 0.0, probes: int = PROBES) -> DataFrame:
+        left = np.flatnonzero((hi > lo) & (excess > allowed) & (target > 0))
+        if not len(left):
+            break
+        k = np.uint64(min(probes, max(1, most_probes // len(left))))
+        step, rest = np.divmod(hi[left] - lo[left], k + np.uint64(1))
+        at = np.unique(np.concatenate([lo[left] + step * j + rest * j // (k + np.uint64(1)) for j in range(1, int(k) + 1)]))
+        below = _histogram(keyed, (at + base).view(np.int64))
+        reach = np.searchsorted(below, target[left], "left")  # the first probe that has enough below
+        inside = left[(reach < len(at)) & (at[np.minimum(reach, len(at) - 1)] <= hi[left])]
+        first = np.searchsorted(below, target[inside], "left")
+        hi[inside], excess[inside] = at[first], below[first] - target[inside]
+        some = reach > 0
+        lo[left[some]] = np.maximum(lo[left[some]], at[reach[some] - 1] + np.uint64(1))
+    found = (hi + base).view(np.int64)
+    found[target <= 0] = max(low - 1, -(1 << 63))  # rows without a key fill these shards
+    return found
+
+
+def shard_by_bytes(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard", n_shards: int | None = None, shard_bytes: int = SHARD_BYTES, min_shards: int = MIN_SHARDS, tolerance: float = 0.0, probes: int = PROBES, most_partitions: int = MOST_PARTITIONS) -> DataFrame:
     """All rows and columns with their shard; one exchange, after which partition i is shard i sorted by key."""
+    if not isinstance(docs.schema[key_col].dataType, T.IntegralType):
+        raise TypeError(f"the key {key_col} has to be of an integer type, not {docs.schema[key_col].dataType.simpleString()}")
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     sizes = cut(docs.select(F.col(key_col).cast("long").alias("key"), size.alias("bytes")))
     splitters = find_splitters(sizes, n_shards, shard_bytes=shard_bytes, min_shards=min_shards, tolerance=tolerance, probes=probes)
@@ -86,4 +102,6 @@ def shard_by_bytes(docs: DataFrame, *, key_col: str = "doc_id", text_col: str =
 
     key = F.coalesce(F.col(key_col).cast("long"), F.lit(-(1 << 63)))
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != shard_col.lower()], place(key).alias(shard_col))
-    return kept.repartitionById(len(splitters) + 1, F.col(shard_col)).sortWithinPartitions(key_col)
+    together = -(-(len(splitters) + 1) // most_partitions)
+    parts = -(-(len(splitters) + 1) // together)
+    return kept.repartitionById(parts, F.floor(F.col(shard_col) / together).cast("int")).sortWithinPartitions(key_col)

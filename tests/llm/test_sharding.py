@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from hgspark.llm import sharding as S
 
@@ -57,3 +58,33 @@ def test_nothing_to_shard(spark, no_docs):
     assert S.shard_by_bytes(no_docs).count() == 0
     empty = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")
     assert {r.shard for r in S.shard_by_bytes(empty).collect()} == {0}
+
+
+def test_few_probes_a_round_find_the_same(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(-(2**11), 2**11), rng.randrange(90)) for _ in range(120)]
+    df = spark.createDataFrame(rows, "k long, b long")
+    assert (S.find_splitters(df, 9, most_probes=1) == S.find_splitters(df, 9)).all()
+
+
+def test_bytes_without_a_key_come_first(spark):
+    rows = [(None, 500), (1, 10), (2, 90), (3, 400)]
+    s = S.find_splitters(spark.createDataFrame(rows, "k long, b long"), 10)
+    assert {k: 0 if k is None else int(np.searchsorted(s, k, "left")) for k, _ in rows} == expected(rows, 10)
+
+
+def test_partitions_may_hold_several_shards(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i % 50, "x" * (i % 7)) for i in range(200)], "doc_id long, text string")
+    one, few = (S.shard_by_bytes(df, n_shards=11, most_partitions=m) for m in (50, 4))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, few.collect()))
+    rows = few.select("doc_id", "shard", F.spark_partition_id().alias("p")).collect()
+    assert all(r.p == r.shard // 3 for r in rows)
+    for p in range(4):
+        assert [r.doc_id for r in rows if r.p == p] == sorted(r.doc_id for r in rows if r.p == p)
+
+
+def test_keys_of_other_types_are_refused(spark):
+    with pytest.raises(TypeError, match="integer"):
+        S.shard_by_bytes(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
