@@ -9,9 +9,14 @@ Piece probabilities of each language come from expectation maximisation (forward
 sample of rows with a language label: ROWS_PER_LANGUAGE a language, those with the smallest hash of their id. The
 vocabulary is never trained. Tasks score a word once while it stays in a bounded cache.
 
-Defined results: null, empty and blank texts get a null language and score; equal scores go to the first language in
-alphabetical order; a row whose label is null is scored like any other but isn't learned from; without any label every
-language is null.
+Words of up to SHORT characters are scored side by side with others of their length, longer ones (text without blanks) in
+windows of SHORT characters, whose effects on the sums are found side by side too and then applied one after the other.
+
+Defined results: null, empty and blank texts get a null language and score; a text, and a word in it, of any length is
+scored whole; equal scores (ties) go to the first language in alphabetical order; a repeated row is scored like the first
+and learned from once; a row whose label is null is scored like any other but isn't learned from, nor is one without id;
+without any label every language is null; an empty table gives no rows; columns besides those that are read don't matter,
+whatever their names.
 """
 
 from collections import Counter
@@ -33,6 +38,12 @@ SEED = 5
 MARK = "▁"
 SHORT = 32
 _SLOTS = 19
+_WINDOWS = 1024
+#: A code that no character has.
+_NO_CODE = np.uint64(1 << 31)
+#: In windows every character's chance is multiplied by this, halfway between a frequent and an unknown one, so that products
+#: over SHORT and a piece's characters stay within double precision either way.
+_LIFT = 5e4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _CACHE = 300_000
 
@@ -175,16 +186,14 @@ def _codes(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), -1).astype(np.uint64)
 
 
-def totals_of_length(words: list[str], table: PieceTable, p: np.ndarray) -> np.ndarray:
-    """Log sums over all cuts of words that have one length of at most SHORT characters, so that a product of their
-    pieces' probabilities p (pieces, and a row of zeros, x languages) can't vanish."""
-    codes = _codes(words)
-    n = codes.shape[1]
-    ahead = np.zeros((n + 1, len(words), p.shape[1]))
+def _ahead(codes: np.ndarray, table: PieceTable, p: np.ndarray) -> np.ndarray:
+    """Sums over all cuts of the beginnings of words of one length: places x words x languages."""
+    n, words = codes.shape[1], len(codes)
+    ahead = np.zeros((n + 1, words, p.shape[1]))
     ahead[0] = 1
-    running = [np.full(len(words), table.seed, dtype=np.uint64) for _ in range(n)]
+    running = [np.full(words, table.seed, dtype=np.uint64) for _ in range(n)]
     found: list[list[np.ndarray | None]] = [[None] * (n + 1) for _ in range(n)]
-    single = np.zeros((n, len(words)), dtype=bool)
+    single = np.zeros((n, words), dtype=bool)
     for start in range(n):
         h = running[start]
         for size in range(1, min(table.longest, n - start) + 1):
@@ -206,7 +215,78 @@ def totals_of_length(words: list[str], table: PieceTable, p: np.ndarray) -> np.n
             else:
                 some = np.flatnonzero(ids != table.none)
                 ahead[stop][some] += ahead[start][some] * p[ids[some]]
-    return np.log(ahead[n])
+    return ahead
+
+
+def totals_of_length(words: list[str], table: PieceTable, p: np.ndarray) -> np.ndarray:
+    """Log sums over all cuts of words that have one length of at most SHORT characters, so that a product of their
+    pieces' probabilities p (pieces, and a row of zeros, x languages) can't vanish."""
+    return np.log(_ahead(_codes(words), table, p)[-1])
+
+
+def _transfers(codes: np.ndarray, table: PieceTable, p: np.ndarray) -> np.ndarray:
+    """What windows of SHORT characters do to (lifted) sums: windows x languages x (places at the end, places at the start). A
+    window's sums hang on those of the last `longest` places before it; its codes begin with the longest - 1 characters
+    before it, as pieces may lie across its start."""
+    reach, windows = table.longest, len(codes)
+    out = np.zeros((reach + SHORT, reach, windows, p.shape[1]))
+    for s in range(reach):
+        out[s, s] = 1
+    ends: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(reach + SHORT)]
+    for start in range(reach + SHORT - 1):
+        h = np.full(windows, table.seed, dtype=np.uint64)
+        for size in range(1, min(reach, reach + SHORT - 1 - start) + 1):
+            h = (h ^ codes[:, start + size - 1]) * _STEP
+            h ^= h >> np.uint64(29)
+            if start + size >= reach:
+                ids = table.find(h)
+                known = ids != table.none
+                if size == 1:
+                    ends[start + 1].append((start, np.arange(windows), _LIFT * np.where(known[:, None], p[ids], FLOOR)))
+                elif known.any():
+                    some = np.flatnonzero(known)
+                    ends[start + size].append((start, some, _LIFT**size * p[ids[some]]))
+    for stop in range(reach, reach + SHORT):
+        for start, some, chance in ends[stop]:
+            if start < reach:
+                out[stop, start, some] += chance
+            elif len(some) == windows:
+                out[stop] += out[start] * chance
+            else:
+                out[stop][:, some] += out[start][:, some] * chance
+    return out[SHORT:].transpose(2, 3, 0, 1)
+
+
+def totals_of_long(words: list[str], table: PieceTable, p: np.ndarray) -> np.ndarray:
+    """The same for words of any lengths above SHORT: a head of at most SHORT characters, then windows of SHORT. All
+    windows' transfers are found side by side, then a word's sums are carried through them, scaled at every step."""
+    reach, languages = table.longest, p.shape[1]
+    heads = np.array([(len(w) - 1) % SHORT + 1 for w in words])
+    state, log = np.zeros((len(words), languages, reach)), np.zeros((len(words), languages))
+    for head in np.unique(heads).tolist():
+        where = np.flatnonzero(heads == head)
+        last = _ahead(_codes([words[k][:head] for k in where]), table, p)[-reach:]
+        lifted = last * _LIFT ** np.arange(head + 1 - len(last), head + 1.0)[:, None, None]
+        state[where, :, reach - len(last) :] = lifted.transpose(1, 2, 0)
+    codes, owner, turn = [], [], []
+    for k, w in enumerate(words):
+        padded = np.concatenate([np.full(reach - 1, _NO_CODE), _codes([w])[0]])
+        starts = np.arange(heads[k], len(w), SHORT)
+        codes.append(padded[starts[:, None] + np.arange(reach - 1 + SHORT)])
+        owner.append(np.full(len(starts), k))
+        turn.append(np.arange(len(starts)))
+    codes, owner, turn = np.concatenate(codes), np.concatenate(owner), np.concatenate(turn)
+    order = np.argsort(turn, kind="stable")  # all words' first windows, then their second ones
+    for a in range(0, len(order), _WINDOWS):
+        part = order[a : a + _WINDOWS]
+        moved = _transfers(codes[part], table, p)
+        cuts = np.flatnonzero(np.diff(turn[part])) + 1
+        for own, step in zip(np.split(owner[part], cuts), np.split(moved, cuts), strict=True):
+            now = (step @ state[own][..., None])[..., 0]
+            top = now.max(axis=2, keepdims=True)
+            state[own] = now / top
+            log[own] += np.log(top[..., 0])
+    return log + np.log(state[:, :, -1]) - np.array([len(w) for w in words])[:, None] * np.log(_LIFT)
 
 
 class Scorer:
@@ -214,14 +294,13 @@ class Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.number, self.longest = {p: i for i, p in enumerate(model.pieces)}, max(map(len, model.pieces), default=1)
         self.pieces = PieceTable(model.pieces)
         self.p = np.exp(model.logp)
         self.p[-1] = 0
         self.clear()
 
     def totals(self, words: list[str]) -> np.ndarray:
-        """Log sums over all cuts of words: arithmetic on probabilities for short ones, on logarithms for others."""
+        """Log sums over all cuts of words, in time that grows with their characters."""
         out = np.empty((len(words), len(self.model.languages)))
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
@@ -230,7 +309,7 @@ class Scorer:
             part = [words[k] for k in where]
             for a in range(0, len(part), 8192):
                 few = part[a : a + 8192]
-                out[where[a : a + 8192]] = totals_of_length(few, self.pieces, self.p) if length else Lattices(few, self.number, self.longest).totals(self.model.logp)
+                out[where[a : a + 8192]] = (totals_of_length if length else totals_of_long)(few, self.pieces, self.p)
         return out
 
     def clear(self) -> None:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -197,13 +198,33 @@ def brute(word, logp, number, longest):
 def test_forward_sums_all_cuts():
     m = L.LanguageModel.train({k: [v] for k, v in SAMPLES.items()}, L.load_pieces(L.VOCABULARY))
     s = L.Scorer(m)
+    number, longest = {p: i for i, p in enumerate(m.pieces)}, max(map(len, m.pieces))
     for w in ("the", "springt", "x", "日本", "zzz\U0001f600qu", "renard"):
-        want = brute(L.MARK + w, m.logp, s.number, s.longest)
+        want = brute(L.MARK + w, m.logp, number, longest)
         assert s.totals([L.MARK + w])[0] == pytest.approx(want, rel=1e-9)
-        assert L.Lattices([L.MARK + w], s.number, s.longest).totals(m.logp)[0] == pytest.approx(want, rel=1e-9)
+        assert L.Lattices([L.MARK + w], number, longest).totals(m.logp)[0] == pytest.approx(want, rel=1e-9)
     assert np.isfinite(s.totals(["日" * 3000, "a" * L.SHORT, "\U0001f600" * L.SHORT])).all()
 
 
+def test_long_words_in_windows_match_logarithms():
+    m = L.LanguageModel.train({k: [v] for k, v in SAMPLES.items()}, L.load_pieces(L.VOCABULARY))
+    s, rng = L.Scorer(m), random.Random(6)
+    number, longest = {p: i for i, p in enumerate(m.pieces)}, max(map(len, m.pieces))
+    glued = "".join(" ".join(SAMPLES.values()).split())
+    words = ["".join(rng.choices(letters, k=n)) for n in (33, 34, 63, 64, 65, 96, 97, 150, 333) for letters in (glued, "日本語\U0001f600\x00a", "the")]
+    words += [glued, glued * 7, "\U0001f600" * 100, "a" * 129, "short"]
+    assert s.totals(words) == pytest.approx(L.Lattices(words, number, longest).totals(m.logp), rel=1e-9)
+
+
+def test_text_without_blanks_takes_time_in_proportion():
+    m = L.LanguageModel.train({k: [v] for k, v in SAMPLES.items()}, L.load_pieces(L.VOCABULARY))
+    s = L.Scorer(m)
+    began = time.perf_counter()
+    scores, words = s(["".join(random.Random(1).choices("".join(SAMPLES.values()).replace(" ", ""), k=400_000))])
+    assert np.isfinite(scores).all()
+    assert time.perf_counter() - began < 20
+
+
 def test_training_raises_likelihood():
     pieces = L.load_pieces(L.VOCABULARY)
     scores = []
