@@ -9,8 +9,10 @@ that prefix's end, else m - B + 1. Buckets: test strings by the hash of the bloc
 into lanes that advance together, each by the shift of its block; where the shift is 0, the bucket's strings whose first
 bytes agree are compared directly.
 
-Defined results: null, empty and wordless texts and items match nothing; a document row that is repeated counts once;
-items with equal text are all reported; a null id stays null in the result.
+Defined results: null, empty and wordless texts and items match nothing; a text of any length is searched whole; a document
+row that is repeated counts once; items with equal text are all reported; ties can't arise, as every match is reported; a
+null id stays null in the result; an empty table of documents or items gives no rows; columns besides those that are read
+don't matter, whatever their names.
 """
 
 from collections.abc import Iterator

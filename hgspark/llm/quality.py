@@ -9,8 +9,11 @@ smallest hash of their id, each with its whole text). As the output is linear in
 bucket and class: a task adds up numbers of words it has seen from a bounded cache.
 
 Defined results: a null, empty or blank text has no features and gets the trained bias alone; it is never kept by
-`keep_good` (there is nothing in it to keep). Labels that are null are left out; an id labelled repeatedly counts by its
-largest label. Without two classes in the sample there is no model: every text with a word gets probability 1.
+`keep_good` (there is nothing in it to keep); a text of any length is read whole. Labels that are null are left out; an id
+labelled repeatedly counts by its largest label. Without two classes in the sample there is no model: every text with a
+word gets probability 1. A probability equal to the threshold is kept; repeated rows are scored alike and all stay or go;
+an empty table gives no rows; columns besides those that are read don't matter, whatever their names, and `keep_good` keeps
+them all.
 """
 
 import zlib

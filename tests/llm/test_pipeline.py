@@ -75,7 +75,7 @@ def test_stages_take_odd_rows(spark, odd_docs, odd_rows, no_docs, tmp_path):
     spark.createDataFrame([(1, 1, 0), (20, 0, 1), (6, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, odd_rows[-1][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     plain = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
-    for docs in (plain, plain.limit(0)):
+    for docs in (plain, plain.limit(0), odd_docs):
         for name, stage in C.STAGES:
             out = stage(spark, docs, str(tmp_path))
             if name != "token_output":
