@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame; run() writes each stage's rows as Parquet in the shared
 checkpoint folder and reads them as the next stage's docs. All but the last give the columns of documents.
+
+Defined results: texts without a word (null, empty, blank) go with the quality stage, texts of any length are used whole;
+rows with a null id or source stay as their texts deserve, only near copies need an id to be told; of rows with equal id
+and text one stays; ties are settled as each stage's module says; an empty table gives no shards; columns besides those of
+documents are kept up to the last stage, whatever their names.
 """
 
 import uuid
@@ -25,7 +30,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.mix_sources(docs, added=False)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
