@@ -36,24 +36,26 @@ def _with_provenance(edges: DataFrame, metadata: DataFrame | None) -> DataFrame:
     return edges.join(first, "edge_id", "left")
 
 
-def path_sentences(graph: Hypergraph, paths: DataFrame, metadata: DataFrame | None = None, labels: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, sentence): one for each step of each path, from the first edge that holds both nodes; each once, in no order.
-    An edge with provenance is told from its source to its target, any other from the step's first node to its second."""
+def path_sentences(graph: Hypergraph, paths: DataFrame, metadata: DataFrame | None = None, labels: bool = True, by: tuple[str, ...] = (), ordered: bool = True) -> DataFrame:
+    """(*by, sentence): one for each step of each path, from the first edge that holds both nodes; each once, sorted
+    if `ordered` (a sort over all: leave it out where more follows). An edge with provenance is told from its source to its target, any other from the step's first node to its second."""
     steps = path_steps(paths, by)
     edges = _with_provenance(step_edges(graph, steps), metadata)
     plain = F.concat(F.col("u"), F.lit(" "), F.coalesce(_relation(labels), F.lit("is related to")), F.lit(" "), F.col("v"), F.lit("."))
     told = edges.select("u", "v", F.when(F.col("__s").isNotNull(), _directed(F.col("__s"), F.col("__t"), _relation(labels))).otherwise(plain).alias("sentence"))
-    return steps.join(told, ["u", "v"]).select(*by, "sentence").distinct()
+    found = steps.join(told, ["u", "v"]).select(*by, "sentence").distinct()
+    return found.orderBy(*by, "sentence") if ordered else found
 
 
-def graph_sentences(graph: Hypergraph, metadata: DataFrame | None = None, labels: bool = True) -> DataFrame:
-    """(edge_id, sentence) of every edge, in no order; equal sentences of different edges stay."""
+def graph_sentences(graph: Hypergraph, metadata: DataFrame | None = None, labels: bool = True, ordered: bool = True) -> DataFrame:
+    """(edge_id, sentence) of every edge, sorted by sentence if `ordered`; equal sentences of different edges stay."""
     edges = _with_provenance(graph.edges(), metadata)
     told = F.when(F.col("__s").isNotNull(), _directed(F.col("__s"), F.col("__t"), _relation(labels))).otherwise(_undirected(F.col("nodes"), _relation(labels)))
-    return edges.select("edge_id", told.alias("sentence"))
+    found = edges.select("edge_id", told.alias("sentence"))
+    return found.orderBy("sentence", "edge_id") if ordered else found
 
 
-def direct_sentences(graph: Hypergraph, nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def direct_sentences(graph: Hypergraph, nodes: DataFrame, by: tuple[str, ...] = (), ordered: bool = True) -> DataFrame:
     """(*by, sentence): for each of `nodes` (*by, node) what its first five edges say of it; no full stop. Edges that hold
     nothing else count towards the five and say nothing."""
     asked = nodes.select(*by, "node").distinct()
@@ -62,7 +64,8 @@ def direct_sentences(graph: Hypergraph, nodes: DataFrame, by: tuple[str, ...] =
     others = own.join(pairs.select("edge_id", F.col("node").alias("other")), "edge_id").where(F.col("other") != F.col("node"))
     held = others.groupBy("node", "edge_id").agg(F.array_join(F.sort_array(F.collect_list("other")), ", ").alias("others"))
     told = held.select("node", F.concat("node", F.lit(" "), F.coalesce(short_relation_of_edge(F.col("edge_id")), F.lit("is related to")), F.lit(" "), "others").alias("sentence"))
-    return asked.join(told, "node").select(*by, "sentence").distinct()
+    found = asked.join(told, "node").select(*by, "sentence").distinct()
+    return found.orderBy(*by, "sentence") if ordered else found
 
 
 def first_sentences(sentences: DataFrame, most: int = MAX_SENTENCES, by: tuple[str, ...] = ()) -> DataFrame:
@@ -105,5 +108,5 @@ def format_context(sentences: list[str], max_tokens: int = CONTEXT_TOKENS, heade
 
 
 def collect_and_format(graph: Hypergraph, paths: DataFrame, metadata: DataFrame | None = None, max_tokens: int = CONTEXT_TOKENS, most: int = MAX_SENTENCES) -> str:
-    found = first_sentences(path_sentences(graph, paths, metadata), most).collect()
+    found = first_sentences(path_sentences(graph, paths, metadata, ordered=False), most).collect()
     return format_context([r.sentence for r in found], max_tokens)

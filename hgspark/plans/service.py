@@ -53,7 +53,7 @@ class GraphRAG:
         found = cut(shortest_paths(self.graph, table, most)) if len(nodes) > 1 else None
         paths = [list(r.path) for r in found.orderBy(F.size("path"), "path").collect()] if found is not None else []
         told = path_sentences(self.graph, found, self.metadata) if paths else direct_sentences(self.graph, table)
-        sentences = [r.sentence for r in told.orderBy("sentence").collect()]
+        sentences = [r.sentence for r in told.collect()]
         return RAGContext(query, keywords, nodes, paths, sentences, format_context(sentences, max_tokens))
 
     def retrieve_context(self, query: str, top_k: int = TOP_K, max_path_length: int = PATH_NODES, threshold: float = MATCH_THRESHOLD, max_tokens: int = CONTEXT_TOKENS) -> RAGContext:
@@ -88,6 +88,6 @@ def contexts_simple(graph: Hypergraph, embeddings: DataFrame, questions: DataFra
     found = cut(best_per_node(find_matches(asked, embeddings, embedder), ("query_id",)))
     nodes = found.select("query_id", "node", F.struct((-F.col("similarity")).alias("s"), "node").alias("position"))
     paths = cut(shortest_paths(graph, nodes, max_path_length, ("query_id",)))
-    told = path_sentences(graph, paths, metadata, by=("query_id",))
+    told = path_sentences(graph, paths, metadata, by=("query_id",), ordered=False)
     lonely = nodes.join(paths.select("query_id").distinct(), "query_id", "left_anti")
-    return format_contexts(told.unionByName(direct_sentences(graph, lonely, ("query_id",))), max_tokens, by=("query_id",))
+    return format_contexts(told.unionByName(direct_sentences(graph, lonely, ("query_id",), ordered=False)), max_tokens, by=("query_id",))

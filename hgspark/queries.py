@@ -743,18 +743,18 @@ def path_subgraph(spark, d):
 
 @_register(f"{_BFS} SELECT DISTINCT u || ' ' || e || ' ' || v || '.' AS sentence FROM steps JOIN (SELECT u, v, min(edge_id) e FROM held GROUP BY u, v) USING (u, v)")
 def ctx_sentences(spark, d):
-    return X.path_sentences(*_paths(spark, d))
+    return X.path_sentences(*_paths(spark, d), ordered=False)
 
 
 @_register(f"SELECT edge AS edge_id, c_name || ' ordered with ' || array_to_string(parts, ', ') || '.' AS sentence FROM {_EVT}")
 def ctx_graph_sentences(spark, d):
     graph, metadata = E.to_hypergraph(order_events(spark, d))
-    return X.graph_sentences(graph, metadata)
+    return X.graph_sentences(graph, metadata, ordered=False)
 
 
 @_register(f"SELECT edge_id, CASE WHEN len(n) = 1 THEN n[1] || '.' WHEN len(n) = 2 THEN n[1] || ' is connected to ' || n[2] || '.' ELSE array_to_string(n, ', ') || ' are connected.' END AS sentence FROM (SELECT edge_id, list_sort(list(node)) n FROM {_INC} GROUP BY edge_id)")
 def ctx_unlabelled_sentences(spark, d):
-    return X.graph_sentences(order_parts(spark, d), labels=False)
+    return X.graph_sentences(order_parts(spark, d), labels=False, ordered=False)
 
 
 _DIRECT = f"(SELECT a.node, a.node || ' ordered with ' || string_agg(b.node, ', ' ORDER BY b.node) AS sentence FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY edge_id) k FROM (SELECT edge edge_id, unnest(list_append(parts, c_name)) node FROM {_EVT})) a JOIN (SELECT edge edge_id, unnest(list_append(parts, c_name)) node FROM {_EVT}) b ON a.edge_id = b.edge_id AND a.node <> b.node WHERE k <= 5 GROUP BY a.node, a.edge_id)"
@@ -764,7 +764,7 @@ _DIRECT = f"(SELECT a.node, a.node || ' ordered with ' || string_agg(b.node, ',
 def ctx_direct(spark, d):
     graph = E.to_hypergraph(order_events(spark, d))[0]
     nodes = graph.nodes().select("node", F.col("node").alias("about"))
-    return X.direct_sentences(graph, nodes, ("about",)).select(F.col("about").alias("node"), "sentence")
+    return X.direct_sentences(graph, nodes, ("about",), ordered=False).select(F.col("about").alias("node"), "sentence")
 
 
 _BUDGET = 60
