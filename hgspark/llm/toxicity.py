@@ -26,9 +26,9 @@ don't matter, whatever their names.
 """
 
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +65,7 @@ BUCKETS = 1 << 18
 THRESHOLD = 0.5
 SEED = 11
 _CACHE = 300_000
+_RUN = 1 << 17
 _THREATS = (b"kill yourself", b"go die", b"shut up", b"i will kill", b"i will hurt", b"hate you", b"drop dead", b"get lost")
 _THREAT_WORDS = frozenset({b"kill", b"die", b"shut", b"hate", b"drop", b"hurt", b"lost"})
 _YOU = frozenset({b"you", b"your", b"youre"})
@@ -88,28 +89,49 @@ class _Corpus:
     def __init__(self, texts: list[str]):
         number: dict[bytes, int] = defaultdict()
         number.default_factory = number.__len__
-        parts = [np.fromiter(map(number.__getitem__, (b"", *words_of(t), b"")), dtype=np.int32) for t in texts]
-        self.sizes = np.array([len(x) for x in parts], dtype=np.int64)
-        self.flat = np.concatenate([*parts, np.empty(0, np.int32)])
+        flat, ends = array("i"), [0]
+        for t in texts:
+            flat.extend(map(number.__getitem__, (b"", *words_of(t), b"")))
+            ends.append(len(flat))
+        self.sizes = np.diff(ends)
+        self.flat = np.array(flat, dtype=np.int32)
+        del flat
         self.words = list(number)
-        h = np.fromiter((xxh3_64_intdigest(w, SEED) for w in self.words), dtype=np.uint64, count=len(self.words))[self.flat]
-        self.new = np.zeros(len(h), dtype=bool)
-        if len(h):
-            place = mix64(mix64(mix64(h[:-2]) + h[1:-1]) + h[2:])
-            self.new[1 + np.unique(place, return_index=True)[1]] = True
+        self.new = self._first(np.fromiter((xxh3_64_intdigest(w, SEED) for w in self.words), dtype=np.uint64, count=len(self.words)))
         self.new[self.flat == number[b""]] = False  # the ends of texts
+        number.default_factory = None  # else it would refer to itself and stay
+
+    def _first(self, hashes: np.ndarray) -> np.ndarray:
+        """Which words stand in a place for the first time. Places are hashed run by run and compared part by part of their
+        hashes, so that beside them hardly anything is held for all words at once."""
+        new = np.zeros(len(self.flat), dtype=bool)
+        place = np.empty(max(0, len(new) - 2), dtype=np.uint64)
+        part = np.empty(len(place), dtype=np.uint8)
+        for a in range(0, len(place), _RUN):
+            h = hashes[self.flat[a : a + _RUN + 2]]
+            run = place[a : a + _RUN] = mix64(mix64(mix64(h[:-2]) + h[1:-1]) + h[2:])
+            part[a : a + _RUN] = run >> np.uint64(64 - 5)
+        for k in range(1 << 5):
+            some = np.flatnonzero(part == k)
+            new[1 + some[np.unique(place[some], return_index=True)[1]]] = True
+        return new
 
     def terms(self, terms: Callable[[bytes], tuple], new: bool, extra: list[set] | None = None) -> tuple[list, Iterator[tuple[np.ndarray, np.ndarray]]]:
         """All terms, and runs of texts as distinct (text, term number) pairs, of words in new places only if `new`; `extra`
         has further words by text."""
         number: dict = defaultdict()
         number.default_factory = number.__len__
-        held = [[number[t] for t in set(terms(w))] if w else [] for w in self.words]
+        held, ends = array("q"), array("q", [0])
+        for w in self.words:
+            if w:
+                held.extend(number[t] for t in set(terms(w)))
+            ends.append(len(held))
         more = [sorted({number[t] for w in x for t in terms(w)}) for x in extra] if extra else None
-        count = np.array([len(x) for x in held], dtype=np.int64)
-        start = np.cumsum(count) - count
-        flat = np.fromiter((t for x in held for t in x), dtype=np.int64, count=int(count.sum()))
+        start, count = np.array(ends[:-1], dtype=np.int64), np.diff(ends)
+        flat = np.array(held, dtype=np.int64)
         names = list(number)
+        number.default_factory = None
+        del held, number
 
         def runs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             ends = np.cumsum(self.sizes)
@@ -317,7 +339,6 @@ class LabelModel:
         return [c for k in range(len(VOTERS)) if (c := [i for i in range(len(VOTERS)) if top(i) == k])]
 
 
-@lru_cache(maxsize=200_000)
 def _buckets(word: bytes) -> tuple[int, ...]:
     return tuple(xxh3_64_intdigest(t, SEED) % BUCKETS for t in terms_of(word))
 
@@ -428,7 +449,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).where("__id is not null and __y is not null").groupBy("__id").agg((F.max("__y") > 0).cast("int").alias("__y"))
     sample = bounded_sample(known.where("__y = 1"), "__id", sample_rows, seed).unionByName(bounded_sample(known.where("__y = 0"), "__id", sample_rows, seed))
     rows = _texts_of(docs, sample, id_col, text_col)
-    texts, gold = rows["__t"].to_pylist(), rows["__y"].to_pylist()
+    texts, gold, taken = rows["__t"].to_pylist(), rows["__y"].to_pylist(), set(rows["__id"].to_pylist())
+    del rows
     induced = induce_lexicon(texts, gold) if len(set(gold)) == 2 else []
     shared = spark.sparkContext.broadcast(induced)
 
@@ -445,7 +467,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     masks, where = np.unique(v, return_inverse=True)
     model = LabelModel(masks, np.bincount(where, votes["count"].to_numpy()))
     likely = np.array([model.by_mask[m] for m in masks.tolist()])[where] >= 0.5
-    taken, picked = set(rows["__id"].to_pylist()), votes["__id"].to_pylist()
+    picked = votes["__id"].to_pylist()
     # `picked` is sorted by a hash of its own, as the rows of a result come in any order
     order = sorted((k for k, i in enumerate(picked) if i is not None and i not in taken), key=lambda k: (xxh3_64_intdigest(str(picked[k]), seed), str(picked[k]), v[k]))
     chosen = dict.fromkeys(picked[k] for side in (True, False) for k in [k for k in order if likely[k] == side][: sample_rows // 2])

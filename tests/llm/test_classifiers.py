@@ -1,5 +1,6 @@
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -119,6 +120,39 @@ def test_terms_match_plain_counts():
         assert got == sets
 
 
+def test_training_holds_little_for_each_word_and_nothing_afterwards():
+    rng = random.Random(12)
+    known = words(rng, 30_000, "abdefgiklmnoprstuvwxyz")
+    texts = [" ".join(rng.choices(known, k=400)) for _ in range(1500)]
+    tracemalloc.start()
+    try:
+        corpus = X._Corpus(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        assert peak < 30 * len(corpus.flat)
+        del corpus
+        before = tracemalloc.get_traced_memory()[0]
+        model = X.Linear.train(texts[:300], np.arange(300) % 2)
+        assert tracemalloc.get_traced_memory()[0] - before < model.weights.nbytes + 1_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_first_places_over_runs_and_parts(monkeypatch):
+    monkeypatch.setattr(X, "_RUN", 7)
+    rng = random.Random(13)
+    for texts in ([], [""], ["a"], [" ".join(rng.choices("abcd", k=rng.randint(0, 12))) for _ in range(90)]):
+        seen, want = set(), []
+        for t in texts:
+            w = [b"", *X.words_of(t), b""]
+            places = list(zip(w, w[1:], w[2:], strict=False))
+            want.append(False)
+            for x in places:
+                want.append(x not in seen)
+                seen.add(x)
+            want += [False] * (len(w) - 1 - len(places))
+        assert X._Corpus(texts).new.tolist() == want
+
+
 def test_posterior_matches_a_sum_over_classes():
     """The fixed point of the label model on a small table of votes, with every step written out."""
     k = len(X.VOTERS)
