@@ -1,15 +1,15 @@
 """Files: markdown in; graphs, provenance, vectors and chunks in and out, as JSON documents or Parquet tables.
 
-JSON documents are single objects for exchange with other programs, so writing one brings a table to one file. Parquet is
-the form for large results.
+JSON documents are single objects for exchange with other programs, with an element a line. Executors write and parse the
+lines; the driver only joins the executors' files to one, byte by byte. Parquet is the form for large results.
 """
 
 from __future__ import annotations
 
-import json
 import os
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.events import METADATA
@@ -17,6 +17,7 @@ from ..functions.text import ChunkIndex, file_stem
 from ..operators.embeddings import NodeEmbeddings
 from ..operators.hypergraph import Hypergraph
 from ..result import ProcessingResult
+from ..tables import checkpoint_folder
 
 
 def _texts(reader, spark: SparkSession, path: str) -> DataFrame:
@@ -54,63 +55,130 @@ def _write_text(text: DataFrame | str, path: str) -> None:
         out.write(text)
 
 
-def _read_object(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """One row: the file's JSON object as column `o`."""
-    return spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("o"))
+def _write_json(lines: DataFrame, path: str, head: str, tail: str) -> None:
+    """A document of `head`, an element a row of `lines` (one text column) in its order, and `tail`. No row goes through the
+    driver: the lines are written to the shared folder and the files appended to each other."""
+    spark = lines.sparkSession
+    folder, fs_path = f"{checkpoint_folder(spark)}/json-{uuid.uuid4().hex}", spark._jvm.org.apache.hadoop.fs.Path
+    lines.write.option("lineSep", ",\n").option("compression", "none").text(folder)
+    fs = fs_path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(fs_path(folder))]
+    path = os.path.abspath(path)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    start = f"{head}\n".encode()
+    out = spark._jvm.java.io.FileOutputStream(path)
+    try:
+        out.write(start)
+        for name in sorted((n for n in names if n.startswith("part-")), key=lambda n: (int(n.split("-")[1]), n)):
+            part = fs_path(folder, name)
+            held = fs.open(part)
+            try:
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(held, out, 1 << 20, False)
+            finally:
+                held.close()
+            fs.delete(part, False)
+    finally:
+        out.close()
+    fs.delete(fs_path(folder), True)
+    with open(path, "r+b") as f:
+        if f.seek(0, os.SEEK_END) > len(start):
+            f.truncate(f.seek(-2, os.SEEK_END))  # the last comma
+            f.write(b"\n")
+        f.write(tail.encode())
+
+
+def _entry(key: str, value: Column | str) -> Column:
+    """"key": value"""
+    whole = F.to_json(F.create_map(F.coalesce(F.col(key).cast("string"), F.lit("null")), value), {"ignoreNullFields": "false"})
+    return F.substr(whole, F.lit(2), F.length(whole) - 2)
+
+
+def _bare(line: Column) -> Column:
+    line = F.btrim(line, F.lit(" \t\r"))
+    return F.rtrim(F.when(line.endswith(","), F.substr(line, F.lit(1), F.length(line) - 1)).otherwise(line))
+
+
+def _elements(spark: SparkSession, path: str, head: str, tail: str, kind: str) -> DataFrame | None:
+    """(seq, e): the elements (of the array or map type `kind`) of a document that has one a line, each as a list or map of
+    one, with their places; None for a document that is laid out in another way."""
+    lines = spark.read.text(path, lineSep="\n")
+    squeezed, bare = F.regexp_replace("value", r"\s+", ""), _bare(F.col("value"))
+    short = F.length("value") < 100
+    edge = F.when(short & (squeezed == head), "head").when(short & (squeezed == tail), "tail")
+    left, right = "[]" if kind.startswith("array") else "{}"
+    read = lines.select("value", edge.alias("edge"), F.from_json(F.concat(F.lit(left), bare, F.lit(right)), kind).alias("e"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    part = F.shiftright("id", 33)
+    one = F.coalesce(F.size("e") == 1, F.lit(False))
+    counts = read.groupBy(part.alias("part")).agg(F.min("start").alias("start"), F.count("*").alias("n"), *[F.count_if(F.col("edge") == x).alias(x) for x in ("head", "tail")], F.count_if(F.col("edge").isNull() & one).alias("whole")).collect()
+    heads, tails, n = (sum(r[c] for r in counts) for c in ("head", "tail", "n"))
+    if (heads, tails) != (1, 1) or sum(r.whole for r in counts) != n - 2:
+        return None
+    before, offsets = 0, []
+    for r in sorted(counts, key=lambda r: r.start):
+        offsets.append((r.part, before - 1))  # the head has the first line
+        before += r.n
+    starts = F.broadcast(spark.createDataFrame(offsets, "part long, before long"))
+    held = read.where("edge is null").select("e", part.alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("k"))
+    return held.join(starts, "part").select((F.col("before") + F.col("k")).alias("seq"), "e")
+
+
+def _read_json(spark: SparkSession, path: str, field: str | None, kind: str) -> DataFrame:
+    """(seq, e): lists or maps of elements and the place of their first. A document of another layout is read as one text."""
+    head, tail = (f'{{"{field}":{{', "}}") if field else tuple("[]" if kind.startswith("array") else "{}")
+    found = _elements(spark, path, head, tail, kind)
+    if found is None:
+        whole = F.from_json("value", f"`{field}` {kind}")[field] if field else F.from_json("value", kind)
+        found = spark.read.text(path, wholetext=True).select(F.lit(0).cast("long").alias("seq"), whole.alias("e"))
+    return found
 
 
 def save_graph_json(graph: Hypergraph, path: str) -> None:
     """{"incidence_dict": {edge: [nodes]}} with keys and nodes sorted."""
-    held = {r.edge_id: list(r.nodes) for r in graph.edges().toLocalIterator()}
-    _write_text(json.dumps({"incidence_dict": held}, ensure_ascii=False, indent=2, sort_keys=True), path)
+    _write_json(graph.edges().orderBy("edge_id").select(_entry("edge_id", "nodes")), path, '{"incidence_dict": {', "}}")
 
 
 export_hypernetx = save_graph_json
 
 
 def load_graph_json(spark: SparkSession, path: str) -> Hypergraph:
-    held = _read_object(spark, path, "incidence_dict map<string, array<string>>")
-    edges = held.select(F.explode("o.incidence_dict").alias("edge_id", "nodes"))
-    return Hypergraph.from_edges(edges)
+    held = _read_json(spark, path, "incidence_dict", "map<string, array<string>>")
+    return Hypergraph.from_edges(held.select(F.explode("e").alias("edge_id", "nodes")))
 
 
 def save_metadata_json(metadata: DataFrame, path: str) -> None:
     """[{"edge", "nodes", "source", "target", "chunkID"}] in order."""
-    rows = [{"chunkID": r.chunk_id, "edge": r.edge, "nodes": sorted(r.nodes), "source": list(r.source), "target": list(r.target)} for r in metadata.orderBy("seq").toLocalIterator()]
-    _write_text(json.dumps(rows, ensure_ascii=False, indent=2, sort_keys=True), path)
+    row = F.struct(F.col("chunk_id").alias("chunkID"), "edge", F.array_sort("nodes").alias("nodes"), "source", "target")
+    _write_json(metadata.orderBy("seq").select(F.to_json(row, {"ignoreNullFields": "false"})), path, "[", "]")
 
 
 def load_metadata_json(spark: SparkSession, path: str) -> DataFrame:
-    held = _read_object(spark, path, "array<struct<edge: string, nodes: array<string>, source: array<string>, target: array<string>, chunkID: string>>")
-    rows = held.select(F.posexplode("o").alias("seq", "r"))
-    return rows.select(F.col("seq").cast("long").alias("seq"), "r.edge", F.array_sort("r.nodes").alias("nodes"), "r.source", "r.target", F.col("r.chunkID").alias("chunk_id"))
+    held = _read_json(spark, path, None, "array<struct<edge: string, nodes: array<string>, source: array<string>, target: array<string>, chunkID: string>>")
+    rows = held.select("seq", F.posexplode("e").alias("pos", "r"))
+    return rows.select((F.col("seq") + F.col("pos")).alias("seq"), "r.edge", F.array_sort("r.nodes").alias("nodes"), "r.source", "r.target", F.col("r.chunkID").alias("chunk_id"))
 
 
 def save_embeddings_json(embeddings: NodeEmbeddings, path: str) -> None:
     """{"embeddings": {node: [numbers]}}"""
-    held = {r.node: list(r.embedding) for r in embeddings.df.toLocalIterator()}
-    _write_text(json.dumps({"embeddings": held}, ensure_ascii=False, sort_keys=True), path)
+    _write_json(embeddings.df.orderBy("node").select(_entry("node", F.col("embedding").cast("array<double>"))), path, '{"embeddings": {', "}}")
 
 
 def load_embeddings_json(spark: SparkSession, path: str) -> NodeEmbeddings:
-    held = _read_object(spark, path, "embeddings map<string, array<float>>")
-    return NodeEmbeddings(held.select(F.explode("o.embeddings").alias("node", "embedding")))
+    held = _read_json(spark, path, "embeddings", "map<string, array<float>>")
+    return NodeEmbeddings(held.select(F.explode("e").alias("node", "embedding")))
 
 
 def save_chunks_json(index: ChunkIndex, path: str) -> None:
     """{chunk id: text}"""
-    held = {r.chunk_id: r.text for r in index.df.toLocalIterator()}
-    _write_text(json.dumps(held, ensure_ascii=False, indent=2, sort_keys=True), path)
+    _write_json(index.df.orderBy("chunk_id").select(_entry("chunk_id", "text")), path, "{", "}")
 
 
 def load_chunks_json(spark: SparkSession, path: str) -> ChunkIndex:
-    held = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, string>").alias("o"))
-    return ChunkIndex(held.select(F.explode("o").alias("chunk_id", "text")))
+    return ChunkIndex(_read_json(spark, path, None, "map<string, string>").select(F.explode("e").alias("chunk_id", "text")))
 
 
 def save_history_json(history: DataFrame, path: str) -> None:
-    rows = [{"keptNode": r.kept_node, "removedNode": r.removed_node, "similarity": r.similarity, "keptNodeDegree": r.kept_degree, "removedNodeDegree": r.removed_degree} for r in history.orderBy("seq").toLocalIterator()]
-    _write_text(json.dumps(rows, ensure_ascii=False, indent=2, sort_keys=True), path)
+    row = F.struct(F.col("kept_node").alias("keptNode"), F.col("kept_degree").alias("keptNodeDegree"), F.col("removed_node").alias("removedNode"), F.col("removed_degree").alias("removedNodeDegree"), "similarity")
+    _write_json(history.orderBy("seq").select(F.to_json(row, {"ignoreNullFields": "false"})), path, "[", "]")
 
 
 def save_graph_parquet(graph: Hypergraph, folder: str) -> None:

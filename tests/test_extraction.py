@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hgspark import cli
-from hgspark.operators.embeddings import EmbeddingService
+from hgspark.functions.text import ChunkIndex
+from hgspark.operators.embeddings import EmbeddingService, NodeEmbeddings
 from hgspark.operators.hypergraph import Hypergraph
 from hgspark.plans.extraction import DocumentProcessor, HypergraphExtractor, ask_events, merge_results, read_events
 from hgspark.result import ProcessingResult
@@ -237,3 +238,36 @@ def test_numbers_of_merged_results_stay_apart(spark):
     rows = merge_results(spark, parts).metadata.orderBy("seq").collect()
     assert [r.seq for r in rows] == [0, 1, 2]
     assert rows[0].source[0] == "Spiders"
+
+
+def test_json_documents_go_by_lines_and_not_through_the_driver(spark, tmp_path, monkeypatch):
+    kind = "seq long, edge string, nodes array<string>, source array<string>, target array<string>, chunk_id string"
+    rows = [(k, f"e{k}", ["b", 'a "q"\n'], ["Ä\u2028"], [], None if k % 7 == 0 else f"c{k}") for k in range(200)]
+    metadata = spark.createDataFrame(rows[::-1], kind).repartition(5)
+    chunks = ChunkIndex(spark.createDataFrame([(f"c{k}", "{\n" if k else "}\n,") for k in range(50)], "chunk_id string, text string"))
+    vectors = NodeEmbeddings.from_dict(spark, {f"n{k}": [k / 3, -1.5] for k in range(50)})
+    with monkeypatch.context() as m:
+        for name in ("toLocalIterator", "collect", "toPandas"):
+            m.setattr(type(metadata), name, None)
+        files.save_metadata_json(metadata, str(tmp_path / "m.json"))
+        files.save_chunks_json(chunks, str(tmp_path / "c.json"))
+        files.save_embeddings_json(vectors, str(tmp_path / "v.json"))
+    held = json.load(open(tmp_path / "m.json", encoding="utf-8"))
+    assert [r["edge"] for r in held] == [f"e{k}" for k in range(200)] and held[7] == {"chunkID": None, "edge": "e7", "nodes": ['a "q"\n', "b"], "source": ["Ä\u2028"], "target": []}
+    assert json.load(open(tmp_path / "c.json")) == {r.chunk_id: r.text for r in chunks.df.collect()}
+    json.dump(held, open(tmp_path / "pretty.json", "w"), indent=2)
+    json.dump(held, open(tmp_path / "compact.json", "w"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        read = files.load_metadata_json(spark, str(tmp_path / "m.json"))
+        assert read.rdd.getNumPartitions() > 4
+        for name in ("m", "pretty", "compact"):
+            got = files.load_metadata_json(spark, str(tmp_path / f"{name}.json")).orderBy("seq").collect()
+            assert [(r.seq, r.edge, sorted(r.nodes), r.source, r.target, r.chunk_id) for r in got] == [(s, e, sorted(n), a, b, c) for s, e, n, a, b, c in rows]
+        assert files.load_chunks_json(spark, str(tmp_path / "c.json")).df.exceptAll(chunks.df).isEmpty()
+        assert files.load_embeddings_json(spark, str(tmp_path / "v.json")).df.exceptAll(vectors.df).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    files.save_metadata_json(metadata.limit(0), str(tmp_path / "none.json"))
+    assert json.load(open(tmp_path / "none.json")) == [] and files.load_metadata_json(spark, str(tmp_path / "none.json")).isEmpty()
