@@ -122,9 +122,16 @@ class Hypergraph:
         return a.join(b, "edge_id").where("src <> dst").select("src", "dst").distinct()
 
     def edges_with_both(self, pairs: DataFrame) -> DataFrame:
-        """`pairs` (u, v, ...) with every edge that holds both."""
-        with_u = pairs.join(self.incidence.select("edge_id", F.col("node").alias("u")), "u")
-        return with_u.join(self.incidence.select("edge_id", F.col("node").alias("v")), ["edge_id", "v"])
+        """`pairs` (u, v, ...) with every edge that holds both, from the edges of the end that has fewer: a node of many
+        edges costs its pairs what their other ends have."""
+        d = self.degrees()
+        left = pairs.join(d.select(F.col("node").alias("u"), F.col("degree").alias("__u")), "u")
+        placed = left.join(d.select(F.col("node").alias("v"), F.col("degree").alias("__v")), "v")
+        fewer = F.col("__u") <= F.col("__v")
+        placed = placed.select(*pairs.columns, F.when(fewer, F.col("u")).otherwise(F.col("v")).alias("__few"), F.when(fewer, F.col("v")).otherwise(F.col("u")).alias("__many"))
+        one = placed.join(self.incidence.select("edge_id", F.col("node").alias("__few")), "__few")
+        both = one.join(self.incidence.select("edge_id", F.col("node").alias("__many")), ["edge_id", "__many"])
+        return both.select("edge_id", *pairs.columns)
 
     # filters
 

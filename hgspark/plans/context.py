@@ -40,7 +40,7 @@ def path_sentences(graph: Hypergraph, paths: DataFrame, metadata: DataFrame | No
     """(*by, sentence): one for each step of each path, from the first edge that holds both nodes; each once, sorted
     if `ordered` (a sort over all: leave it out where more follows). An edge with provenance is told from its source to its
     target, any other from the step's first node to its second."""
-    steps = path_steps(paths, by)
+    steps = path_steps(paths, by).select(*by, "u", "v").distinct()
     edges = _with_provenance(step_edges(graph, steps), metadata)
     plain = F.concat(F.col("u"), F.lit(" "), F.coalesce(_relation(labels), F.lit("is related to")), F.lit(" "), F.col("v"), F.lit("."))
     told = edges.select("u", "v", F.when(F.col("__s").isNotNull(), _directed(F.col("__s"), F.col("__t"), _relation(labels))).otherwise(plain).alias("sentence"))

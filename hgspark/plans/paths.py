@@ -54,16 +54,17 @@ def shortest_paths(graph: Hypergraph, nodes: DataFrame, most: int = PATH_NODES,
     """(*by, path): paths between all pairs of `nodes` (*by, node, position; earlier to later), and, for more than two
     nodes, every tree path of at least three nodes that has two of them; each once."""
     held = cut(nodes.select(*by, "node", "position"))
-    found = reach(graph, held, most, by)
-    ends = held.select(*by, "node", F.col("position").alias("__to"))
-    starts = held.select(*by, F.col("node").alias("source"), F.col("position").alias("__from"))
-    pairs = found.join(sized(starts), [*by, "source"]).join(sized(ends), [*by, "node"]).where(F.col("__from") < F.col("__to")).select(*by, "path")
+    # a node's tree is the same whatever asks for it
+    found = reach(graph, held.select("node"), most)
+    starts = held.groupBy(*by, F.col("node").alias("source")).agg(F.min("position").alias("__from"))
+    ends = held.groupBy(*by, "node").agg(F.max("position").alias("__to"))
     groups = held.groupBy(*by).agg(F.collect_set("node").alias("__targets"))
-    many = groups.where(F.size("__targets") > 2)
-    trees = found.where(F.size("path") > 2)
-    trees = trees.join(sized(cut(many)), list(by)) if by else trees.crossJoin(many)
-    multi = trees.where(_targets_on(F.col("path"), F.col("__targets")) >= 2).select(*by, "path")
-    return pairs.unionByName(multi).distinct()
+    asked = starts.join(groups, list(by)) if by else starts.crossJoin(groups)
+    told = found.join(sized(cut(asked)), "source").join(sized(cut(ends)), [*by, "node"], "left")
+    pair = F.col("__from") < F.col("__to")
+    multi = (F.size("__targets") > 2) & (F.size("path") > 2) & (_targets_on(F.col("path"), F.col("__targets")) >= 2)
+    # a path has one row for each of `by`, as its ends tell it
+    return told.where(F.coalesce(pair, F.lit(False)) | multi).select(*by, "path")
 
 
 def multi_node_paths(graph: Hypergraph, nodes: DataFrame, most: int = PATH_NODES) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from hgspark.functions.events import METADATA
 from hgspark.operators.embeddings import EmbeddingService, NodeEmbeddings
@@ -203,3 +204,29 @@ def test_streamed_answers():
 def test_empty_vectors(spark, rag):
     empty = GraphRAG(rag.graph, NodeEmbeddings.empty(spark), llm=rag.llm, embedder=rag.embedder)
     assert empty.retrieve_context_simple("silk").formatted == ""
+
+
+def test_pairs_at_a_node_of_many_edges_cost_what_their_other_ends_have(spark):
+    n = 3000
+    g = Hypergraph.from_dict(spark, {f"e{k}": ["hub", f"n{k}"] for k in range(n)} | {"f": ["n1", "hub", "n2"]})
+    pairs = spark.createDataFrame([("hub", f"n{k}", k) if k % 2 else (f"n{k}", "hub", k) for k in range(n)] + [("n1", "n2", -1), ("n1", "absent", -2)], "u string, v string, k int")
+    found = g.edges_with_both(pairs)
+    got = {(r.u, r.v, r.k, r.edge_id) for r in found.collect()}
+    assert len(got) == n + 3 and ("n1", "n2", -1, "f") in got and ("hub", "n1", 1, "f") in got and ("n2", "hub", 2, "e2") in got
+
+    def rows(node):
+        yield from ([node.metrics().apply("numOutputRows").value()] if node.metrics().contains("numOutputRows") else [])
+        inner = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if node.nodeName().endswith("QueryStage") else None
+        kids = [inner] if inner is not None else [node.children().apply(k) for k in range(node.children().size())]
+        for kid in kids:
+            yield from rows(kid)
+
+    assert n <= max(rows(found._jdf.queryExecution().executedPlan())) < 10 * n
+
+
+def test_trees_are_shared_by_the_questions(spark):
+    g = Hypergraph.from_dict(spark, {"e1": "ab", "e2": "bc", "e3": "cd", "e4": "bx"})
+    nodes = spark.createDataFrame([(q, n, p) for q in (1, 2) for p, n in enumerate("abd"[: q + 1])], "q int, node string, position int")
+    got = sorted((r.q, "".join(r.path)) for r in P.shortest_paths(g, nodes, 4, ("q",)).collect())
+    one = [sorted((q, "".join(r.path)) for r in P.shortest_paths(g, nodes.where(F.col("q") == q).drop("q"), 4).collect()) for q in (1, 2)]
+    assert got == one[0] + one[1] and (1, "ab") in got and (2, "abx") in got and (1, "abx") not in got
