@@ -11,11 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..config import MERGE_THRESHOLD, MIN_EDGE_SIZE
 from ..tables import cut, sized
@@ -24,8 +23,9 @@ from .hypergraph import Hypergraph
 from .vectors import similar_pairs
 
 HISTORY = T.StructType([T.StructField("seq", T.IntegerType()), T.StructField("kept_node", T.StringType()), T.StructField("removed_node", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("kept_degree", T.LongType()), T.StructField("removed_degree", T.LongType())])
-#: Pairs up to which one task makes the greedy pass; beyond it rounds over the whole table do.
+#: Pairs up to which one task makes the greedy pass; beyond it rounds do, each over about as many of the best pairs left.
 ONE_TASK_PAIRS = 200_000
+ROUND_PAIRS = 1_000_000
 
 
 @dataclass
@@ -45,54 +45,55 @@ def merge_candidates(graph: Hypergraph, embeddings: NodeEmbeddings, threshold: f
 
 
 def _with_degrees(pairs: DataFrame, graph: Hypergraph) -> DataFrame:
-    d = graph.degrees()
+    d = sized(cut(graph.degrees()))
     left = pairs.join(d.select(F.col("node").alias("i"), F.col("degree").alias("degree_i")), "i", "left")
     both = left.join(d.select(F.col("node").alias("j"), F.col("degree").alias("degree_j")), "j", "left")
     return both.select("i", "j", "similarity", F.coalesce("degree_i", F.lit(0)).cast("long").alias("degree_i"), F.coalesce("degree_j", F.lit(0)).cast("long").alias("degree_j"))
 
 
-def greedy_one_task(pairs: DataFrame) -> DataFrame:
-    """The merge history from pairs with degrees, in one task."""
+def greedy_one_task(pairs: DataFrame, first: int = 0) -> DataFrame:
+    """The merge history from pairs with degrees, numbered from `first`: Spark sorts them in one partition, through which a
+    task passes batch by batch; it holds the names removed and no pairs."""
 
     def scan(batches):
-        parts = list(batches)
-        if not parts:
-            return
-        held = pd.concat(parts, ignore_index=True)
-        held = held.sort_values(["similarity", "i", "j"], ascending=[False, True, True])
-        removed, rows = set(), []
-        for i, j, s, di, dj in held[["i", "j", "similarity", "degree_i", "degree_j"]].itertuples(index=False):
-            if i in removed or j in removed:
-                continue
-            kept, gone, dk, dg = (i, j, di, dj) if di >= dj else (j, i, dj, di)
-            removed.add(gone)
-            rows.append((len(rows), kept, gone, s, dk, dg))
-        yield pd.DataFrame(rows, columns=HISTORY.names)
-
-    return pairs.coalesce(1).mapInPandas(scan, HISTORY)
-
-
-def greedy_rounds(pairs: DataFrame) -> DataFrame:
-    """The same history by rounds: a pair that is the best left at both of its nodes can be decided at once."""
-    left, decided = cut(pairs), []
-    rank = F.struct((-F.col("similarity")).alias("s"), F.col("i").alias("a"), F.col("j").alias("b"))
-    while not left.isEmpty():
-        ends = left.select(F.col("i").alias("node"), rank.alias("r")).unionByName(left.select(F.col("j").alias("node"), rank.alias("r")))
-        best = ends.groupBy("node").agg(F.min("r").alias("best"))
-        placed = left.join(best.select(F.col("node").alias("i"), F.col("best").alias("bi")), "i").join(best.select(F.col("node").alias("j"), F.col("best").alias("bj")), "j")
-        sure = placed.where((F.col("bi") == rank) & (F.col("bj") == rank))
-        first = F.col("degree_i") >= F.col("degree_j")
-        merged = cut(sure.select("i", "j", F.when(first, F.col("i")).otherwise(F.col("j")).alias("kept_node"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("removed_node"), "similarity", F.greatest("degree_i", "degree_j").alias("kept_degree"), F.least("degree_i", "degree_j").alias("removed_degree")))
+        removed, n = set(), first
+        for batch in batches:
+            rows = []
+            for i, j, s, di, dj in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if i in removed or j in removed:
+                    continue
+                kept, gone, dk, dg = (i, j, di, dj) if di >= dj else (j, i, dj, di)
+                removed.add(gone)
+                rows.append((n, kept, gone, s, dk, dg))
+                n += 1
+            if rows:
+                kinds = (pa.int32(), batch.column(0).type, batch.column(1).type, pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=HISTORY.names)
+
+    turn = pairs.select("i", "j", "similarity", "degree_i", "degree_j").coalesce(1).sortWithinPartitions(F.desc("similarity"), "i", "j")
+    return turn.mapInArrow(scan, HISTORY)
+
+
+def greedy_rounds(pairs: DataFrame, most: int = ROUND_PAIRS) -> DataFrame:
+    """The same history by rounds: the best pairs left, about `most` and all of equal similarity, are decided in one task,
+    and those of the rest whose nodes are removed go. Most pairs go so without being sorted."""
+    left, decided, done = cut(pairs), [], 0
+    while True:
+        n = left.count()
+        low = left.approxQuantile("similarity", [1 - most / n], 0.1 * most / n)[0] if n > most else None
+        band = left if low is None else left.where(F.col("similarity") >= low)
+        merged = cut(greedy_one_task(band, done))
         decided.append(merged)
-        gone = merged.select(F.col("removed_node").alias("node"))
-        left = left.join(gone.select(F.col("node").alias("i")), "i", "left_anti").join(gone.select(F.col("node").alias("j")), "j", "left_anti")
-        left = cut(left.join(merged.select("i", "j"), ["i", "j"], "left_anti").select(pairs.columns))
-    history = decided[0] if decided else cut(pairs).select("i", "j", F.col("i").alias("kept_node"), F.col("j").alias("removed_node"), "similarity", F.col("degree_i").alias("kept_degree"), F.col("degree_j").alias("removed_degree"))
+        done += merged.count()
+        if low is None:
+            break
+        gone = sized(merged.select(F.col("removed_node").alias("node")))
+        rest = left.where(F.col("similarity") < low).join(gone.withColumnRenamed("node", "i"), "i", "left_anti")
+        left = cut(rest.join(gone.withColumnRenamed("node", "j"), "j", "left_anti").select(pairs.columns))
+    history = decided[0]
     for more in decided[1:]:
         history = history.unionByName(more)
-    # the history is as large as the set of merged nodes; its numbering needs one sorted partition
-    numbered = history.select("*", (F.row_number().over(Window.orderBy(F.desc("similarity"), "i", "j")) - 1).cast("int").alias("seq"))
-    return numbered.select(*HISTORY.names)
+    return history
 
 
 def merge_history(pairs: DataFrame, graph: Hypergraph, one_task_pairs: int = ONE_TASK_PAIRS) -> DataFrame:

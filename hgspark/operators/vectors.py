@@ -8,16 +8,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 #: Blocks that one task may hold of either side.
 BAND_BLOCKS = 32
-#: Queries that are multiplied with a block at once.
-QUERY_ROWS = 512
+#: Similarities that a task has in memory at once, and rows of a batch that leaves it.
+TILE, BATCH_ROWS = 1 << 20, 1 << 16
 
 
 def _sum(column: Column) -> Column:
@@ -87,7 +88,7 @@ def _blocks(frame: DataFrame, name: str) -> DataFrame:
         for batch in batches:
             by_size: dict[int, tuple[list, list]] = {}
             for n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if n is None or v is None or any(x is None for x in v):
+                if n is None or not v or any(x is None for x in v):
                     continue
                 held = by_size.setdefault(len(v), ([], []))
                 held[0].append(n)
@@ -101,17 +102,10 @@ def _blocks(frame: DataFrame, name: str) -> DataFrame:
     return frame.select(name, "embedding").mapInArrow(gather, schema)
 
 
-def similar_pairs(embeddings: DataFrame, threshold: float, *, strict: bool = True, zero_undefined: bool = True) -> DataFrame:
-    """(i, j, similarity), i < j: all pairs above the threshold (`strict`) or at least at it.
-
-    Vectors are gathered into blocks, every two blocks of one dimension meet once as a matrix product, and only pairs
-    that pass leave the task.
-    Vectors of length zero are similar to nothing (their similarity counts as 0 with `zero_undefined`, which matters
-    for thresholds below 0); vectors of different dimension aren't compared.
-    """
+def _grid(embeddings: DataFrame) -> DataFrame:
+    """Blocks placed in cells (row, column) so that every two meet once: as side 0 and 1 of the cell of their bands."""
     from ..tables import cut
 
-    kind = embeddings.schema["node"].dataType
     blocks = cut(_blocks(embeddings, "node").select("*", F.monotonically_increasing_id().alias("block")))
     # A grid of about as many cells as blocks, or more so that a band has few enough for a task's memory: each block goes
     # to one row and one column of it, and no task sees all of them.
@@ -120,49 +114,112 @@ def similar_pairs(embeddings: DataFrame, threshold: float, *, strict: bool = Tru
     placed = blocks.select("*", F.pmod(F.hash("block"), F.lit(grid)).alias("band"))
     a = placed.select(*placed.columns, F.lit(0).alias("side"), F.col("band").alias("row"), F.explode(F.sequence(F.col("band"), F.lit(grid - 1))).alias("column"))
     b = placed.select(*placed.columns, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("band"))).alias("row"), F.col("band").alias("column"))
-    own = embeddings.sparkSession.createDataFrame([], T.StructType([T.StructField("i", kind)])).toArrow().schema.field(0).type
-
-    def multiply(cell: pa.Table) -> pa.Table:
-        sides: list[list] = [[], []]
-        for names, numbers, size, block, band, side in zip(*(cell.column(c).to_pylist() for c in ("names", "numbers", "dimension", "block", "band", "side")), strict=True):
-            sides[side].append((names, np.frombuffer(numbers, dtype="<f8").reshape(len(names), size), size, block, band))
-        out_i, out_j, out_s = [], [], []
-        for names_a, x, size_a, block_a, band_a in sides[0]:
-            for names_b, y, size_b, block_b, band_b in sides[1]:
-                if not size_a or size_a != size_b or band_a == band_b and block_a > block_b:
-                    continue
-                lengths = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
+    return a.unionByName(b)
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], undefined: float) -> Iterator[tuple]:
+    """(block, names, block, names, first row, similarities) of a cell's blocks, at most TILE or one row of them at once."""
+    sides: list[list] = [[], []]
+    for cell in batches:
+        names, numbers = cell.column("names"), cell.column("numbers")
+        for k, (size, block, band, side) in enumerate(zip(*(cell.column(c).to_pylist() for c in ("dimension", "block", "band", "side")), strict=True)):
+            own = names[k].values
+            x = np.frombuffer(numbers[k].as_buffer(), dtype="<f8").reshape(len(own), size)
+            sides[side].append((own, x, np.linalg.norm(x, axis=1), size, block, band))
+    for names_a, x, long_a, size_a, block_a, band_a in sides[0]:
+        for names_b, y, long_b, size_b, block_b, band_b in sides[1]:
+            if not size_a or size_a != size_b or band_a == band_b and block_a > block_b:
+                continue
+            rows = max(1, TILE // len(names_b))
+            for start in range(0, len(names_a), rows):
+                lengths = np.outer(long_a[start : start + rows], long_b)
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    sim = np.where(lengths > 0, x @ y.T / lengths, 0.0 if zero_undefined else np.nan)
-                passed = sim > threshold if strict else sim >= threshold
-                if block_a == block_b:
-                    passed = np.triu(passed, 1)
-                i, j = np.nonzero(passed)
-                for p, q in zip([names_a[k] for k in i], [names_b[k] for k in j], strict=True):
-                    out_i.append(min(p, q))
-                    out_j.append(max(p, q))
-                out_s.append(sim[i, j])
-        return pa.table({"i": pa.array(out_i, own), "j": pa.array(out_j, own), "similarity": pa.array(np.concatenate([*out_s, np.empty(0)]))})
+                    yield block_a, names_a, block_b, names_b, start, np.where(lengths > 0, x[start : start + rows] @ y.T / lengths, undefined)
+
+
+def _batches(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    for start in range(0, len(whole), BATCH_ROWS):
+        yield whole.slice(start, BATCH_ROWS)
+
+
+def _arrow_type(embeddings: DataFrame, kind: T.DataType) -> pa.DataType:
+    return embeddings.sparkSession.createDataFrame([], T.StructType([T.StructField("i", kind)])).toArrow().schema.field(0).type
+
+
+def similar_pairs(embeddings: DataFrame, threshold: float, *, strict: bool = True, zero_undefined: bool = True) -> DataFrame:
+    """(i, j, similarity), i < j: all pairs above the threshold (`strict`) or at least at it.
+
+    Vectors are gathered into blocks, every two blocks of one dimension meet once as a matrix product, a tile at a time,
+    and only pairs that pass leave the task, a batch at a time.
+    Vectors of length zero are similar to nothing (their similarity counts as 0 with `zero_undefined`, which matters
+    for thresholds below 0); vectors of different dimension aren't compared.
+    """
+    kind = embeddings.schema["node"].dataType
+    own = _arrow_type(embeddings, kind)
+
+    def multiply(cell: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block_a, names_a, block_b, names_b, start, sim in _meetings(cell, 0.0 if zero_undefined else np.nan):
+            passed = sim > threshold if strict else sim >= threshold
+            if block_a == block_b:
+                passed = np.triu(passed, 1 + start)
+            i, j = np.nonzero(passed)
+            if len(i):
+                p, q = names_a.take(pa.array(i + start)).cast(own), names_b.take(pa.array(j)).cast(own)
+                turned = pc.greater(p, q)
+                yield from _batches({"i": pc.if_else(turned, q, p), "j": pc.if_else(turned, p, q), "similarity": pa.array(sim[i, j])})
 
     schema = T.StructType([T.StructField("i", kind), T.StructField("j", kind), T.StructField("similarity", T.DoubleType())])
-    return a.unionByName(b).groupBy("row", "column").applyInArrow(multiply, schema).where("i <> j")
+    return _grid(embeddings).groupBy("row", "column").applyInArrow(multiply, schema).where("i <> j")
+
+
+def _own_similarity(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select(F.col("node").alias("i"), F.col("node").alias("j"), F.when(norm(F.col("embedding")) > 0, 1.0).otherwise(0.0).alias("similarity"))
 
 
 def similarity_matrix(embeddings: DataFrame) -> DataFrame:
-    """(i, j, similarity) for all ordered pairs, the diagonal too: 0 where a vector has length zero. Quadratic by nature."""
+    """(i, j, similarity) for all ordered pairs, the diagonal too: 0 where a vector has length zero. Quadratic by nature;
+    `similarity_totals` has its rows' sums without it."""
     half = similar_pairs(embeddings, -2.0)
-    diagonal = embeddings.select(F.col("node").alias("i"), F.col("node").alias("j"), F.when(norm(F.col("embedding")) > 0, 1.0).otherwise(0.0).alias("similarity"))
-    return half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "similarity")).unionByName(diagonal)
+    both = half.select(F.inline(F.array(F.struct("i", "j", "similarity"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "similarity"))))
+    return both.unionByName(_own_similarity(embeddings))
 
 
-def _best(asked: list, q: np.ndarray, names: list, x: np.ndarray, k: int, threshold: float) -> tuple[list, list, np.ndarray]:
-    """(queries, nodes, similarities): each query's k most similar of these nodes at or above the threshold, ties by name."""
+def similarity_totals(embeddings: DataFrame) -> DataFrame:
+    """(i, n, total): the number and the sum of each row of similarity_matrix. Every two vectors meet, but only a row for
+    each vector leaves a cell."""
+    kind = embeddings.schema["node"].dataType
+    own = _arrow_type(embeddings, kind)
+
+    def add(cell: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[pa.Array, list[int], np.ndarray]] = {}
+        for block_a, names_a, block_b, names_b, start, sim in _meetings(cell, 0.0):
+            a = held.setdefault(block_a, (names_a, np.zeros(len(names_a), np.int64), np.zeros(len(names_a))))
+            a[1][start : start + len(sim)] += sim.shape[1]
+            a[2][start : start + len(sim)] += sim.sum(axis=1)
+            if block_a != block_b:
+                b = held.setdefault(block_b, (names_b, np.zeros(len(names_b), np.int64), np.zeros(len(names_b))))
+                b[1][:] += len(sim)
+                b[2][:] += sim.sum(axis=0)
+        for names, n, total in held.values():
+            yield from _batches({"i": names.cast(own), "n": pa.array(n), "total": pa.array(total)})
+
+    schema = T.StructType([T.StructField("i", kind), T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType())])
+    sums = _grid(embeddings).groupBy("row", "column").applyInArrow(add, schema)
+    # rows that meet no other have the diagonal alone
+    alone = F.col("node").isNull() | F.col("embedding").isNull() | (F.size("embedding") == 0) | F.exists("embedding", lambda x: x.isNull())
+    rest = _own_similarity(embeddings.where(alone)).select("i", F.lit(1).cast("long").alias("n"), F.col("similarity").alias("total"))
+    return sums.unionByName(rest).groupBy("i").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def _best(asked: pa.Array, q: np.ndarray, names: pa.Array, x: np.ndarray, k: int, threshold: float) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """(queries, nodes, similarities): each query's k most similar of these nodes at or above the threshold, ties by name;
+    as many queries at once as TILE similarities are of."""
     turn = np.empty(len(names), dtype=np.int64)
-    turn[sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i]))] = np.arange(len(names))
-    out_q, out_n, out_s = [], [], [np.empty(0)]
-    long = np.linalg.norm(x, axis=1)
-    for start in range(0, len(asked), QUERY_ROWS):
-        part = q[start : start + QUERY_ROWS]
+    turn[pc.sort_indices(names, null_placement="at_start").to_numpy()] = np.arange(len(names))
+    long, rows = np.linalg.norm(x, axis=1), max(1, TILE // max(1, len(names)))
+    for start in range(0, len(asked), rows):
+        part = q[start : start + rows]
         lengths = np.outer(np.linalg.norm(part, axis=1), long)
         with np.errstate(invalid="ignore", divide="ignore"):
             sim = np.where(lengths > 0, part @ x.T / lengths, np.nan)
@@ -176,10 +233,8 @@ def _best(asked: list, q: np.ndarray, names: list, x: np.ndarray, k: int, thresh
         r_starts = np.searchsorted(r, r)
         kept = np.arange(len(r)) - r_starts < k
         r, c = r[kept], c[kept]
-        out_q += [asked[start + i] for i in r.tolist()]
-        out_n += [names[j] for j in c.tolist()]
-        out_s.append(sim[r, c])
-    return out_q, out_n, np.concatenate(out_s)
+        if len(r):
+            yield asked.take(pa.array(start + r)), names.take(pa.array(c)), pa.array(sim[r, c])
 
 
 def _best_in_cells(queries: DataFrame, embeddings: DataFrame, k: int, threshold: float, schema: T.StructType) -> DataFrame:
@@ -200,18 +255,21 @@ def _best_in_cells(queries: DataFrame, embeddings: DataFrame, k: int, threshold:
     b = b.select(none_a.alias("asked"), "names", "numbers", "dimension", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row"), F.col("band").alias("column"))
     kinds = [f.type for f in queries.sparkSession.createDataFrame([], schema).toArrow().schema]
 
-    def multiply(cell: pa.Table) -> pa.Table:
+    def multiply(cell: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides: list[list] = [[], []]
-        for asked, names, numbers, size in zip(*(cell.column(c).to_pylist() for c in ("asked", "names", "numbers", "dimension")), strict=True):
-            own = [x["name"] for x in (names if asked is None else asked)]
-            sides[asked is None].append((own, np.frombuffer(numbers, dtype="<f8").reshape(len(own), size), size))
-        parts = []
-        for asked, q, size in sides[0]:
-            for names, x, other in sides[1]:
+        for batch in cell:
+            numbers = batch.column("numbers")
+            for k_row, size in enumerate(batch.column("dimension").to_pylist()):
+                side = int(batch.column("names")[k_row].is_valid)
+                own = batch.column("names" if side else "asked")[k_row].values.field("name")
+                sides[side].append((own, np.frombuffer(numbers[k_row].as_buffer(), dtype="<f8").reshape(len(own), size), size))
+        for size in {size for *_, size in sides[1]}:
+            names, x = zip(*[(n, v) for n, v, other in sides[1] if other == size], strict=True)
+            names, x = pa.concat_arrays(names), np.concatenate(x)
+            for asked, q, other in sides[0]:
                 if size == other:
-                    found = _best(asked, q, names, x, k, threshold)
-                    parts.append(pa.table({n: pa.array(v, t) for n, v, t in zip(schema.names, found, kinds, strict=True)}))
-        return pa.concat_tables(parts) if parts else pa.table({n: pa.array([], t) for n, t in zip(schema.names, kinds, strict=True)})
+                    for found in _best(asked, q, names, x, k, threshold):
+                        yield from _batches({n: v.cast(t) for n, v, t in zip(schema.names, found, kinds, strict=True)})
 
     return a.unionByName(b).groupBy("row", "column").applyInArrow(multiply, schema)
 
@@ -239,8 +297,8 @@ def top_k_batch(queries: DataFrame, embeddings: DataFrame, k: int, threshold: fl
         held = by_size.setdefault(len(v), ([], []))
         held[0].append(q)
         held[1].append(v)
-    shared = spark.sparkContext.broadcast({s: (q, np.array(v, dtype=np.float64)) for s, (q, v) in by_size.items()})
     query_type = spark.createDataFrame([], T.StructType([schema[0]])).toArrow().schema.field(0).type
+    shared = spark.sparkContext.broadcast({s: (pa.array(q, query_type), np.array(v, dtype=np.float64)) for s, (q, v) in by_size.items()})
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,8 +311,8 @@ def top_k_batch(queries: DataFrame, embeddings: DataFrame, k: int, threshold: fl
             for size, (names, vectors) in held.items():
                 asked, q = shared.value[size]
                 x = np.array(vectors, dtype=np.float64)
-                out_q, out_n, out_s = _best(asked, q, names, x, k, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, query_type), pa.array(out_n, batch.schema.field(0).type), pa.array(out_s, pa.float64())], names=["query", "node", "similarity"])
+                for found in _best(asked, q, pa.array(names, batch.schema.field(0).type), x, k, threshold):
+                    yield from _batches(dict(zip(schema.names, found, strict=True)))
 
     found = embeddings.select("node", "embedding").mapInArrow(best, schema)
     return found.select("*", F.row_number().over(turn).alias("__k")).where(F.col("__k") <= k).drop("__k")

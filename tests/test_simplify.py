@@ -1,5 +1,6 @@
 import random
 
+from hgspark.operators import simplify as S
 from hgspark.operators.embeddings import EmbeddingService, NodeEmbeddings
 from hgspark.operators.hypergraph import Hypergraph
 from hgspark.operators.simplify import greedy_one_task, greedy_rounds, merge_map, rename_in_arrays, simplify, simplify_and_reembed, simplify_documents
@@ -115,3 +116,23 @@ def test_provenance_rows_of_one_number_keep_their_names(spark):
     renames = spark.createDataFrame([("A", "B")], "node string, new_node string")
     out = {r.edge: (r.nodes, r.source, r.target) for r in rename_in_arrays(rows, renames, ("chunk_id", "edge", "seq"), ("nodes", "source", "target")).collect()}
     assert out == {"e1": (["B", "X"], ["B"], ["X"]), "e2": (["B", "Y"], ["B", "B"], []), "e3": (["B"], None, ["B", "B"]), "e4": (["Z"], ["Z"], ["Z"])}
+
+
+def test_a_chain_of_pairs_takes_few_rounds(spark, monkeypatch):
+    pairs = [(f"n{k:03}", f"n{k + 1:03}", 1 - k / 1000, 1, 1) for k in range(120)]  # each waits for the one before
+    df = spark.createDataFrame(pairs, "i string, j string, similarity double, degree_i long, degree_j long").repartition(3)
+    calls = []
+    monkeypatch.setattr(S, "cut", lambda d, cut=S.cut: calls.append(1) or cut(d))
+    for most in (25, 1000):
+        found = [(r.kept_node, r.removed_node) for r in S.greedy_rounds(df, most).orderBy("seq").collect()]
+        assert found == plain_scan(pairs)
+    assert len(calls) < 30
+
+
+def test_rounds_of_few_pairs_match_a_plain_scan(spark):
+    rng = random.Random(4)
+    degree = {f"n{k:02}": rng.randint(1, 4) for k in range(25)}
+    pairs = [(i, j, rng.choice([0.91, 0.93, 0.95, 0.97]), degree[i], degree[j]) for i in sorted(degree) for j in sorted(degree) if i < j and rng.random() < 0.5]
+    df = spark.createDataFrame(pairs, "i string, j string, similarity double, degree_i long, degree_j long")
+    found = S.greedy_rounds(df, 10).orderBy("seq").collect()
+    assert [(r.kept_node, r.removed_node) for r in found] == plain_scan(pairs) and [r.seq for r in found] == list(range(len(found)))

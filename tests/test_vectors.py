@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,30 @@ def test_service(spark):
     assert sorted(r.node for r in s.update(nodes, other).df.collect()) == ["apple", "apples", "stone"]
     assert s.update(nodes, other, prune_orphans=False).count() == 4
     assert [r.node for r in without_suffixes(nodes, ["s", "ne"]).collect()] == ["apple"]
+
+
+def test_a_task_holds_a_tile_of_similarities(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"n{i:02}", v) for i, v in enumerate(rng.integers(-2, 3, (60, 3)).astype(float).tolist())]
+    e = spark.createDataFrame([*rows, ("odd", []), ("two", [1.0, 1.0]), ("none", None)], "node string, embedding array<double>").repartition(3)
+    unit = [np.array(v) / (np.linalg.norm(v) or 1) for _, v in rows]
+    want = {(f"n{a:02}", f"n{b:02}") for a in range(60) for b in range(a + 1, 60) if unit[a] @ unit[b] > 0.123}
+    monkeypatch.setattr(V, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(V, "TILE", 50)
+    monkeypatch.setattr(V, "BATCH_ROWS", 9)
+    assert {(r.i, r.j) for r in V.similar_pairs(e, 0.123).collect()} == want
+    totals = {r.i: (r.n, round(r.total, 6)) for r in V.similarity_totals(e).collect()}
+    whole = V.similarity_matrix(e).groupBy("i").agg(F.count("*").alias("n"), F.sum("similarity").alias("t")).collect()
+    assert totals == {r.i: (r.n, round(r.t, 6)) for r in whole} and totals["odd"] == (1, 0.0) and totals["n00"][0] == 60
+    cells = [pa.RecordBatch.from_pylist([{"names": ["a"] * 16, "numbers": np.ones((16, 2)).tobytes(), "dimension": 2, "block": 0, "band": 0, "side": k} for k in (0, 1)])]
+    assert [(m[4], m[5].shape) for m in V._meetings(iter(cells), 0.0)] == [(s, (min(3, 16 - s), 16)) for s in range(0, 16, 3)]
+
+
+def test_totals_take_no_row_for_each_pair(spark):
+    e = spark.range(600).select(F.col("id").cast("string").alias("node"), F.array(F.sin("id"), F.cos("id")).alias("embedding")).repartition(2)
+    found = V.similarity_totals(e)
+    rows = found.collect()
+    cells = V._grid(e).groupBy("row", "column").count().count()
+    assert {r.n for r in rows} == {600} and len(rows) == 600
+    out = spark.createDataFrame(rows).agg(F.sum("n")).first()[0]
+    assert out == 600 * 600 and cells * 2 * V.BLOCK_ROWS < out
