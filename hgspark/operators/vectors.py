@@ -117,6 +117,16 @@ def _grid(embeddings: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def _cosines(x: np.ndarray, y: np.ndarray, long_x: np.ndarray, long_y: np.ndarray, undefined: float) -> np.ndarray:
+    """Similarities of all rows of x with all of y, which have these lengths."""
+    sim, lengths = x @ y.T, np.outer(long_x, long_y)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        np.divide(sim, lengths, out=sim)
+    if not (long_x.min(initial=1) * long_y.min(initial=1) > 0):  # NaN too
+        sim[~(lengths > 0)] = undefined
+    return sim
+
+
 def _meetings(batches: Iterator[pa.RecordBatch], undefined: float) -> Iterator[tuple]:
     """(block, names, block, names, first row, similarities) of a cell's blocks, at most TILE or one row of them at once."""
     sides: list[list] = [[], []]
@@ -132,9 +142,7 @@ def _meetings(batches: Iterator[pa.RecordBatch], undefined: float) -> Iterator[t
                 continue
             rows = max(1, TILE // len(names_b))
             for start in range(0, len(names_a), rows):
-                lengths = np.outer(long_a[start : start + rows], long_b)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    yield block_a, names_a, block_b, names_b, start, np.where(lengths > 0, x[start : start + rows] @ y.T / lengths, undefined)
+                yield block_a, names_a, block_b, names_b, start, _cosines(x[start : start + rows], y, long_a[start : start + rows], long_b, undefined)
 
 
 def _batches(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +228,9 @@ def _best(asked: pa.Array, q: np.ndarray, names: pa.Array, x: np.ndarray, k: int
     long, rows = np.linalg.norm(x, axis=1), max(1, TILE // max(1, len(names)))
     for start in range(0, len(asked), rows):
         part = q[start : start + rows]
-        lengths = np.outer(np.linalg.norm(part, axis=1), long)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            sim = np.where(lengths > 0, part @ x.T / lengths, np.nan)
+        sim = _cosines(part, x, np.linalg.norm(part, axis=1), long, np.nan)
         passed = sim >= threshold
-        if len(names) > k:  # with all that tie with the last
+        if len(names) > k and np.count_nonzero(passed) > sim.size // 16:  # too many to sort; with all that tie with the last
             ranked = np.where(passed, sim, -np.inf)
             passed &= ranked >= np.partition(ranked, -k, axis=1)[:, -k][:, None]
         r, c = np.nonzero(passed)
