@@ -92,15 +92,20 @@ class RecursiveSplitter:
         return out
 
 
-def split_documents(docs: DataFrame, splitter: RecursiveSplitter | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, seq, chunk_id, text): the chunks of every document in order. Null and empty texts give none."""
+def chunk_texts(text: Column | str, splitter: RecursiveSplitter | None = None) -> Column:
+    """The array of a text's chunks in order; none of null and empty texts."""
     cutter = splitter or RecursiveSplitter()
 
     @F.arrow_udf("array<string>")
     def pieces(texts: pa.Array) -> pa.Array:
         return pa.array([cutter(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    parts = docs.select(id_col, F.posexplode(pieces(F.col(text_col))).alias("seq", "text"))
+    return pieces(text)
+
+
+def split_documents(docs: DataFrame, splitter: RecursiveSplitter | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, seq, chunk_id, text): the chunks of every document in order. Null and empty texts give none."""
+    parts = docs.select(id_col, F.posexplode(chunk_texts(F.col(text_col), splitter)).alias("seq", "text"))
     return parts.select(id_col, "seq", content_id(F.col("text")).alias("chunk_id"), "text")
 
 
