@@ -1,30 +1,43 @@
 """Connected components: nodes that shared edges connect, each named by its smallest node.
 
-Label propagation on the pair table itself: an edge takes the smallest label of its nodes, a node the smallest of its
-edges', then labels are replaced by their own label (pointer jumping). Cost per round is linear in the pairs however large
-an edge is. Each round is cut in the shared folder.
+Each edge links its nodes to the smallest of them, each node joins the smallest that it is linked to, and whoever that one
+joined in turn (pointer jumping). Links are then between what is joined, and the next round has only those that still
+differ: few after the first. Cost is linear in the pairs however large an edge is. Each round is cut in the shared folder.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..tables import cut
+from ..tables import cut, sized
 from .hypergraph import Hypergraph
 
 
+def _roots(joined: DataFrame) -> DataFrame:
+    """(node, component) with each component that has a row itself followed to its end."""
+    joined = cut(joined)
+    while True:
+        own = joined.where("component <> node").select(F.col("node").alias("component"), F.col("component").alias("far"))
+        jumped = cut(joined.join(sized(own), "component", "left").select("node", F.coalesce("far", "component").alias("component"), F.col("far").isNotNull().alias("moved")))
+        joined = jumped.select("node", "component")
+        if jumped.where("moved").isEmpty():
+            return joined
+
+
 def connected_components(graph: Hypergraph) -> DataFrame:
     """(node, component)"""
-    pairs = cut(graph.incidence)
-    labels = cut(pairs.select("node").distinct().select("node", F.col("node").alias("component")))
+    low = F.min("node").over(Window.partitionBy("edge_id"))
+    links = cut(graph.incidence.select("node", low.alias("low")).distinct())
+    joined = labels = _roots(links.groupBy("node").agg(F.min("low").alias("component")))
     while True:
-        per_edge = pairs.join(labels, "node").groupBy("edge_id").agg(F.min("component").alias("low"))
-        per_node = pairs.join(per_edge, "edge_id").groupBy("node").agg(F.min("low").alias("low"))
-        heard = labels.join(per_node, "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("mid"))
-        own = labels.select(F.col("node").alias("mid"), F.col("component").alias("far"))
-        jumped = cut(heard.join(own, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("component")))
-        labels = jumped.select("node", "component")
-        if jumped.where("component <> old").isEmpty():
+        a, b = (sized(joined.select(F.col("node").alias(x), F.col("component").alias(f"__{x}"))) for x in ("node", "low"))
+        ends = links.where("node <> low").join(a, "node", "left").join(b, "low", "left").select(F.coalesce("__node", "node").alias("x"), F.coalesce("__low", "low").alias("y"))
+        links = cut(ends.where("x <> y").select(F.greatest("x", "y").alias("node"), F.least("x", "y").alias("low")).distinct())
+        if links.isEmpty():
             return labels
+        joined = _roots(links.groupBy("node").agg(F.min("low").alias("component")))
+        further = joined.select(F.col("node").alias("component"), F.col("component").alias("far"))
+        labels = cut(labels.join(sized(further), "component", "left").select("node", F.coalesce("far", "component").alias("component")))
 
 
 def component_sizes(components: DataFrame) -> DataFrame:

@@ -142,3 +142,28 @@ def test_remove_small_components(spark):
     assert as_dict(remove_small_components(g, 2)) == {"e1": ["A", "B", "C"], "e4": ["Y", "Z"]}
     assert as_dict(remove_small_components(g, 3, keep_singletons=True)) == {"e1": ["A", "B", "C"], "e2": ["X"]}
     assert remove_small_components(g, 0) is g
+
+
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    import random
+
+    from hgspark.operators import components as K
+
+    names = [f"n{k:03}" for k in range(300)]
+    random.Random(2).shuffle(names)
+    g = Hypergraph.from_dict(spark, {f"e{k}": names[k : k + 2] for k in range(299)} | {"one": ["z"], "big": ["x1", "x2", "x3"], "none": []})
+    calls = []
+    monkeypatch.setattr(K, "cut", lambda d, cut=K.cut: calls.append(1) or cut(d))
+    got = {r.node: r.component for r in K.connected_components(g).collect()}
+    assert got == {n: "n000" for n in names} | {"z": "z", "x1": "x1", "x2": "x1", "x3": "x1"}
+    assert len(calls) < 45
+    rng = random.Random(7)
+    for _ in range(3):
+        edges = {f"e{k}": [rng.randrange(60) for _ in range(rng.randint(1, 3))] for k in range(32)}
+        want = {n: n for e in edges.values() for n in e}
+        for _ in range(60):
+            for e in edges.values():
+                low = min(want[n] for n in e)
+                want.update({n: low for n in e})
+        ints = Hypergraph.from_edges(spark.createDataFrame(list(edges.items()), "edge_id string, nodes array<int>"))
+        assert {r.node: r.component for r in K.connected_components(ints).collect()} == want
