@@ -65,7 +65,10 @@ def to_hypergraph(rows: DataFrame) -> tuple[Hypergraph, DataFrame]:
     edges = edges_from_events(rows)
     # Rows of a chunk follow each other in order; a hash of the chunk places them without a sort over all.
     metadata = edges.select((F.xxhash64("chunk_id").bitwiseAND(F.lit((1 << 36) - 1)) * F.lit(1 << 16) + F.col("pos")).alias("seq"), "edge", "nodes", "source", "target", "chunk_id")
-    return Hypergraph.from_edges(edges.select(F.col("edge").alias("edge_id"), "nodes")), metadata
+    # Edges of one name are brought together as lists, which are far fewer and shorter than their pairs.
+    held = edges.groupBy(F.col("edge").alias("edge_id")).agg(F.array_distinct(F.flatten(F.collect_set("nodes"))).alias("nodes"))
+    pairs = held.where("edge_id is not null").select("edge_id", F.explode("nodes").alias("node")).where("node is not null")
+    return Hypergraph(pairs, held.select("edge_id")), metadata
 
 
 def first_metadata(metadata: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 from ..config import CONTEXT_TOKENS, MAX_SENTENCES
 from ..functions.events import first_metadata, relation_of_edge, short_relation_of_edge
 from ..operators.hypergraph import Hypergraph
-from ..tables import cut
+from ..tables import cut, sized
 from .paths import path_steps, step_edges
 
 HEADER = "Relevant knowledge from the graph:"
@@ -56,16 +56,21 @@ def graph_sentences(graph: Hypergraph, metadata: DataFrame | None = None, labels
     return found.orderBy("sentence", "edge_id") if ordered else found
 
 
-def direct_sentences(graph: Hypergraph, nodes: DataFrame, by: tuple[str, ...] = (), ordered: bool = True) -> DataFrame:
+def direct_sentences(graph: Hypergraph, nodes: DataFrame | None = None, by: tuple[str, ...] = (), ordered: bool = True) -> DataFrame:
     """(*by, sentence): for each of `nodes` (*by, node) what its first five edges say of it; no full stop. Edges that hold
-    nothing else count towards the five and say nothing."""
-    asked = nodes.select(*by, "node").distinct()
-    pairs = cut(graph.incidence)  # read twice, and dear where it is made from events
-    own = Hypergraph(pairs.join(asked.select("node").distinct(), "node", "left_semi"), graph.edge_ids).first_edges(EDGES_PER_NODE)
-    others = own.join(pairs.select("edge_id", F.col("node").alias("other")), "edge_id").where(F.col("other") != F.col("node"))
-    held = others.groupBy("node", "edge_id").agg(F.array_join(F.sort_array(F.collect_list("other")), ", ").alias("others"))
-    told = held.select("node", F.concat("node", F.lit(" "), F.coalesce(short_relation_of_edge(F.col("edge_id")), F.lit("is related to")), F.lit(" "), "others").alias("sentence"))
-    found = asked.join(told, "node").select(*by, "sentence").distinct()
+    nothing else count towards the five and say nothing. Without `nodes`, (node, sentence) of all the graph's."""
+    # read twice, and dear where they are made from events; an edge's nodes are brought together once, not for each of them
+    edges = cut(graph.incidence.groupBy("edge_id").agg(F.sort_array(F.collect_list("node")).alias("nodes")))
+    pairs = edges.select("edge_id", F.explode("nodes").alias("node"))
+    if nodes is not None:
+        asked = cut(nodes.select(*by, "node").distinct())
+        pairs = pairs.join(sized(asked.select("node")), "node", "left_semi")
+    held = Hypergraph(pairs, edges.select("edge_id")).first_edges(EDGES_PER_NODE).join(edges, "edge_id").where(F.size("nodes") > 1)
+    others = F.array_join(F.array_remove(F.col("nodes"), F.col("node")), ", ")
+    told = held.select("node", F.concat("node", F.lit(" "), F.coalesce(short_relation_of_edge(F.col("edge_id")), F.lit("is related to")), F.lit(" "), others).alias("sentence"))
+    if nodes is None:
+        by = ("node",)
+    found = (told if nodes is None else asked.join(told, "node")).select(*by, "sentence").distinct()
     return found.orderBy(*by, "sentence") if ordered else found
 
 

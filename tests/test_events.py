@@ -77,3 +77,14 @@ def test_first_metadata_and_citations(spark):
     index = spark.createDataFrame([("ab", "t" * 201)], "chunk_id string, text string")
     got = {r.edge_id: r.citation for r in E.citations(edges, index).collect()}
     assert got == {"r_chunkab_0": "t" * 200 + "...", "r_chunkzz_0": None, "plain": None}
+
+
+def test_edges_of_one_name_are_one_and_meet_as_lists(spark):
+    kind = "chunk_id string, events array<struct<source: array<string>, relation: string, target: array<string>>>"
+    rows = [("c", [(["a"], "r_s", ["b", None, "a"])]), ("c", [(["a"], "r_s", ["b", None, "a"])]), ("c", [(["d"], "r_s", [])]), (None, [(["x"], None, ["y"]), ([], "q", [])])]
+    graph, metadata = E.to_hypergraph(spark.createDataFrame(rows, kind))
+    assert sorted((r.edge_id, r.node) for r in graph.incidence.collect()) == [("0", "x"), ("0", "y"), *(("r s_chunkc_0", n) for n in "abd")]
+    assert sorted(str(r.edge_id) for r in graph.edge_ids.collect()) == sorted(str(r.edge) for r in metadata.select("edge").distinct().collect())
+    plan = graph.incidence._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.split("\n") if "hashpartitioning(" in x]
+    assert exchanges and all("node" not in x.split("hashpartitioning(")[1].split(")")[0] for x in exchanges)

@@ -230,3 +230,20 @@ def test_trees_are_shared_by_the_questions(spark):
     got = sorted((r.q, "".join(r.path)) for r in P.shortest_paths(g, nodes, 4, ("q",)).collect())
     one = [sorted((q, "".join(r.path)) for r in P.shortest_paths(g, nodes.where(F.col("q") == q).drop("q"), 4).collect()) for q in (1, 2)]
     assert got == one[0] + one[1] and (1, "ab") in got and (2, "abx") in got and (1, "abx") not in got
+
+
+def test_direct_sentences_gather_an_edge_once(spark, monkeypatch):
+    names = [f"n{k:03}" for k in range(60)]
+    edges = {f"said_of_chunk{k}_0": names[k : k + 20] for k in range(41)} | {"zz": ["n000"], "lone": ["q"]}
+    g = graph(spark, edges)
+    want = set()
+    for n in [*names, "q"]:
+        for e in sorted(e for e, held in edges.items() if n in held)[:5]:
+            if len(edges[e]) > 1:
+                want.add((n, f"{n} {'said of' if e.startswith('said') else 'is related to'} {', '.join(m for m in sorted(edges[e]) if m != n)}"))
+    found = X.direct_sentences(g, g.nodes().select("node", F.col("node").alias("about")), ("about",), ordered=False)
+    assert {(r.about, r.sentence) for r in found.collect()} == want
+    whole = X.direct_sentences(g, ordered=False)
+    assert {tuple(r) for r in whole.collect()} == want
+    for df in (found, whole):
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()  # the edges are cut, with all nodes
