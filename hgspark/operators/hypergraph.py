@@ -116,10 +116,12 @@ class Hypergraph:
         return self.incidence.join(own, "edge_id", "left_semi").where(F.col("node") != node).select("node").distinct()
 
     def adjacency(self) -> DataFrame:
-        """(src, dst): distinct ordered pairs that share an edge. An edge of k nodes gives k * (k - 1) of them."""
+        """(src, dst): distinct ordered pairs that share an edge. An edge of k nodes gives k * (k - 1) of them. Each pair is
+        made and told apart in one order only."""
         a = self.incidence.select("edge_id", F.col("node").alias("src"))
         b = self.incidence.select("edge_id", F.col("node").alias("dst"))
-        return a.join(b, "edge_id").where("src <> dst").select("src", "dst").distinct()
+        half = a.join(b, "edge_id").where("src < dst").select("src", "dst").distinct()
+        return half.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
 
     def edges_with_both(self, pairs: DataFrame) -> DataFrame:
         """`pairs` (u, v, ...) with every edge that holds both, from the edges of the end that has fewer: a node of many

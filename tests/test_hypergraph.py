@@ -167,3 +167,10 @@ def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
                 want.update({n: low for n in e})
         ints = Hypergraph.from_edges(spark.createDataFrame(list(edges.items()), "edge_id string, nodes array<int>"))
         assert {r.node: r.component for r in K.connected_components(ints).collect()} == want
+
+
+def test_adjacency_tells_pairs_apart_in_one_order(spark):
+    g = Hypergraph.from_dict(spark, {"e1": "ABC", "e2": "BC", "e3": "D", "e4": "DA"})
+    found = g.adjacency()
+    assert sorted(r.src + r.dst for r in found.collect()) == ["AB", "AC", "AD", "BA", "BC", "CA", "CB", "DA"]
+    assert "(src" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and " < dst" in plan
